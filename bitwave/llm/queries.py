@@ -2,15 +2,55 @@
 
 from __future__ import annotations
 
+from . import bpe, decontaminate, pii, secrets, simhash, topk, toxicity, warc
 from .common import table
-from . import secrets
 
 
 def op2_secret_scan(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_secret_scan": op2_secret_scan}
+def op3_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op4_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op5_personal_data(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_exact_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op9_toxicity(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_simhash(spark, sf_dir):
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
+    "op3_warc": op3_warc,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op5_personal_data": op5_personal_data,
+    "op6_decontamination": op6_decontamination,
+    "op7_exact_top_k": op7_exact_top_k,
+    "op9_toxicity": op9_toxicity,
+    "op10_simhash": op10_simhash,
+}
 
 
 def _secret_sql() -> str:
@@ -41,4 +81,44 @@ select doc_id, coalesce(a, 0) as n_assign, coalesce(b, 0) as n_access, coalesce(
   sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from t left join sums using (r)"""
 
 
-ORACLES = {"op2_secret_scan": _secret_sql()}
+def _decontamination_sql() -> str:
+    from .decontaminate import MASKS, MATCH, WINDOW
+
+    offsets = [[o for o, c in enumerate(m) if c == "1"] for m in MASKS]
+    seeded = " or ".join(f"(j + {len(m)} <= n and p + {len(m)} <= dn and " + " and ".join(f"list_contains(js, j + {o})" for o in offs) + ")" for m, offs in zip(MASKS, offsets, strict=True))
+    words = lambda t: f"regexp_extract_all(lower(coalesce({t}, '')), '[\\p{{L}}\\p{{N}}]+')"
+    return f"""
+with d as (select row_number() over () as r, doc_id, {words("text")} as w from documents),
+b as (select distinct coalesce(cast(item_id as varchar), '') as item, {words("text")} as w from benchmark),
+dw as (select r, len(w) as dn, unnest(w) as word, generate_subscripts(w, 1) - 1 as p from d),
+bw as (select item, len(w) as n, unnest(w) as word, generate_subscripts(w, 1) - 1 as j from b),
+same as (select r, item, n, dn, p - j as diagonal, list(j order by j) as js from dw join bw using (word) group by all
+         having count(*) >= ceil({MATCH} * least(n, {WINDOW}))),
+hit as (select * from same where list_bool_or(list_transform(js, lambda j: {seeded.replace("p +", "j + diagonal +")}))),
+best as (select r, item, least(n, {WINDOW}) as width,
+           list_max(list_transform(range(0, cast(n - least(n, {WINDOW}) + 1 as bigint)), lambda s: len(list_filter(js, lambda j: j >= s and j < s + least(n, {WINDOW}))))) as matched from hit),
+found as (select r, count(distinct item) as n, max(matched) as most from best where matched >= ceil({MATCH} * width) group by r)
+select doc_id, cast(n is not null as integer) as contaminated, coalesce(n, 0) as n_items, cast(coalesce(most, 0) as integer) as most_matched from d left join found using (r)"""
+
+
+_TOP_K_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as x from embeddings
+  where vec_id is not null and embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+p as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2])) as score
+      from v q join v c on q.vec_id <> c.vec_id and len(q.x) = len(c.x) where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p)
+select query_id, cast(rank as integer) as rank, vec_id, cast(score as bigint) as score from r where rank <= 5"""
+
+_WARC_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+h as (select page_id, octet_length(payload) as payload_bytes, sha256(payload) as payload_digest from p),
+m as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) end as first_id from h)
+select page_id, payload_bytes, payload_digest, case when page_id > first_id then 'revisit' else 'response' end as record_type,
+  case when page_id > first_id then first_id end as refers_to from m"""
+
+ORACLES = {
+    "op2_secret_scan": _secret_sql(),
+    "op3_warc": _WARC_SQL,
+    "op6_decontamination": _decontamination_sql(),
+    "op7_exact_top_k": _TOP_K_SQL,
+}
