@@ -62,7 +62,7 @@ class Model:
         return w
 
 
-def train(rows: list[tuple[np.ndarray, int]], held: list[tuple[np.ndarray, int]], alpha=0.2, beta=1.0, l1=2.0, l2=1.0, passes=3) -> Model:
+def train(rows: list[tuple[np.ndarray, int]], held: list[tuple[np.ndarray, int]], alpha=0.3, beta=1.0, l1=8.0, l2=1.0, passes=3) -> Model:
     """FTRL-proximal on rows; held sets the shift that puts the best F1 at THRESHOLD."""
     z, n = np.zeros(SPACE + 1), np.zeros(SPACE + 1)
     order = np.random.default_rng(7)
