@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, pii, secrets, simhash, topk, toxicity, warc
+from . import bpe, decontaminate, kneser_ney, pii, secrets, simhash, suffix_dedup, topk, toxicity, warc
 from .common import table
 
 
+def op1_quality(spark, sf_dir):
+    return kneser_ney.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_secret_scan(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,10 @@ def op7_exact_top_k(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,12 +50,14 @@ def op10_simhash(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_secret_scan": op2_secret_scan,
     "op3_warc": op3_warc,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_personal_data": op5_personal_data,
     "op6_decontamination": op6_decontamination,
     "op7_exact_top_k": op7_exact_top_k,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
