@@ -12,7 +12,7 @@ distinct grams, the join with the model answers, and the block scores its texts.
 depends on its task and number, not on a key, so repeated rows spread.
 
 A document is kept if its perplexity is at most the QUANTILE of the trusted documents of its
-language, times MARGIN (trusted text is seen in training); languages without trusted documents take
+language, times MARGIN (trusted text is seen in training) and exp(SLACK / characters); languages without trusted documents take
 the quantile over all trusted ones.
 
 Defined results: null or empty texts have no perplexity and are not kept; a null lang is a language
@@ -35,10 +35,12 @@ from .common import stored, text_or_empty
 
 ORDER = 4
 QUANTILE, MARGIN = 0.995, 1.1
+#: Nats that a text may exceed the limit by, shared among its characters: the start of a text is hard
+#: to predict, which weighs on short ones.
+SLACK = 6.0
 BLOCK_BYTES, CHUNK_BYTES = 24 << 20, 1 << 20
 #: Rows of trusted ids that are sent to all executors, at most (8 bytes each).
 MOST_SENT = 4_000_000
-START = 2
 U = np.uint64
 
 
@@ -263,6 +265,6 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
             pooled = r.bin
     by_lang = stored(cut(["lang_key"]).select("lang_key", limit(F.col("bin")).alias("own")), "kn-limits")
     out = scores.withColumn("lang_key", F.coalesce("lang", F.lit(""))).join(by_lang, "lang_key", "left")
-    threshold = F.coalesce("own", limit(F.lit(pooled)) if pooled is not None else F.lit(None).cast("double"))
+    threshold = F.coalesce("own", limit(F.lit(pooled)) if pooled is not None else F.lit(None).cast("double")) * F.exp(SLACK / F.greatest("n", F.lit(1)))
     perplexity = F.exp("nats")
     return out.select("doc_id", perplexity.alias("perplexity"), threshold.alias("threshold"), F.when(F.col("nats").isNull(), 0).otherwise(F.coalesce((perplexity <= threshold).cast("int"), F.lit(1))).alias("keep"))
