@@ -6,6 +6,9 @@ and a diagonal (difference of positions). Hits are verified word by word along t
 document is contaminated if a window of WINDOW words (the whole item, if shorter) agrees in MATCH of
 its positions at least. Everything is a DataFrame expression.
 
+Seeds are made only where the first two words may both occur in the benchmark, by a bit set of its
+word hashes of a fixed size; that leaves out no hit.
+
 The benchmark's seeds are sent to all executors only up to MOST_SENT rows; beyond that both sides are
 shuffled, where a common seed is one row of the benchmark's side per position and Spark splits large
 partitions of the other side.
@@ -17,15 +20,19 @@ ignored; an empty table on either side leaves every document clean.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import fresh, stored, text_or_empty
 
+#: Every mask begins with two ones.
 MASKS = ("11111", "110111", "1101011", "11001011")
 WINDOW, MATCH = 13, 0.8
 #: Rows of a side that is sent to all executors, at most (some 40 bytes each).
 MOST_SENT = 1_000_000
+#: Bits of the word filter, a constant in the plan.
+FILTER_BITS = 1 << 16
 WORDS = r"[\p{L}\p{N}]+"
 
 
@@ -33,13 +40,34 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0)), lambda w: F.xxhash64(w))
 
 
-def seeds(words: Column) -> Column:
-    """array<long>: at 4 * i + k the hash of mask k at word i, null where the mask runs over the end."""
+def seeds(words: Column, starts: Column) -> Column:
+    """array<struct<at, seed>>: of each start the hash of every mask that fits; seed is null else."""
 
     def at(i: Column) -> Column:
-        return F.array(*[F.when(i + len(m) <= F.size(words), F.xxhash64(F.lit(k), *[F.get(words, i + o) for o, c in enumerate(m) if c == "1"])) for k, m in enumerate(MASKS)])
+        return F.array(*[F.struct(i.alias("at"), F.when(i + len(m) <= F.size(words), F.xxhash64(F.lit(k), *[F.get(words, i + o) for o, c in enumerate(m) if c == "1"])).alias("seed")) for k, m in enumerate(MASKS)])
+
+    return F.flatten(F.transform(starts, at))
+
+
+def every_start(words: Column) -> Column:
+    least = min(map(len, MASKS))
+    return F.when(F.size(words) >= least, F.sequence(F.lit(0), F.size(words) - least)).otherwise(F.array().cast("array<int>"))
+
+
+def _bits(known: DataFrame) -> Column:
+    """A bit set of FILTER_BITS bits as a constant: those of the benchmark's words by their hashes."""
+    slot = F.col("word").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long")).cast("int")
+    found = np.zeros(FILTER_BITS, bool)
+    found[[r.slot for r in known.select(slot.alias("slot")).distinct().collect()]] = True
+    return F.array(*[F.lit(x).cast("long") for x in np.packbits(found, bitorder="little").view(np.int64).tolist()])
+
 
-    return F.flatten(F.transform(F.when(F.size(words) >= min(map(len, MASKS)), F.sequence(F.lit(0), F.size(words) - min(map(len, MASKS)))).otherwise(F.array().cast("array<int>")), at))
+def _likely_starts(words: Column, bits: Column) -> Column:
+    """Starts whose first two words, which no mask leaves out, may both be the benchmark's."""
+    low = lambda h: h.bitwiseAND(F.lit(FILTER_BITS - 1).cast("long")).cast("int")
+    flags = F.transform(words, lambda h: F.getbit(F.get(bits, F.shiftright(low(h), 6)), low(h).bitwiseAND(63)))
+    both = F.zip_with(flags, F.slice(flags, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: a + F.coalesce(b, F.lit(0).cast("tinyint")))
+    return F.filter(F.transform(both, lambda x, i: F.when(x == 2, i)), lambda i: i.isNotNull())
 
 
 def _keys() -> list[Column]:
@@ -55,11 +83,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     each diagonal with a hit."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), word_hashes(text_or_empty()).alias("item_words")).distinct()
     items = stored(items, "benchmark-items")
-    known = items.select("item", F.posexplode(seeds(F.col("item_words"))).alias("p", "seed")).where("seed is not null")
-    known = stored(known.select("seed", "item", F.expr("p div 4").cast("int").alias("item_at")), "benchmark-seeds")
+    known = items.select("item", F.inline(seeds(F.col("item_words"), every_start(F.col("item_words"))))).where("seed is not null")
+    known = stored(known.select("seed", "item", F.col("at").alias("item_at")), "benchmark-seeds")
+    bits = _bits(items.select(F.explode("item_words").alias("word")))
     words = docs.select(*_keys(), word_hashes(text_or_empty()).alias("words"))
-    tried = words.select("doc_key", "text_key", F.posexplode(seeds(F.col("words"))).alias("p", "seed")).where("seed is not null")
-    hits = tried.join(_sent(known, known.count()), "seed").select("doc_key", "text_key", "item", (F.expr("p div 4").cast("int") - F.col("item_at")).alias("diagonal")).distinct()
+    words = words.select("doc_key", "text_key", "words", _likely_starts(F.col("words"), bits).alias("starts"))
+    tried = words.select("doc_key", "text_key", F.inline(seeds(F.col("words"), F.col("starts")))).where("seed is not null")
+    hits = tried.join(_sent(known, known.count()), "seed").select("doc_key", "text_key", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
     hits = stored(hits, "benchmark-hits")
     found = hits.select("doc_key", "text_key").distinct()
     near = docs.select(*_keys(), text_or_empty().alias("text")).join(_sent(found, hits.count()), ["doc_key", "text_key"], "left_semi")
@@ -82,5 +112,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without a verified overlap; the columns stay."""
     found = stored(overlaps(docs, benchmark).select("doc_key", "text_key").distinct(), "contaminated")
+    doc, text = fresh(docs, "bw_doc"), fresh(docs, "bw_text")
+    found = found.toDF(doc, text)
     doc_key, text_key = _keys()
-    return docs.select("*", doc_key.alias("bw_doc"), text_key.alias("bw_text")).join(found, (F.col("bw_doc") == found.doc_key) & (F.col("bw_text") == found.text_key), "left_anti").select(*docs.columns)
+    return docs.select("*", doc_key.alias(doc), text_key.alias(text)).join(found, [doc, text], "left_anti").select(*docs.columns)
