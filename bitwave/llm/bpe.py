@@ -119,7 +119,8 @@ def rank_bytes(path: str) -> bytes:
 
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """docs with one more column, ids (array of int)."""
+    """docs with one more column, ids (array of int), in place of any of that name."""
+    docs = docs.drop("ids")
     sent = docs.sparkSession.sparkContext.broadcast(rank_bytes(path))
     at = docs.columns.index("text")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import fresh, stored, text_or_empty
 
 BITS = 64
 #: Fingerprints looked at for bit correlations and candidate estimates, at most.
@@ -219,9 +219,10 @@ def drop_near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) ->
     """The rows of docs that are first in their component by doc_id, text and then the other columns:
     one of each component. Nulls come last."""
     found = near_duplicates(docs, words, distance)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("bw_doc")
+    doc, text, nth = (fresh(docs, c) for c in ("bw_doc", "bw_text", "bw_nth"))
     order = F.struct(F.col("doc_id").isNull().alias("null_id"), F.col("doc_id"), F.col("text_key"))
-    keep = stored(found.groupBy("root").agg(F.min(order).alias("o")).select(F.coalesce(F.col("o.doc_id").cast("string"), F.lit("")).alias("bw_doc"), F.col("o.text_key").alias("bw_text")), "kept")
-    kept = docs.select("*", key, F.xxhash64(text_or_empty()).alias("bw_text")).join(keep, ["bw_doc", "bw_text"], "left_semi")
-    by = Window.partitionBy("bw_doc", "bw_text").orderBy(*[c for c, kind in docs.dtypes if "map" not in kind and "variant" not in kind])
-    return kept.withColumn("bw_nth", F.row_number().over(by)).where("bw_nth = 1").select(*docs.columns)
+    keep = found.groupBy("root").agg(F.min(order).alias("o"))
+    keep = stored(keep.select(F.coalesce(F.col("o.doc_id").cast("string"), F.lit("")).alias(doc), F.col("o.text_key").alias(text)), "kept")
+    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(doc), F.xxhash64(text_or_empty()).alias(text))
+    by = Window.partitionBy(doc, text).orderBy(*[c for c, kind in docs.dtypes if "map" not in kind and "variant" not in kind])
+    return keyed.join(keep, [doc, text], "left_semi").withColumn(nth, F.row_number().over(by)).where(F.col(nth) == 1).select(*docs.columns)

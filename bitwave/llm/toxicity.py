@@ -126,7 +126,8 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
 
 
 def with_score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with one more column, toxic_score (double from 0 to 1)."""
+    """docs with one more column, toxic_score (double from 0 to 1), in place of any of that name."""
+    docs = docs.drop("toxic_score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
