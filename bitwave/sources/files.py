@@ -42,25 +42,27 @@ def tag_length(data: bytes, at: int) -> int | None:
     return size + (20 if head[3] == 4 and head[5] & 16 else 10)
 
 
-def next_frame(data: bytes, start: int = 0, first: bool = False) -> tuple[int, int, int]:
-    """(status, offset, length) of the first frame at or after start. A frame or tag that is cut short
+def next_frame(data: bytes, start: int = 0, first: bool = False) -> tuple[int, int, int, int]:
+    """(status, offset, length, floor) of the first frame at or after start; floor is the end of the last
+    tag that was skipped. A frame or tag that is cut short
     by the end gives NEED_MORE_DATA with its offset; so do trailing bytes that could start a header."""
-    n, at = len(data), start
+    n, at, floor = len(data), start, start
     if n - at < 4:
-        return S["NEED_MORE_DATA"], at, 0
+        return S["NEED_MORE_DATA"], at, 0, floor
     if first:
         tag = tag_length(data, at)
         if tag is None or n - at < tag:
-            return S["NEED_MORE_DATA"], at, 0
+            return S["NEED_MORE_DATA"], at, 0, floor
         at += tag
+        floor = at
     while True:
         sync, tag_at = data.find(b"\xff", at), data.find(b"ID3", at)
         if tag_at >= 0 and (sync < 0 or tag_at < sync):
             size = tag_length(data, tag_at) if tag_at + 10 <= n else 0
             if size:
                 if n - tag_at < size:
-                    return S["NEED_MORE_DATA"], tag_at, 0
-                at = tag_at + size
+                    return S["NEED_MORE_DATA"], tag_at, 0, floor
+                at = floor = tag_at + size
             else:
                 at = tag_at + 1
             continue
@@ -68,12 +70,12 @@ def next_frame(data: bytes, start: int = 0, first: bool = False) -> tuple[int, i
             break
         length = frame_length(int.from_bytes(data[sync : sync + 4], "big"))
         if length:
-            return (S["OK"], sync, length) if n - sync >= length else (S["NEED_MORE_DATA"], sync, length)
+            return S["OK" if n - sync >= length else "NEED_MORE_DATA"], sync, length, floor
         at = sync + 1
-    for i in range(max(start, n - 3), n):
+    for i in range(max(floor, n - 3), n):
         if data[i] == 255 and (i + 1 == n or data[i + 1] & 224 == 224):
-            return S["NEED_MORE_DATA"], i, 0
-    return S["SYNC_NOT_FOUND"], n, 0
+            return S["NEED_MORE_DATA"], i, 0, floor
+    return S["SYNC_NOT_FOUND"], n, 0, floor
 
 
 def frames_in(data: bytes):
@@ -81,7 +83,7 @@ def frames_in(data: bytes):
     by the end ends the scan, as it does in a stream."""
     at, first = 0, True
     while True:
-        status, offset, length = next_frame(data, at, first)
+        status, offset, length, _ = next_frame(data, at, first)
         if status != S["OK"]:
             return
         yield offset, data[offset : offset + length]

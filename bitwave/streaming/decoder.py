@@ -28,7 +28,7 @@ class Framer:
         self.held += chunk
         out, at = [], 0
         while True:
-            status, found, length = next_frame(self.held, at, first=self.offset + at == 0)
+            status, found, length, floor = next_frame(self.held, at, first=self.offset + at == 0)
             if status == S["OK"]:
                 out.append((self.frame_no, self.offset + found, self.held[found : found + length]))
                 self.frame_no += 1
@@ -36,7 +36,7 @@ class Framer:
                 continue
             # What cannot start a frame any more goes; a cut frame, tag or sync byte stays, and nine
             # bytes that may be the start of a tag's header.
-            tail = max(at, len(self.held) - 9)
+            tail = max(floor, len(self.held) - 9)
             at = min(found, tail) if status == S["NEED_MORE_DATA"] else tail
             break
         self.offset += at
