@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+import pytest
+
 from bitwave.llm import suffix_dedup as S
 
 
@@ -40,7 +42,9 @@ def texts():
     return out
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [S.HOT, 100])
+def test_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT", hot)
     rows = texts()
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], "doc_id long, text string, text_key string").repartition(5)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.remove_repeats(df).collect()}
@@ -70,5 +74,5 @@ def test_loser_tree_and_front_coding():
     assert [n for _, n in out[1:]] == [prefix(a, b) for a, b in zip(strings, strings[1:], strict=False)]
     import numpy as np
 
-    back, _ = S.unpacked(S.packed(runs[1], S.prefixes(runs[1]), np.zeros(len(runs[1]), S.ENTRY)))
-    assert back == runs[1]
+    back, _, names = S.unpacked(S.packed(runs[1], S.prefixes(runs[1]), np.zeros(len(runs[1]), S.ENTRY), [b"x" * 16]))
+    assert back == runs[1] and names == [b"x" * 16]
