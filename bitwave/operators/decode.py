@@ -29,11 +29,37 @@ def _lists(rows, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array(missing))
 
 
+NAMES = ["stream_id", "frame_no", "sample_rate_hz", "channels", "version", "channel_mode", "mode_extension", "header_bytes", "content", "side_status", "main_data"]
+
+
+def _decoded(batch, books: dict, compat: bool):
+    """(stream, frame, rate, channels, status, granules): each granule is a list of (side information
+    with coefficients, spectral lines or None if all are zero), one for each channel."""
+    for stream, frame, rate, channels, version, mode, extension, head, content, status, main in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        done = []
+        if status == 0:
+            status, info = entropy.side_info(content[head:], version, channels)
+            status, done = entropy.decode_granules(main, info, version, channels, rate, books, compat) if status == 0 else (status, [])
+        out = []
+        for a in range(0, 0 if status else len(done), channels):
+            gs = done[a : a + channels]
+            if any(g["zero_start"] for g in gs):
+                xr = [spectrum.requantise(rate, g) for g in gs]
+                if channels == 2:
+                    xr = spectrum.stereo(rate, mode, extension, gs[1], xr)
+                out.append([(g, spectrum.antialias(g, x)) for g, x in zip(gs, xr, strict=True)])
+            else:
+                out.append([(g, None) for g in gs])
+        yield stream, frame, rate, channels, status, out
+
+
+def _ready(frames: DataFrame) -> DataFrame:
+    return assembled(frames.withColumn("stream_id", F.col("stream_id").cast("string"))).select(*NAMES)
+
+
 def granules(frames: DataFrame, extra_codes: dict | None = None, compat: bool = False) -> DataFrame:
     """A row for each granule and channel of each good frame, and one row with its status for each bad
     frame. frames: stream_id, frame_no, content (the frame's bytes) and the header fields."""
-    ready = assembled(frames.withColumn("stream_id", F.col("stream_id").cast("string")))
-    names = ["stream_id", "frame_no", "sample_rate_hz", "channels", "version", "channel_mode", "mode_extension", "header_bytes", "content", "side_status", "main_data"]
     fields = [x.split()[0] for x in GRANULES.split(", ")]
     types = [pa.string(), pa.int64(), *[pa.int32()] * 12, pa.list_(pa.int32()), pa.list_(pa.float64())]
 
@@ -41,29 +67,36 @@ def granules(frames: DataFrame, extra_codes: dict | None = None, compat: bool =
         books, silent = tables.codebooks(extra_codes), np.zeros(576)
         for batch in batches:
             rows = []
-            for stream, frame, rate, channels, version, mode, extension, head, content, status, main in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                done = []
-                if status == 0:
-                    status, info = entropy.side_info(content[head:], version, channels)
-                    status, done = entropy.decode_granules(main, info, version, channels, rate, books, compat) if status == 0 else (status, [])
+            for stream, frame, rate, channels, status, done in _decoded(batch, books, compat):
                 if status:
                     rows.append((stream, frame, rate, channels, status, *[None] * 11))
-                    continue
-                for a in range(0, len(done), channels):
-                    gs = done[a : a + channels]
-                    if not any(g["zero_start"] for g in gs):
-                        rows += [_row(stream, frame, rate, channels, g, silent) for g in gs]
-                        continue
-                    xr = [spectrum.requantise(rate, g) for g in gs]
-                    if channels == 2:
-                        xr = spectrum.stereo(rate, mode, extension, gs[1], xr)
-                    rows += [_row(stream, frame, rate, channels, g, spectrum.antialias(g, x)) for g, x in zip(gs, xr, strict=True)]
+                rows += [_row(stream, frame, rate, channels, g, silent if x is None else x) for granule in done for g, x in granule]
             for a in range(0, len(rows), 2048):
                 part = list(zip(*rows[a : a + 2048], strict=True))
                 plain = [pa.array(c, t) for c, t in zip(part[:-2], types, strict=False)]
                 yield pa.RecordBatch.from_arrays([*plain, _lists(part[-2], np.int32), _lists(part[-1], np.float64)], fields)
 
-    return ready.select(*names).mapInArrow(run, GRANULES)
+    return _ready(frames).mapInArrow(run, GRANULES)
+
+
+#: One row for each good granule, its channels side by side; a null xr is silence.
+LINES = "stream_id string, frame_no long, gr int, channels int, kinds array<int>, xr array<float>"
+
+
+def _lines(frames: DataFrame, extra_codes: dict | None, compat: bool) -> DataFrame:
+    def run(batches):
+        books = tables.codebooks(extra_codes)
+        for batch in batches:
+            rows = [(stream, frame, gr, channels, granule) for stream, frame, _, channels, status, done in _decoded(batch, books, compat) for gr, granule in enumerate(done)]
+            for a in range(0, len(rows), 1024):
+                part = rows[a : a + 1024]
+                kinds = [[v for g, _ in granule for v in (g["block_type"], g["window_switching"], g["mixed"])] for *_, granule in part]
+                xr = [None if all(x is None for _, x in granule) else np.concatenate([np.zeros(576) if x is None else x for _, x in granule]) for *_, granule in part]
+                sizes = [0 if x is None else len(x) for x in xr]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.concatenate([np.empty(0, np.float32), *[x.astype(np.float32) for x in xr if x is not None]])), mask=pa.array([x is None for x in xr]))
+                yield pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in part], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.int32()))], pa.array(kinds, pa.list_(pa.int32())), lists], ["stream_id", "frame_no", "gr", "channels", "kinds", "xr"])
+
+    return _ready(frames).mapInArrow(run, LINES)
 
 
 def _small(batches):
@@ -73,49 +106,86 @@ def _small(batches):
             yield batch.slice(a, 1024)
 
 
-def _stack(column: pa.Array, width: int) -> np.ndarray:
-    """A nullable list column as a matrix; nulls are zeros."""
-    out = np.zeros((len(column), width))
-    valid = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+def _stack(column: pa.Array, channels: np.ndarray) -> np.ndarray:
+    """A nullable column of 576 values for each channel as (rows, 2, 576); what is missing is zero."""
+    out = np.zeros((len(column), 2, 576))
+    have = column.is_valid().to_numpy(zero_copy_only=False)
     flat = column.drop_null().flatten().to_numpy(zero_copy_only=False)
-    out[valid] = flat.reshape(-1, width)
+    lengths = np.zeros(len(column), int)
+    lengths[have] = np.diff(column.drop_null().offsets.to_numpy()) // 576 if have.any() else 0
+    for c in (0, 1):
+        at = np.flatnonzero(lengths > c)
+        starts = (np.cumsum(lengths) - lengths)[at] + c
+        out[at, c] = flat.reshape(-1, 576)[starts]
+    return out
+
+
+def _kinds(column: pa.Array) -> np.ndarray:
+    """(rows, 2, 3) of block type, switching and mixed flag."""
+    out = np.zeros((len(column), 2, 3), int)
+    for i, k in enumerate(column.to_pylist()):
+        if k:
+            out[i].flat[: len(k)] = k
     return out
 
 
-def samples(frames: DataFrame, window=None, extra_codes: dict | None = None, compat: bool = False) -> DataFrame:
-    """stream_id, frame_no, gr, ch and pcm (576 floats) of the good granules in order.
+def pcm_granules(frames: DataFrame, window=None, extra_codes: dict | None = None, compat: bool = False) -> DataFrame:
+    """stream_id, frame_no, gr, channels and pcm (576 floats for each channel, interleaved) of the good
+    granules; a null pcm is silence.
 
-    window: the 512 synthesis coefficients; without it the designed ones."""
-    good = granules(frames, extra_codes, compat).where("status = 0").select("stream_id", "frame_no", "gr", "ch", "block_type", "window_switching", "mixed", "xr")
-    by = Window.partitionBy("stream_id", "ch").orderBy("frame_no", "gr")
-    now = good.withColumn("p", F.lag(F.struct("block_type", "window_switching", "mixed", "xr")).over(by))
-    now = now.select("stream_id", "frame_no", "gr", "ch", "block_type", "window_switching", "mixed", "xr", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("block_type", "window_switching", "mixed", "xr")])
+    window: the 512 synthesis coefficients; without it the designed ones. Both lags stand in the same
+    partitioning, so one shuffle serves them."""
+    by = Window.partitionBy("stream_id").orderBy("frame_no", "gr")
+    now = _lines(frames, extra_codes, compat)
+    now = now.withColumns({"p_kinds": F.lag("kinds").over(by), "p_xr": F.lag("xr").over(by)})
 
     def bands(batches):
         for batch in _small(batches):
-            col = lambda name: np.nan_to_num(batch.column(name).to_numpy(zero_copy_only=False).astype(float)).astype(int)
-            args = [[_stack(batch.column(f"{p}xr"), 576), col(f"{p}block_type"), col(f"{p}window_switching"), col(f"{p}mixed")] for p in ("", "p_")]
-            out = hybrid.subbands(*args[0], *args[1]).reshape(-1, 576)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * 576, pa.int32()), pa.array(out.ravel()))], ["stream_id", "frame_no", "gr", "ch", "bands"])
-
-    head = "stream_id string, frame_no long, gr int, ch int"
-    banded = now.mapInArrow(bands, f"{head}, bands array<double>")
+            quiet = ~(batch.column("xr").is_valid().to_numpy(zero_copy_only=False) | batch.column("p_xr").is_valid().to_numpy(zero_copy_only=False))
+            channels = batch.column("channels").to_numpy()
+            some = batch.filter(pa.array(~quiet))
+            n = some.num_rows
+            args = []
+            for p in ("", "p_"):
+                kinds = _kinds(some.column(f"{p}kinds")).reshape(2 * n, 3)
+                args += [_stack(some.column(f"{p}xr"), channels).reshape(2 * n, 576), kinds[:, 0], kinds[:, 1], kinds[:, 2]]
+            out = hybrid.subbands(*args).reshape(n, 2, 576).astype(np.float32) if n else np.zeros((0, 2, 576), np.float32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], _channels(out, channels, quiet)], ["stream_id", "frame_no", "gr", "channels", "bands"])
+
+    head = "stream_id string, frame_no long, gr int, channels int"
+    banded = now.select("stream_id", "frame_no", "gr", "channels", "kinds", "xr", "p_kinds", "p_xr").mapInArrow(bands, f"{head}, bands array<float>")
     banded = banded.withColumn("before", F.lag("bands").over(by))
 
     def out(batches):
         for batch in _small(batches):
-            now, before = (_stack(batch.column(c), 576).reshape(-1, 18, 32) for c in ("bands", "before"))
-            pcm = hybrid.synthesis(now, before, window).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.ListArray.from_arrays(pa.array(np.arange(len(pcm) + 1) * 576, pa.int32()), pa.array(pcm.ravel()))], ["stream_id", "frame_no", "gr", "ch", "pcm"])
+            quiet = ~(batch.column("bands").is_valid().to_numpy(zero_copy_only=False) | batch.column("before").is_valid().to_numpy(zero_copy_only=False))
+            channels = batch.column("channels").to_numpy()
+            some = batch.filter(pa.array(~quiet))
+            n = some.num_rows
+            now, before = (_stack(some.column(c), channels).reshape(2 * n, 18, 32) for c in ("bands", "before"))
+            pcm = hybrid.synthesis(now, before, window).reshape(n, 2, 576).astype(np.float32) if n else np.zeros((0, 2, 576), np.float32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], _channels(pcm, channels, quiet, interleaved=True)], ["stream_id", "frame_no", "gr", "channels", "pcm"])
 
     return banded.mapInArrow(out, f"{head}, pcm array<float>")
 
 
+def _channels(values: np.ndarray, channels: np.ndarray, quiet: np.ndarray, interleaved: bool = False) -> pa.Array:
+    """values (rows that are not quiet, 2, 576) as lists of the channels there are; null where quiet."""
+    sizes = np.where(quiet, 0, channels * 576)
+    parts = [v[:c].T.ravel() if interleaved else v[:c].ravel() for v, c in zip(values, channels[~quiet], strict=True)]
+    flat = np.concatenate([np.empty(0, np.float32), *parts])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat), mask=pa.array(quiet))
+
+
 def pcm_frames(frames: DataFrame, window=None, extra_codes: dict | None = None) -> DataFrame:
     """stream_id, frame_no, channels, pcm_float (interleaved, unclamped) and pcm16 of good frames."""
-    each = samples(frames, window, extra_codes)
-    granule = each.groupBy("stream_id", "frame_no", "gr").agg(F.count("*").cast("int").alias("channels"), F.max(F.when(F.col("ch") == 0, F.col("pcm"))).alias("a"), F.max(F.when(F.col("ch") == 1, F.col("pcm"))).alias("b"))
-    granule = granule.withColumn("pcm", F.when(F.col("channels") == 1, F.col("a")).otherwise(pcm.interleave(F.col("a"), F.col("b"))))
-    frame = granule.groupBy("stream_id", "frame_no").agg(F.max("channels").alias("channels"), F.array_sort(F.collect_list(F.struct("gr", "pcm"))).alias("g"))
-    frame = frame.withColumn("pcm_float", F.flatten(F.col("g.pcm"))).drop("g")
+    each = pcm_granules(frames, window, extra_codes)
+    each = each.withColumn("pcm", F.coalesce("pcm", F.array_repeat(F.lit(0.0).cast("float"), 576 * F.col("channels"))))
+    # A frame has two granules at most, so this is a lag over rows that are sorted already.
+    by = Window.partitionBy("stream_id").orderBy("frame_no", "gr")
+    before = F.lag(F.struct("frame_no", "pcm")).over(by)
+    after = F.lead("frame_no").over(by)
+    frame = each.withColumns({"before": before, "after": after}).where(F.col("after").isNull() | (F.col("after") != F.col("frame_no")))
+    whole = F.when(F.col("before.frame_no") == F.col("frame_no"), F.concat("before.pcm", "pcm")).otherwise(F.col("pcm"))
+    frame = frame.select("stream_id", "frame_no", "channels", whole.alias("pcm_float"))
     return frame.withColumn("pcm16", pcm.quantise_all(F.col("pcm_float")))
