@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import similar
 from .common import fresh, stored, text_or_empty
 
 BITS = 64
@@ -56,16 +57,21 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, text_key (a hash of the text) and fp (long: the 64 bits) of each row of docs."""
+def fingerprints(docs: DataFrame, words: int = 3, wide: bool = False) -> DataFrame:
+    """doc_id, text_key (a hash of the text) and fp (long: the 64 bits) of each row of docs; with wide
+    also the fingerprint of similar.py (f0 to f3) and node, a hash of it."""
+    more = similar.FIELDS if wide else ()
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(t, words) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "text_key", "fp"])
+            texts = batch.column(2).to_pylist()
+            fps = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
+            wides = np.array([similar.wide_fingerprint(t) for t in texts], np.uint64).reshape(-1, 4).view(np.int64) if wide else None
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), *[pa.array(np.ascontiguousarray(wides[:, i])) for i in range(len(more))]], ["doc_id", "text_key", "fp", *more])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, fp long")
+    out = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, fp long" + "".join(f", {f} long" for f in more))
+    return out.withColumn("node", F.xxhash64(*more)) if wide else out
 
 
 def bits_of(fps: np.ndarray) -> np.ndarray:
@@ -198,16 +204,17 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
-    """doc_id, text_key, fp, root (of the component, a fingerprint) and component_id for each row of docs."""
-    rows = stored(fingerprints(docs, words), "fingerprints")
+def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, wide: bool = False) -> DataFrame:
+    """doc_id, text_key, fp, root (of the component, a fingerprint) and component_id for each row of
+    docs, and with wide the columns that fingerprints() adds."""
+    rows = stored(fingerprints(docs, words, wide), "fingerprints")
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     roots = components(links(distinct, distinct.count(), distance))
     of = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     of = stored(of, "roots")
     first = stored(of.groupBy("root").agg(F.min("first_id").alias("component_id")), "components")
     of = stored(of.join(first, "root").select("fp", "root", "component_id"), "members")
-    return rows.join(of, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
+    return rows.join(of, "fp").select("doc_id", "text_key", "fp", "root", "component_id", *[c for c in rows.columns if c not in ("doc_id", "text_key", "fp")])
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -215,10 +222,25 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
-    """The rows of docs that are first in their component by doc_id, text and then the other columns:
-    one of each component. Nulls come last."""
-    found = near_duplicates(docs, words, distance)
+def with_similar(found: DataFrame) -> DataFrame:
+    """Rows of near_duplicates(wide=True) with root replaced by that of the groups which both kinds of
+    links make: fingerprints within the distance, and wide fingerprints within their limit."""
+    rows = stored(found, "near-duplicates")
+    nodes = stored(rows.select("node", *similar.FIELDS).distinct(), "wide-fingerprints")
+    near = similar.similar_links(nodes, nodes.count())
+    spread = rows.groupBy("root").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("root", "a")
+    bridges = rows.select("root", "node").distinct().join(stored(spread, "bridges"), "root").where("node <> a").select("a", F.col("node").alias("b"))
+    groups = components(near.union(bridges)).select("node", F.col("root").alias("group"))
+    return rows.join(groups, "node", "left").withColumn("root", F.coalesce("group", "node")).drop("group")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, similar_too: bool = False) -> DataFrame:
+    """The rows of docs that are first in their group by doc_id, text and then the other columns: one of
+    each group. Nulls come last. Groups are the components of near_duplicates(); with similar_too those
+    of texts that are similar by similar.py are joined to them."""
+    found = near_duplicates(docs, words, distance, similar_too)
+    if similar_too:
+        found = with_similar(found)
     doc, text, nth = (fresh(docs, c) for c in ("bw_doc", "bw_text", "bw_nth"))
     order = F.struct(F.col("doc_id").isNull().alias("null_id"), F.col("doc_id"), F.col("text_key"))
     keep = found.groupBy("root").agg(F.min(order).alias("o"))

@@ -20,8 +20,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked SimHash fingerprints, the one with the smallest doc_id."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of linked SimHash fingerprints, the one with the smallest doc_id. Two
+    texts link by the fingerprint's distance, or by a similarity of 0.8 or more over five words."""
+    return simhash.drop_near_duplicates(docs, similar_too=True)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
