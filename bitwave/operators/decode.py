@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import pcm, tables
+from ..functions import tables
 from . import entropy, hybrid, spectrum
 from .reservoir import assembled
 
@@ -130,8 +130,8 @@ def _kinds(column: pa.Array) -> np.ndarray:
 
 
 def pcm_granules(frames: DataFrame, window=None, extra_codes: dict | None = None, compat: bool = False) -> DataFrame:
-    """stream_id, frame_no, gr, channels and pcm (576 floats for each channel, interleaved) of the good
-    granules; a null pcm is silence.
+    """stream_id, frame_no, gr, channels, pcm (576 floats for each channel, interleaved, unclamped) and
+    pcm16 (scaled, clamped, rounded half to even) of the good granules; nulls are silence.
 
     window: the 512 synthesis coefficients; without it the designed ones. Both lags stand in the same
     partitioning, so one shuffle serves them."""
@@ -164,28 +164,30 @@ def pcm_granules(frames: DataFrame, window=None, extra_codes: dict | None = None
             n = some.num_rows
             now, before = (_stack(some.column(c), channels).reshape(2 * n, 18, 32) for c in ("bands", "before"))
             pcm = hybrid.synthesis(now, before, window).reshape(n, 2, 576).astype(np.float32) if n else np.zeros((0, 2, 576), np.float32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], _channels(pcm, channels, quiet, interleaved=True)], ["stream_id", "frame_no", "gr", "channels", "pcm"])
+            pcm16 = np.rint(np.clip(np.nan_to_num(pcm.astype(np.float64), nan=0.0) * 32768, -32768, 32767)).astype(np.int16)
+            both = [_channels(x, channels, quiet, interleaved=True) for x in (pcm, pcm16)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *both], ["stream_id", "frame_no", "gr", "channels", "pcm", "pcm16"])
 
-    return banded.mapInArrow(out, f"{head}, pcm array<float>")
+    return banded.mapInArrow(out, f"{head}, pcm array<float>, pcm16 array<smallint>")
 
 
 def _channels(values: np.ndarray, channels: np.ndarray, quiet: np.ndarray, interleaved: bool = False) -> pa.Array:
     """values (rows that are not quiet, 2, 576) as lists of the channels there are; null where quiet."""
     sizes = np.where(quiet, 0, channels * 576)
     parts = [v[:c].T.ravel() if interleaved else v[:c].ravel() for v, c in zip(values, channels[~quiet], strict=True)]
-    flat = np.concatenate([np.empty(0, np.float32), *parts])
+    flat = np.concatenate([np.empty(0, values.dtype), *parts])
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat), mask=pa.array(quiet))
 
 
 def pcm_frames(frames: DataFrame, window=None, extra_codes: dict | None = None) -> DataFrame:
     """stream_id, frame_no, channels, pcm_float (interleaved, unclamped) and pcm16 of good frames."""
     each = pcm_granules(frames, window, extra_codes)
-    each = each.withColumn("pcm", F.coalesce("pcm", F.array_repeat(F.lit(0.0).cast("float"), 576 * F.col("channels"))))
+    silence = lambda kind: F.array_repeat(F.lit(0).cast(kind), 576 * F.col("channels"))
+    each = each.withColumns({"pcm": F.coalesce("pcm", silence("float")), "pcm16": F.coalesce("pcm16", silence("smallint"))})
     # A frame has two granules at most, so this is a lag over rows that are sorted already.
     by = Window.partitionBy("stream_id").orderBy("frame_no", "gr")
-    before = F.lag(F.struct("frame_no", "pcm")).over(by)
+    before = F.lag(F.struct("frame_no", "pcm", "pcm16")).over(by)
     after = F.lead("frame_no").over(by)
     frame = each.withColumns({"before": before, "after": after}).where(F.col("after").isNull() | (F.col("after") != F.col("frame_no")))
-    whole = F.when(F.col("before.frame_no") == F.col("frame_no"), F.concat("before.pcm", "pcm")).otherwise(F.col("pcm"))
-    frame = frame.select("stream_id", "frame_no", "channels", whole.alias("pcm_float"))
-    return frame.withColumn("pcm16", pcm.quantise_all(F.col("pcm_float")))
+    whole = lambda c: F.when(F.col("before.frame_no") == F.col("frame_no"), F.concat(f"before.{c}", c)).otherwise(F.col(c))
+    return frame.select("stream_id", "frame_no", "channels", whole("pcm").alias("pcm_float"), whole("pcm16").alias("pcm16"))

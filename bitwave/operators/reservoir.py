@@ -1,14 +1,13 @@
 """The bit reservoir: an ordered fold over the frames of a stream.
 
 How the reservoir grows needs no entropy decoding: a frame's main data end where the sum of its
-part2_3 lengths says. fold_sizes() keeps to integers inside a stream; assembled() moves the bytes.
+part2_3 lengths says. fold_sizes() needs integers only; assembled() moves the bytes.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions import tables
 
@@ -18,26 +17,21 @@ MOST = 2048
 def fold_sizes(frames: DataFrame) -> DataFrame:
     """stream_id, frame_no, held (bytes before the frame), status, assembled (bytes, 0 on underflow)
     and left (bytes after it), of frames with main_data_begin, main_len, part2_3_bits and side_ok."""
-    one = F.struct("frame_no", "main_data_begin", "main_len", "part2_3_bits", "side_ok")
-    per = frames.groupBy("stream_id").agg(F.array_sort(F.collect_list(one)).alias("fs"))
-    none = F.array().cast("array<struct<frame_no:bigint,held:int,status:int,assembled:int,left:int>>")
-
-    def step(s, f):
-        held = s["left"]
-        fits = held >= f["main_data_begin"]
-        whole = F.when(f["side_ok"] & fits, f["main_data_begin"] + f["main_len"]).otherwise(0).cast("int")
-        used = F.ceil(f["part2_3_bits"] / 8)
-        left = (
-            F.when(~f["side_ok"], 0)
-            .when(~fits, F.least(held + f["main_len"], F.lit(MOST)))
-            .otherwise(F.least(F.greatest(whole - used, F.lit(0)), F.lit(MOST)))
-        ).cast("int")
-        status = F.when(~f["side_ok"], tables.STATUS["INVALID_HEADER"]).when(~fits, tables.STATUS["RESERVOIR_UNDERFLOW"]).otherwise(0)
-        row = F.struct(f["frame_no"].cast("long").alias("frame_no"), held.alias("held"), status.alias("status"), whole.alias("assembled"), left.alias("left"))
-        return F.struct(left.alias("left"), F.concat(s["rows"], F.array(row)).alias("rows"))
-
-    rows = F.aggregate("fs", F.struct(F.lit(0).alias("left"), none.alias("rows")), step, lambda s: s["rows"])
-    return per.select("stream_id", F.inline(rows))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("frame_no")
+        left, out = 0, []
+        for begin, length, bits, ok in zip(*[table.column(c).to_pylist() for c in ("main_data_begin", "main_len", "part2_3_bits", "side_ok")], strict=True):
+            held, fits = left, left >= begin
+            whole = begin + length if ok and fits else 0
+            left = 0 if not ok else min(held + length, MOST) if not fits else min(max(whole - -(-bits // 8), 0), MOST)
+            out.append((held, tables.STATUS["INVALID_HEADER"] if not ok else 0 if fits else tables.STATUS["RESERVOIR_UNDERFLOW"], whole, left))
+        columns = [pa.array(c, pa.int32()) for c in zip(*out, strict=True)]
+        return pa.table([table.column("stream_id"), table.column("frame_no").cast(pa.int64()), *columns], ["stream_id", "frame_no", "held", "status", "assembled", "left"])
+
+    kind = frames.schema["stream_id"].dataType.simpleString()
+    few = frames.select("stream_id", "frame_no", "main_data_begin", "main_len", "part2_3_bits", "side_ok")
+    return few.groupBy("stream_id").applyInArrow(run, f"stream_id {kind}, frame_no long, held int, status int, assembled int, left int")
 
 
 class Reservoir:

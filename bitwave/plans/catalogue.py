@@ -406,7 +406,7 @@ def _stream_bytes(spark, sf_dir):
     frame = F.expr("concat(unhex('5555555555'), unhex(lpad(hex(header_word), 8, '0')), unhex(repeat('00', frame_size_bytes - 4)))")
     each = fs.select("stream_id", "frame_no", frame.alias("bytes"))
     whole = each.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("frame_no", "bytes"))).alias("f"))
-    return whole.select(F.col("stream_id").cast("string").alias("stream_id"), F.aggregate("f", F.lit("").cast("binary"), lambda a, x: F.concat(a, x["bytes"])).alias("content"))
+    return whole.select(F.col("stream_id").cast("string").alias("stream_id"), F.unhex(F.array_join(F.transform("f", lambda x: F.hex(x["bytes"])), "")).alias("content"))
 
 
 _scan_sql = f"select cast(stream_id as varchar) as stream_id, frame_no - 1 as frame_no, cast(byte_offset + 5 * frame_no as bigint) as byte_offset, size as frame_size_bytes from {_index_sql}"
@@ -417,13 +417,12 @@ def frame_scan(spark, sf_dir):
     return files.scan_frames(_stream_bytes(spark, sf_dir)).select("stream_id", "frame_no", "byte_offset", "frame_size_bytes")
 
 
-@query(f"select cast(stream_id as varchar) as stream_id, count(*) as frames, cast(sum(spf * ch) as bigint) as samples, 0.0::double as peak, cast(0 as bigint) as sum16 from {frames_sql()} group by 1")
+@query(f"select cast(stream_id as varchar) as stream_id, count(*) as frames, cast(sum(spf * ch) as bigint) as samples, 0.0::double as peak, cast(0 as smallint) as low16, cast(0 as smallint) as high16 from {frames_sql()} group by 1")
 def decode_pcm(spark, sf_dir):
     """Silent streams through the whole decoder."""
     out = decode.pcm_frames(files.scan_frames(_stream_bytes(spark, sf_dir)))
-    peak = F.array_max(F.transform("pcm_float", lambda x: F.abs(x.cast("double"))))
-    total = F.aggregate("pcm16", F.lit(0).cast("long"), lambda a, x: a + x)
-    return out.groupBy("stream_id").agg(F.count("*").alias("frames"), F.sum(F.size("pcm16")).alias("samples"), F.max(peak).alias("peak"), F.sum(total).alias("sum16"))
+    peak = F.greatest(F.array_max("pcm_float"), -F.array_min("pcm_float")).cast("double")
+    return out.groupBy("stream_id").agg(F.count("*").alias("frames"), F.sum(F.size("pcm16")).alias("samples"), F.max(peak).alias("peak"), F.min(F.array_min("pcm16")).alias("low16"), F.max(F.array_max("pcm16")).alias("high16"))
 
 
 @query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(status as integer) as status, x0, y0, x1, y1, cast(case when y1 <> 0 then 4 when x1 <> 0 then 3 when y0 <> 0 then 2 when x0 <> 0 then 1 else 0 end as integer) as zero_start from (select l_orderkey, l_linenumber, l_partkey, l_suppkey, 0 as status, cast(l_partkey % 3 - 1 as integer) as x0, cast(l_suppkey % 3 - 1 as integer) as y0, cast(l_orderkey % 3 - 1 as integer) as x1, cast(l_linenumber % 3 - 1 as integer) as y1 from lineitem)")
