@@ -38,8 +38,9 @@ from pyspark.sql import functions as F
 from .common import partitions, stored, text_or_empty
 
 LENGTH, K, CELL = 400, 64, 32
-#: Occurrences of an anchor from which its windows stand alone.
-HOT = 256
+#: Occurrences of an anchor from which its windows stand alone: fewer suffixes that share a core are a
+#: small part of a target partition.
+HOT = 4096
 #: Bytes of suffixes in a run, and in a target partition on average, at most.
 RUN_BYTES, TARGET_BYTES = 32 << 20, 24 << 20
 #: Positions hashed at once.
@@ -106,8 +107,8 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 def cells(data: bytes, flagged: dict[int, bool]):
-    """(key, suffix, start, offset of the anchor from start) of the windows whose anchor is flagged;
-    the flag tells whether each stands alone."""
+    """(key, suffix, start, offset of the anchor from start, alone) of the windows whose anchor is
+    flagged; the flag tells whether each stands alone."""
     where, h, first, last, hashes = anchors(data)
     for i in np.flatnonzero(np.isin(h, np.fromiter(flagged, U, len(flagged)))).tolist():
         a, p1, p2 = int(where[i]), int(first[i]), int(last[i])
@@ -118,7 +119,7 @@ def cells(data: bytes, flagged: dict[int, bool]):
         core = hashes.of(a - number * width, LENGTH - width + 1)
         keys = mixed(core + mixed(number.astype(U) + U(width)))
         for key, s, e in zip(keys.tolist(), low.tolist(), high.tolist(), strict=True):
-            yield key, data[s : e + LENGTH], s, a - s
+            yield key, data[s : e + LENGTH], s, a - s, width == 1
 
 
 def common(a: bytes, b: bytes, at: int = 0) -> int:
@@ -151,27 +152,34 @@ def prefixes(strings: list[bytes]) -> np.ndarray:
     return out
 
 
-ENTRY = np.dtype([("shared", "<u2"), ("rest", "<u2"), ("key", "<u8"), ("offset", "<u2"), ("known", "u1"), ("start", "<u4"), ("text", "S16")])
+#: shared: bytes in common with the predecessor; rest: the others; known: 1 if all windows are marked,
+#: 2 if the window stands alone; text: place in the run's list of texts.
+ENTRY = np.dtype([("shared", "<u2"), ("rest", "<u2"), ("offset", "<u2"), ("known", "u1"), ("start", "<u4"), ("text", "<u4")])
 
 
-def packed(strings: list[bytes], shared: np.ndarray, entries: np.ndarray) -> bytes:
-    """A front-coded, compressed run."""
+def packed(strings: list[bytes], shared: np.ndarray, entries: np.ndarray, texts: list[bytes]) -> bytes:
+    """A front-coded, compressed run: columns of the entries, texts, then what each string adds."""
     entries["shared"] = shared
     entries["rest"] = [len(s) for s in strings] - shared
-    data = len(strings).to_bytes(8, "little") + entries.tobytes() + b"".join(s[k:] for s, k in zip(strings, shared.tolist(), strict=True))
+    head = len(strings).to_bytes(8, "little") + len(texts).to_bytes(8, "little")
+    data = head + b"".join(entries[c].tobytes() for c in ENTRY.names) + b"".join(texts) + b"".join(s[k:] for s, k in zip(strings, shared.tolist(), strict=True))
     return len(data).to_bytes(8, "little") + pa.Codec("zstd").compress(data, asbytes=True)
 
 
-def unpacked(blob: bytes) -> tuple[list[bytes], np.ndarray]:
+def unpacked(blob: bytes) -> tuple[list[bytes], np.ndarray, list[bytes]]:
     data = pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
-    n = int.from_bytes(data[:8], "little")
-    entries = np.frombuffer(data, ENTRY, n, 8)
-    strings, at, last = [], 8 + n * ENTRY.itemsize, b""
+    n, m = (int.from_bytes(data[i : i + 8], "little") for i in (0, 8))
+    entries, at = np.zeros(n, ENTRY), 16
+    for c in ENTRY.names:
+        entries[c] = np.frombuffer(data, ENTRY[c], n, at)
+        at += n * ENTRY[c].itemsize
+    texts = [data[i : i + 16] for i in range(at, at + 16 * m, 16)]
+    strings, at, last = [], at + 16 * m, b""
     for k, rest in zip(entries["shared"].tolist(), entries["rest"].tolist(), strict=True):
         last = last[:k] + data[at : at + rest]
         at += rest
         strings.append(last)
-    return strings, entries
+    return strings, entries, texts
 
 
 class LoserTree:
@@ -227,15 +235,26 @@ def marked_by_prefix(size: np.ndarray, shared: np.ndarray) -> np.ndarray:
     return np.clip(np.minimum(best, size) - LENGTH + 1, 0, None)
 
 
+def joined(windows) -> list[tuple[bytes, int, int]]:
+    """(text, first, stop) sorted, with ranges that touch made one."""
+    out: list[list] = []
+    for text, first, stop in sorted(windows):
+        if out and out[-1][0] == text and first <= out[-1][2]:
+            out[-1][2] = max(out[-1][2], stop)
+        else:
+            out.append([text, first, stop])
+    return [tuple(x) for x in out]
+
+
 class Runs:
-    """Collects suffixes of a task; gives rows (target, run, text, start, stop)."""
+    """Collects suffixes of a task; gives rows (target, run, text, first, stop)."""
 
     def __init__(self, targets: int):
         self.targets, self.held, self.bytes = targets, [], 0
 
     def add(self, text: bytes, data: bytes, flagged: dict[int, bool]):
-        for key, suffix, start, offset in cells(data, flagged):
-            self.held.append((suffix, key, start, offset, text))
+        for key, suffix, start, offset, alone in cells(data, flagged):
+            self.held.append((suffix, key, start, offset, text, alone))
             self.bytes += len(suffix) + 120
             if self.bytes > RUN_BYTES:
                 yield from self.flush()
@@ -244,57 +263,65 @@ class Runs:
         by: dict[int, list] = {}
         for x in self.held:
             by.setdefault(x[1] % self.targets, []).append(x)
-        self.held, self.bytes = [], 0
+        self.held, self.bytes, windows = [], 0, []
         for target in sorted(by):
-            rows = sorted(by[target], key=lambda x: (x[0], x[4], x[2]))
+            rows = sorted(by.pop(target), key=lambda x: (x[0], x[4], x[2]))
             strings = [x[0] for x in rows]
             shared, size = prefixes(strings), np.array([len(s) for s in strings])
             marked = marked_by_prefix(size, shared)
-            for i in np.flatnonzero(marked).tolist():
-                yield None, None, rows[i][4], rows[i][2], rows[i][2] + int(marked[i])
+            windows += [(rows[i][4], rows[i][2], rows[i][2] + int(marked[i])) for i in np.flatnonzero(marked).tolist()]
             # Equal suffixes become one; what it shares with its predecessor is the first one's.
             first = np.append(True, (shared[1:] < size[1:]) | (size[1:] != size[:-1]))
             keep = np.flatnonzero(first)
+            known = marked[keep] == size[keep] - LENGTH + 1
+            names: dict[bytes, int] = {}
             entries = np.zeros(len(keep), ENTRY)
-            for name, column in (("key", 1), ("start", 2), ("offset", 3), ("text", 4)):
-                entries[name] = [rows[i][column] for i in keep]
-            entries["known"] = marked[keep] == size[keep] - LENGTH + 1
-            yield target, packed([strings[i] for i in keep], shared[keep], entries), None, None, None
+            entries["start"], entries["offset"] = [rows[i][2] for i in keep], [rows[i][3] for i in keep]
+            entries["known"] = known + 2 * np.array([rows[i][5] for i in keep])
+            entries["text"] = [0 if k else names.setdefault(rows[i][4], len(names)) for i, k in zip(keep.tolist(), known.tolist(), strict=True)]
+            entries["start"][known] = 0
+            yield target, packed([strings[i] for i in keep], shared[keep], entries, list(names)), None, None, None
+        for text, a, b in joined(windows):
+            yield int.from_bytes(text[:8], "little") % self.targets, None, text, a, b
 
 
 def merge(blobs: list[bytes]):
     """(text, first window, window after the last) of windows marked in a target partition."""
-    runs, parts = [], []
+    runs, parts, names = [], [], []
     for blob in blobs:
-        strings, entries = unpacked(blob)
+        strings, entries, texts = unpacked(blob)
         runs.append((strings, entries["shared"].tolist()))
+        entries["text"] += len(names)
+        names += texts
         parts.append(entries)
     if not runs:
-        return
+        return []
     order = list(LoserTree(runs))
     strings = [runs[r][0][i] for r, i, _ in order]
     shared = np.array([k for _, _, k in order])
     base = np.cumsum([0] + [len(p) for p in parts])
     entries = np.concatenate(parts)[[base[r] + i for r, i, _ in order]]
+    del runs, parts
     size = np.array([len(s) for s in strings])
     marked = marked_by_prefix(size, shared)
-    open_ = (entries["known"] == 0) & (marked < size - LENGTH + 1)
-    text = [bytes(t).ljust(16, b"\0") for t in entries["text"]]  # numpy drops zero bytes at the end
-    start = entries["start"].tolist()
-    for i in np.flatnonzero((marked > 0) & (entries["known"] == 0)).tolist():
-        yield text[i], start[i], start[i] + int(marked[i])
+    known, alone = entries["known"] & 1 == 1, entries["known"] & 2 == 2
+    text, start, offset = entries["text"].tolist(), entries["start"].tolist(), entries["offset"].tolist()
+    out = [(names[text[i]], start[i], start[i] + int(marked[i])) for i in np.flatnonzero((marked > 0) & ~known).tolist()]
     # Windows that no aligned neighbour has: sort those of a cell once more, each at its own offset.
-    key = entries["key"]
-    by = np.argsort(key, kind="stable")
-    edge = np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1]))
-    offset = entries["offset"].tolist()
-    for a, b in zip(edge.tolist(), np.append(edge[1:], len(by)).tolist(), strict=True):
-        group = by[a:b]
-        if b - a < 2 or not open_[group].any():
+    # A cell's suffixes share its core, which no window of it leaves out.
+    open_ = ~known & ~alone & (marked < size - LENGTH + 1)
+    if not open_.any():
+        return joined(out)
+    groups: dict[tuple[int, bytes], list[int]] = {}
+    for i in np.flatnonzero(~alone).tolist():
+        number, low = divmod(offset[i], CELL)
+        groups.setdefault((number, strings[i][low : low + LENGTH - CELL + 1]), []).append(i)
+    for group in groups.values():
+        if len(group) < 2 or not open_[group].any():
             continue
         at: dict[int, list] = {}
-        wanted = {offset[i] - t for i in group[open_[group]].tolist() for t in range(int(marked[i]), len(strings[i]) - LENGTH + 1)}
-        for i in group.tolist():
+        wanted = {offset[i] - t for i in group if open_[i] for t in range(int(marked[i]), len(strings[i]) - LENGTH + 1)}
+        for i in group:
             for t in range(len(strings[i]) - LENGTH + 1):
                 if offset[i] - t in wanted:
                     at.setdefault(offset[i] - t, []).append((strings[i][t : t + LENGTH], i, t))
@@ -304,7 +331,8 @@ def merge(blobs: list[bytes]):
                 same = [x[0] == y[0] for x, y in zip(windows, windows[1:], strict=False)]
                 for (_, i, t), left, right in zip(windows, [False, *same], [*same, False], strict=True):
                     if (left or right) and open_[i]:
-                        yield text[i], start[i] + t, start[i] + t + 1
+                        out.append((names[text[i]], start[i] + t, start[i] + t + 1))
+    return joined(out)
 
 
 def spans(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -322,27 +350,28 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(texts with their number of rows, candidate texts, marked windows by text)."""
     spark = docs.sparkSession
     doc_key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_key")
-    rows = docs.select(doc_key, F.md5(text_or_empty().cast("binary")).alias("text_key"), text_or_empty().alias("text"))
+    rows = docs.select(doc_key, F.md5(text_or_empty().cast("binary")).alias("text_key"), F.xxhash64(text_or_empty()).alias("text_no"), text_or_empty().alias("text"))
 
     def look(batches):
         for batch in batches:
-            data = [t.encode() for t in batch.column(2).to_pylist()]
+            data = [t.encode() for t in batch.column(3).to_pylist()]
             found = [anchors(d)[1].view(np.int64) for d in data]
             ends = np.cumsum([0] + [len(f) for f in found])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(d) for d in data], pa.int64()), lists], ["doc_key", "text_key", "n_bytes", "anchors"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(d) for d in data], pa.int64()), lists], ["doc_key", "text_key", "text_no", "n_bytes", "anchors"])
 
-    seen = stored(rows.mapInArrow(look, "doc_key string, text_key string, n_bytes long, anchors array<long>"), "suffix-anchors")
-    texts = seen.groupBy("text_key").agg(F.count("*").alias("n"), F.min("doc_key").alias("doc_key"), F.first("n_bytes").alias("n_bytes"))
+    seen = stored(rows.mapInArrow(look, "doc_key string, text_key string, text_no long, n_bytes long, anchors array<long>"), "suffix-anchors")
+    texts = seen.groupBy("text_key", "text_no").agg(F.count("*").alias("n"), F.min("doc_key").alias("doc_key"), F.first("n_bytes").alias("n_bytes"))
     texts = stored(texts, "suffix-texts")
-    # Anchors of one row for each text; a text that occurs in two rows of one id is counted once below.
-    of = seen.join(texts.select("text_key", "doc_key"), ["text_key", "doc_key"], "left_semi").dropDuplicates(["text_key"])
-    each = of.select("text_key", "doc_key", F.explode("anchors").alias("anchor"))
+    # Anchors of one row for each text. The short number stands for the text from here on: should two
+    # texts share one, they share candidates, which only adds some.
+    of = seen.join(texts.select("text_key", "doc_key"), ["text_key", "doc_key"], "left_semi").dropDuplicates(["text_key", "doc_key"])
+    each = of.select("text_no", F.explode("anchors").alias("anchor"))
     twice = stored(each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > HOT).alias("hot")), "suffix-repeated-anchors")
     flagged = stored(each.join(twice, "anchor"), "suffix-flagged")
-    flagged = flagged.groupBy("text_key", "doc_key").agg(F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("cool"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
-    flagged = stored(flagged, "suffix-candidates")
-    chosen = rows.join(flagged, ["text_key", "doc_key"]).dropDuplicates(["text_key", "doc_key"])
+    flagged = flagged.groupBy("text_no").agg(F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("cool"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    flagged = stored(texts.select("text_key", "text_no", "doc_key").join(flagged, "text_no").drop("text_no"), "suffix-candidates")
+    chosen = rows.drop("text_no").join(flagged, ["text_key", "doc_key"]).dropDuplicates(["text_key", "doc_key"])
     chosen = stored(chosen.select("text_key", "text", "cool", "hot"), "suffix-candidate-texts")
 
     amount = chosen.agg(F.sum(F.size("cool") * F.lit(170 * 14) + F.size("hot") * F.lit(170 * 400))).first()[0] or 0
@@ -366,27 +395,31 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         for i in range(0, len(rows), 2000):
             yield batch_of(rows[i : i + 2000])
 
-    made = stored(chosen.mapInArrow(cut, "target int, run binary, text binary, first long, stop long"), "suffix-runs")
-
     def join(batches):
         blobs, target = [], None
         for batch in batches:
-            for t, blob in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for t, blob, text, first, stop in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if blob is None:
+                    passed.append((text, first, stop))
+                    continue
                 if t != target:
-                    yield from given(blobs)
+                    yield from given(merge(blobs))
                     blobs, target = [], t
                 blobs.append(blob)
-        yield from given(blobs)
+            yield from given(passed)
+            passed.clear()
+        yield from given(merge(blobs))
+
+    passed: list = []
 
-    def given(blobs):
-        rows = list(merge(blobs))
+    def given(rows):
         for i in range(0, len(rows), 50_000):
             part = rows[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*part, strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)], ["text", "first", "stop"])
 
-    dealt = made.where("target is not null").select("target", "run").repartitionById(targets, F.col("target")).sortWithinPartitions("target")
-    windows = made.where("target is null").select("text", "first", "stop").union(dealt.mapInArrow(join, "text binary, first long, stop long"))
-    return texts, chosen, windows
+    made = chosen.mapInArrow(cut, "target int, run binary, text binary, first long, stop long")
+    dealt = made.repartitionById(targets, F.col("target")).sortWithinPartitions("target")
+    return texts, chosen, dealt.mapInArrow(join, "text binary, first long, stop long")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
