@@ -220,7 +220,8 @@ def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
         ids, langs, sizes, nats = [], [], [], []
         for batch, texts in _rows(left):
             g, n = grams(texts)
-            lp = log_probabilities(g, known, logp, backoff) if len(known) else np.zeros(len(g))
+            each, at = np.unique(g, return_inverse=True)  # few of a chunk's grams are distinct
+            lp = log_probabilities(each, known, logp, backoff)[at] if len(known) else np.zeros(len(g))
             ends = np.cumsum(n)
             sums = np.append(0.0, np.cumsum(lp))
             total = sums[ends] - sums[ends - n]
