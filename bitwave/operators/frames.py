@@ -109,3 +109,54 @@ def trimmed(index: DataFrame, delay: Column, padding: Column) -> DataFrame:
 def latest_seek(requests: DataFrame) -> DataFrame:
     """Of concurrent seek requests of a stream (generation, target) only the latest counts."""
     return requests.groupBy("stream_id").agg(F.max("generation").alias("generation"), F.max_by("target", "generation").alias("target"))
+
+
+def stream_headers(frames: DataFrame) -> DataFrame:
+    """What the first frame of each stream declares: one row for each stream, for stream_info()."""
+    from ..functions import metadata
+
+    by = Window.partitionBy("stream_id").orderBy("frame_no")
+    first = frames.withColumn("nth", F.row_number().over(by)).where("nth = 1")
+    first = first.withColumn("side_start", F.col("header_bytes") + F.col("side_info_bytes")).select("stream_id", "content", "side_start")
+    return metadata.with_stream_header(first).drop("content", "side_start")
+
+
+def page(index: DataFrame, probes: DataFrame, seconds: float) -> DataFrame:
+    """The frames of each stream from the one that holds a position (stream_id, target) on, as far as
+    they start within some seconds of it."""
+    start = frame_at(index.select("stream_id", "frame_no", "sample_offset", "samples_per_frame"), probes, "target").select("stream_id", F.col("frame_no").alias("from_no"), F.col("sample_offset").alias("from_sample"))
+    rate = index.groupBy("stream_id").agg(F.min_by("sample_rate_hz", "frame_no").alias("rate"))
+    inside = (F.col("frame_no") >= F.col("from_no")) & (F.col("sample_offset") < F.col("from_sample") + seconds * F.col("rate"))
+    return index.join(start.where("from_no is not null"), "stream_id").join(rate, "stream_id").where(inside).select(*index.columns)
+
+
+def granule_windows(samples: DataFrame, size: int = 576) -> DataFrame:
+    """Tumbling windows of size samples over (stream_id, sample_no, value)."""
+    window = F.floor(F.col("sample_no") / size).cast("long").alias("granule_no")
+    return samples.groupBy("stream_id", window).agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.sum(F.col("value").cast("long")).alias("total"))
+
+
+#: Player states by number.
+STATES = ("NoFile", "Loaded", "Playing", "Paused", "Stopped")
+
+
+def player_states(commands: DataFrame) -> DataFrame:
+    """commands (stream_id, seq, command: load, play, pause or stop) with the state after each.
+
+    Without a file all but load is refused. Load, play and stop set the state whatever it was, and a
+    pause counts only while playing, so the state follows from the last of the three and whether a
+    pause came after it: windows, and no fold."""
+    by = Window.partitionBy("stream_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    loaded = F.max(F.when(F.col("command") == "load", 1)).over(by).isNotNull()
+    df = commands.withColumn("has_file", loaded)
+    set_by = F.when(F.col("has_file") & F.col("command").isin("load", "play", "stop"), F.struct("seq", "command"))
+    df = df.withColumn("setter", F.last(set_by, ignorenulls=True).over(by)).withColumn("paused", F.max(F.when(F.col("command") == "pause", F.col("seq"))).over(by))
+    playing = F.when(F.col("paused") > F.col("setter.seq"), STATES[3]).otherwise(STATES[2])
+    state = F.when(~F.col("has_file"), STATES[0]).when(F.col("setter.command") == "load", STATES[1]).when(F.col("setter.command") == "stop", STATES[4]).otherwise(playing)
+    return df.withColumn("state", state).drop("has_file", "setter", "paused")
+
+
+def totals(runs: DataFrame) -> DataFrame:
+    """Over runs (audio_seconds, decode_seconds, bytes): sums, and ratios of the sums."""
+    s = runs.agg(F.count("*").alias("runs"), F.sum("audio_seconds").alias("audio_seconds"), F.sum("decode_seconds").alias("decode_seconds"), F.sum("bytes").alias("bytes"))
+    return s.withColumns({"realtime_factor": F.col("audio_seconds") / F.col("decode_seconds"), "mb_per_second": F.col("bytes") / 1048576 / F.col("decode_seconds")})

@@ -15,6 +15,7 @@ from ..operators import frames as frame_ops
 from ..operators import reservoir as reservoir_ops
 from ..sources import files, wav
 from ..streaming import decoder as stream_decoder
+from ..streaming.samples import stream_samples
 from .lenses import ODD_WORD, WORD, frames, frames_sql, header_sql, table, words
 
 QUERIES: dict = {}
@@ -156,6 +157,35 @@ def player_latest_seek(spark, sf_dir):
     return frame_ops.latest_seek(asked)
 
 
+@query(f"""with i as (select * from {_index_sql}), p as (select cast(event_id as bigint) as stream_id, cast(event_id * 577 % 400000 as bigint) as target from events where event_id <= 100),
+  f as (select stream_id, max(sample_offset) as at_sample from p join i using (stream_id) where sample_offset <= target group by 1), r as (select stream_id, arg_min(rate, frame_no) as rate from i group by 1)
+  select stream_id, frame_no, cast(sample_offset as bigint) as sample_offset from i join f using (stream_id) join r using (stream_id) where sample_offset >= at_sample and sample_offset < at_sample + 0.5 * r.rate""")
+def page_from_seek(spark, sf_dir):
+    """Half a second of frames from a position."""
+    index = frame_ops.frame_index(frames(spark, sf_dir))
+    asked = table(spark, sf_dir, "events").where("event_id <= 100").select(F.col("event_id").cast("long").alias("stream_id"), F.expr("cast(event_id * 577 % 400000 as bigint)").alias("target"))
+    return frame_ops.page(index, asked, 0.5).select("stream_id", "frame_no", "sample_offset")
+
+
+_commands = "['load', 'play', 'pause', 'stop', 'play', 'pause', 'play']"
+
+
+@query(f"""with recursive c as (select user_id as stream_id, event_id as seq, {_commands}[event_id * 5 % 7 + 1] as command, row_number() over (partition by user_id order by event_id) as k from events),
+  s as (select stream_id, seq, command, k, case when command = 'load' then 'Loaded' else 'NoFile' end as state from c where k = 1
+    union all select c.stream_id, c.seq, c.command, c.k, case when c.command = 'load' then 'Loaded' when s.state = 'NoFile' then 'NoFile' when c.command = 'play' then 'Playing' when c.command = 'stop' then 'Stopped'
+      when s.state = 'Playing' then 'Paused' else s.state end from s join c on c.stream_id = s.stream_id and c.k = s.k + 1)
+  select stream_id, seq, command, state from s""")
+def player_states(spark, sf_dir):
+    command = F.element_at(F.array(*map(F.lit, ("load", "play", "pause", "stop", "play", "pause", "play"))), F.expr("cast(event_id * 5 % 7 + 1 as int)"))
+    return frame_ops.player_states(table(spark, sf_dir, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), command.alias("command")))
+
+
+@query("""select *, cast(round(audio / decode * 1e6) as bigint) as realtime_micro from (select count(*) as runs, cast(sum(l_partkey % 50 + 1) as bigint) as audio, cast(sum(l_suppkey % 9 + 1) as bigint) as decode, cast(sum(l_orderkey % 1000) as bigint) as bytes from lineitem)""")
+def benchmark_summary(spark, sf_dir):
+    runs = table(spark, sf_dir, "lineitem").selectExpr("l_partkey % 50 + 1 as audio_seconds", "l_suppkey % 9 + 1 as decode_seconds", "l_orderkey % 1000 as bytes")
+    return frame_ops.totals(runs).select("runs", F.col("audio_seconds").alias("audio"), F.col("decode_seconds").alias("decode"), "bytes", micro(F.col("realtime_factor")).alias("realtime_micro"))
+
+
 # --- Tags and stream headers in bytes -------------------------------------------------------------
 
 
@@ -252,6 +282,11 @@ def pcm_peaks(spark, sf_dir):
     return signal.peaks(table(spark, sf_dir, "events").select(F.col("user_id").alias("stream_id"), x.alias("value")))
 
 
+@query(f"select stream_id, sample_no // 16 as granule_no, count(*) as n, min(v)::smallint as low, max(v)::smallint as high, cast(sum(v) as bigint) as total from {_signal_sql(1.0)} group by 1, 2")
+def granule_windows(spark, sf_dir):
+    return frame_ops.granule_windows(_signal(spark, sf_dir), 16)
+
+
 @query(f"""with s as (select * from {_signal_sql(1.0)}), n as (select stream_id, max(sample_no) + 1 as n from s group by 1),
   o as (select stream_id, n, unnest(range(greatest(cast(round(n * 48000 / 44100) as bigint), 1))) as out_no from n),
   p as (select *, out_no * 44100.0::double / 48000.0::double as source from o), q as (select *, least(cast(floor(source) as bigint), n - 1) as i0 from p)
@@ -425,6 +460,23 @@ def decode_pcm(spark, sf_dir):
     return out.groupBy("stream_id").agg(F.count("*").alias("frames"), F.sum(F.size("pcm16")).alias("samples"), F.max(peak).alias("peak"), F.min(F.array_min("pcm16")).alias("low16"), F.max(F.array_max("pcm16")).alias("high16"))
 
 
+@query(f"""select cast(stream_id as varchar) as stream_id, count(*) as frames, cast(sum(spf // 576 * ch) as bigint) as granules, cast(0 as bigint) as bad from {frames_sql()} group by 1""")
+def granule_table(spark, sf_dir):
+    out = decode.granules(files.scan_frames(_stream_bytes(spark, sf_dir)))
+    return out.groupBy("stream_id").agg(F.count_if((F.col("gr") == 0) & (F.col("ch") == 0)).alias("frames"), F.count_if(F.size("xr") == 576).alias("granules"), F.count_if((F.col("status") != 0) | (F.col("non_zero") != 0)).alias("bad"))
+
+
+@query(f"""with f as (select * from {frames_sql()})
+  select cast(stream_id as varchar) as stream_id, count(*) + 1 as frame_count, cast(case when stream_id % 2 = 1 then 500 + stream_id else count(*) + 1 end as bigint) as total_frames,
+    cast(case when stream_id % 2 = 1 then (500 + stream_id) * case when arg_max(v, frame_no) = 3 then 1152 else 576 end else sum(spf) + 1152 end as bigint) as total_samples, 1 as bitrate_mode from f group by stream_id""")
+def stream_info_from_bytes(spark, sf_dir):
+    """Statistics of whole streams: an Info frame (of 44.1 kHz, stereo) comes first in every second."""
+    info = "concat(unhex('FFFB9000'), unhex(repeat('00', 32)), unhex(if(cast(stream_id as int) % 2 = 1, concat(hex('Info'), '00000001', lpad(hex(500 + cast(stream_id as int)), 8, '0')), repeat('00', 12))), unhex(repeat('00', 369)))"
+    sources = _stream_bytes(spark, sf_dir).select("stream_id", F.expr(f"concat({info}, content)").alias("content"))
+    found = files.scan_frames(sources)
+    return frame_ops.stream_info(found, frame_ops.stream_headers(found)).select("stream_id", "frame_count", "total_frames", "total_samples", "bitrate_mode")
+
+
 @query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(status as integer) as status, x0, y0, x1, y1, cast(case when y1 <> 0 then 4 when x1 <> 0 then 3 when y0 <> 0 then 2 when x0 <> 0 then 1 else 0 end as integer) as zero_start from (select l_orderkey, l_linenumber, l_partkey, l_suppkey, 0 as status, cast(l_partkey % 3 - 1 as integer) as x0, cast(l_suppkey % 3 - 1 as integer) as y0, cast(l_orderkey % 3 - 1 as integer) as x1, cast(l_linenumber % 3 - 1 as integer) as y1 from lineitem)")
 def huffman_decode(spark, sf_dir):
     """Two pairs coded with table 1 and decoded again."""
@@ -446,20 +498,31 @@ def huffman_decode(spark, sf_dir):
     return df.mapInArrow(run, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, status int, x0 int, y0 int, x1 int, y1 int, zero_start int")
 
 
-@query(_scan_sql)
-def stream_decode(spark, sf_dir):
-    """The same frames by Structured Streaming, from chunks of odd sizes."""
+def _streamed(spark, sf_dir, decoded):
+    """What decoded() makes of the streams cut into chunks of an odd size, run until all are read."""
     at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="bitwave-")
     at = f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
     size = 4093
     source = _stream_bytes(spark, sf_dir)
     pieces = source.select("stream_id", "content", F.explode(F.sequence(F.lit(0), F.floor((F.length("content") - 1) / size).cast("int"))).alias("i"))
     pieces.select("stream_id", F.col("i").cast("long").alias("seq"), F.expr(f"substring(content, i * {size} + 1, {size})").alias("chunk")).write.parquet(f"{at}/chunks")
-    chunks = spark.readStream.schema(stream_decoder.CHUNKS).parquet(f"{at}/chunks")
-    out = stream_decoder.stream_frames(chunks).select("stream_id", "frame_no", "byte_offset", "frame_size_bytes")
-    run = out.writeStream.format("parquet").option("path", f"{at}/frames").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    out = decoded(spark.readStream.schema(stream_decoder.CHUNKS).parquet(f"{at}/chunks"))
+    run = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{at}/frames")
+    return spark.read.schema(out.schema).parquet(f"{at}/out")
+
+
+@query(_scan_sql)
+def stream_decode(spark, sf_dir):
+    """The frames by Structured Streaming."""
+    return _streamed(spark, sf_dir, lambda chunks: stream_decoder.stream_frames(chunks).select("stream_id", "frame_no", "byte_offset", "frame_size_bytes"))
+
+
+@query(f"select cast(stream_id as varchar) as stream_id, count(*) as frames, cast(sum(spf * ch) as bigint) as samples, cast(0 as smallint) as low16, cast(0 as smallint) as high16 from {frames_sql()} group by 1")
+def stream_pcm(spark, sf_dir):
+    """The samples by Structured Streaming."""
+    out = _streamed(spark, sf_dir, stream_samples)
+    return out.groupBy("stream_id").agg(F.count("*").alias("frames"), F.sum(F.size("pcm16")).alias("samples"), F.min(F.array_min("pcm16")).alias("low16"), F.max(F.array_max("pcm16")).alias("high16"))
 
 
 def names() -> list[str]:

@@ -190,3 +190,38 @@ def test_wave_files(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["x.wav", "y.wav"]
     got = spark.range(1).select(wav.header(header.F.lit(4), header.F.lit(44100), header.F.lit(2)).alias("h")).first().h
     assert bytes(got) == wav.header_bytes(4, 44100, 2)
+
+
+@pytest.mark.parametrize("size", [1, 97, 5000])
+def test_chunks_to_samples_equal_the_batch_decoder(spark, size):
+    from bitwave.streaming.samples import StreamDecoder
+
+    stream = b"".join(frame(pairs=[(1, -1)] * (5 + i), quads=[(1, 0, -1, 1)] * 2, mode=i % 2, extension=2 * (i % 2), begin=0 if i != 4 else 200, block=(None, (1, 0), (2, 0), (2, 1), (3, 0))[i % 5]) for i in range(9))
+    df = spark.createDataFrame([("a", stream)], "stream_id string, content binary")
+    batch = {r.frame_no: r.pcm_float for r in decode.pcm_frames(files.scan_frames(df)).collect()}
+    decoder, got = StreamDecoder(), {}
+    for a in range(0, len(stream), size):
+        for no, _, status, channels, pcm in decoder.feed(stream[a : a + size]):
+            assert (status == 0) == (pcm is not None)
+            if pcm is not None:
+                got[no] = pcm
+    assert sorted(got) == sorted(batch) and len(got) >= 8
+    assert all(np.abs(got[i] - np.array(batch[i], np.float32)).max() < 1e-6 for i in got)
+    assert max(np.abs(x).max() for x in got.values()) > 0
+
+
+def test_streaming_query_to_samples(spark, tmp_path):
+    from bitwave.streaming.samples import stream_samples
+
+    stream = b"".join(frame(pairs=[(1, -1)] * (5 + i)) for i in range(20))
+    rows = [("s", i, stream[a : a + 700]) for i, a in enumerate(range(0, len(stream), 700))]
+    rows = rows[3:] + rows[:3]  # late chunks wait for their turn
+    for i in range(0, len(rows), 5):
+        spark.createDataFrame(rows[i : i + 5], "stream_id string, seq long, chunk binary").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("stream_id string, seq long, chunk binary").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = stream_samples(source).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = {r.frame_no: r.pcm16 for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    df = spark.createDataFrame([("s", stream)], "stream_id string, content binary")
+    want = {r.frame_no: r.pcm16 for r in decode.pcm_frames(files.scan_frames(df)).collect()}
+    assert got == want and len(got) == 20
