@@ -21,6 +21,7 @@ import hashlib
 import heapq
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 LONG_TEXT, CUT = 100_000, 50_000
 #: Bytes from which a single match is merged with a heap.
 LONG_PIECE = 2_000
+#: Texts whose ids are held at once.
+SLICE = 256
 #: Bytes of a rank file that are sent to all executors, at most.
 MOST_RANK_BYTES = 64 << 20
 #: A boundary after a letter, digit or common mark, before a space or newline.
@@ -126,9 +129,13 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         coder = _coder(sent.value, pattern)
-        for batch in batches:
-            ids = pa.array([coder.encode(t or "") for t in batch.column(at).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
+        for whole in batches:
+            for a in range(0, whole.num_rows, SLICE):  # a batch's ids take much more room than its texts
+                batch = whole.slice(a, SLICE)
+                ids = [np.array(coder.encode(t or ""), np.int32) for t in batch.column(at).to_pylist()]
+                ends = np.append(0, np.cumsum([len(x) for x in ids]))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "ids"])
 
     from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
