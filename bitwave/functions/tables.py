@@ -70,6 +70,35 @@ EMPTY_TABLES = (0, 4, 14)
 # --- Built from rules or parameters ---------------------------------------------------------------
 
 
+@lru_cache(maxsize=1)
+def header_tables() -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """(status, frame bytes without padding) by the 11 header bits of version, layer, protection,
+    bitrate and rate. The status leaves out sync and emphasis; no valid combination is so short that
+    the side information of either channel mode would not fit."""
+    statuses, sizes = [], []
+    for key in range(2048):
+        version, layer, bitrate, rate = key >> 9, (key >> 7) & 3, (key >> 2) & 15, key & 3
+        status, size = 0, 0
+        if version == 1 or layer == 0:
+            status = STATUS["INVALID_HEADER"]
+        elif layer != 1:
+            status = STATUS["UNSUPPORTED"]
+        elif bitrate == 15:
+            status = STATUS["INVALID_HEADER"]
+        elif bitrate == 0:
+            status = STATUS["UNSUPPORTED"]
+        elif rate == 3:
+            status = STATUS["INVALID_HEADER"]
+        else:
+            hz = RATES[4 * version + rate]
+            size = 144000 * BITRATES_1[bitrate] // hz if version == 3 else 72000 * BITRATES_2[bitrate] // hz
+            if size < 6 + (32 if version == 3 else 17):
+                raise AssertionError("a frame may be shorter than its side information")
+        statuses.append(status)
+        sizes.append(size)
+    return tuple(statuses), tuple(sizes)
+
+
 def bands(rate: int, short: bool = False) -> tuple[int, ...]:
     of = SHORT_BANDS if short else LONG_BANDS
     return of.get(BANDS_OF.get(rate, rate), of[44100])
