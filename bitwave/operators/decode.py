@@ -53,8 +53,14 @@ def _decoded(batch, books: dict, compat: bool):
         yield stream, frame, rate, channels, status, out
 
 
+def _by_stream(df: DataFrame) -> DataFrame:
+    """df dealt by stream to as many partitions as shuffles have. Rows can be small here and what is made
+    of them large, so their number is not left to their size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "stream_id")
+
+
 def _ready(frames: DataFrame) -> DataFrame:
-    return assembled(frames.withColumn("stream_id", F.col("stream_id").cast("string"))).select(*NAMES)
+    return assembled(_by_stream(frames.withColumn("stream_id", F.col("stream_id").cast("string")))).select(*NAMES)
 
 
 def granules(frames: DataFrame, extra_codes: dict | None = None, compat: bool = False) -> DataFrame:
@@ -106,7 +112,7 @@ def _small(batches):
             yield batch.slice(a, 1024)
 
 
-def _stack(column: pa.Array, channels: np.ndarray) -> np.ndarray:
+def _stack(column: pa.Array) -> np.ndarray:
     """A nullable column of 576 values for each channel as (rows, 2, 576); what is missing is zero."""
     out = np.zeros((len(column), 2, 576))
     have = column.is_valid().to_numpy(zero_copy_only=False)
@@ -129,14 +135,14 @@ def _kinds(column: pa.Array) -> np.ndarray:
     return out
 
 
-def pcm_granules(frames: DataFrame, window=None, extra_codes: dict | None = None, compat: bool = False) -> DataFrame:
-    """stream_id, frame_no, gr, channels, pcm (576 floats for each channel, interleaved, unclamped) and
-    pcm16 (scaled, clamped, rounded half to even) of the good granules; nulls are silence.
+def pcm_frames(frames: DataFrame, window=None, extra_codes: dict | None = None, compat: bool = False) -> DataFrame:
+    """stream_id, frame_no, channels, pcm_float (interleaved, unclamped) and pcm16 (scaled, clamped,
+    rounded half to even) of good frames.
 
-    window: the 512 synthesis coefficients; without it the designed ones. Both lags stand in the same
-    partitioning, so one shuffle serves them."""
+    window: the 512 synthesis coefficients; without it the designed ones. Both lags and the joining of
+    a frame's granules go by one partitioning and order, so one shuffle serves them."""
     by = Window.partitionBy("stream_id").orderBy("frame_no", "gr")
-    now = _lines(frames, extra_codes, compat)
+    now = _by_stream(_lines(frames, extra_codes, compat))
     now = now.withColumns({"p_kinds": F.lag("kinds").over(by), "p_xr": F.lag("xr").over(by)})
 
     def bands(batches):
@@ -148,46 +154,52 @@ def pcm_granules(frames: DataFrame, window=None, extra_codes: dict | None = None
             args = []
             for p in ("", "p_"):
                 kinds = _kinds(some.column(f"{p}kinds")).reshape(2 * n, 3)
-                args += [_stack(some.column(f"{p}xr"), channels).reshape(2 * n, 576), kinds[:, 0], kinds[:, 1], kinds[:, 2]]
+                args += [_stack(some.column(f"{p}xr")).reshape(2 * n, 576), kinds[:, 0], kinds[:, 1], kinds[:, 2]]
             out = hybrid.subbands(*args).reshape(n, 2, 576).astype(np.float32) if n else np.zeros((0, 2, 576), np.float32)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], _channels(out, channels, quiet)], ["stream_id", "frame_no", "gr", "channels", "bands"])
 
     head = "stream_id string, frame_no long, gr int, channels int"
     banded = now.select("stream_id", "frame_no", "gr", "channels", "kinds", "xr", "p_kinds", "p_xr").mapInArrow(bands, f"{head}, bands array<float>")
-    banded = banded.withColumn("before", F.lag("bands").over(by))
+    banded = banded.withColumn("before", F.lag("bands").over(by)).sortWithinPartitions("stream_id", "frame_no", "gr")
 
     def out(batches):
+        held: list = []  # the granules of the last frame so far
         for batch in _small(batches):
             quiet = ~(batch.column("bands").is_valid().to_numpy(zero_copy_only=False) | batch.column("before").is_valid().to_numpy(zero_copy_only=False))
-            channels = batch.column("channels").to_numpy()
             some = batch.filter(pa.array(~quiet))
             n = some.num_rows
-            now, before = (_stack(some.column(c), channels).reshape(2 * n, 18, 32) for c in ("bands", "before"))
+            now, before = (_stack(some.column(c)).reshape(2 * n, 18, 32) for c in ("bands", "before"))
             pcm = hybrid.synthesis(now, before, window).reshape(n, 2, 576).astype(np.float32) if n else np.zeros((0, 2, 576), np.float32)
-            pcm16 = np.rint(np.clip(np.nan_to_num(pcm.astype(np.float64), nan=0.0) * 32768, -32768, 32767)).astype(np.int16)
-            both = [_channels(x, channels, quiet, interleaved=True) for x in (pcm, pcm16)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *both], ["stream_id", "frame_no", "gr", "channels", "pcm", "pcm16"])
+            at = np.cumsum(~quiet) - 1
+            rows = []
+            for i, (stream, frame, channels) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("stream_id", "frame_no", "channels")], strict=True)):
+                if held and held[0][:2] != (stream, frame):
+                    rows.append(held)
+                    held = []
+                held.append((stream, frame, channels, SILENCE[: 576 * channels] if quiet[i] else pcm[at[i], :channels].T.ravel()))
+            if rows:
+                yield _frames(rows)
+        if held:
+            yield _frames([held])
+
+    return banded.mapInArrow(out, "stream_id string, frame_no long, channels int, pcm_float array<float>, pcm16 array<smallint>")
+
 
-    return banded.mapInArrow(out, f"{head}, pcm array<float>, pcm16 array<smallint>")
+SILENCE = np.zeros(1152, np.float32)
 
 
-def _channels(values: np.ndarray, channels: np.ndarray, quiet: np.ndarray, interleaved: bool = False) -> pa.Array:
+def _frames(rows: list[list[tuple]]) -> pa.RecordBatch:
+    flat = np.concatenate([x for granules in rows for *_, x in granules])
+    pcm16 = np.rint(np.clip(np.nan_to_num(flat.astype(np.float64), nan=0.0) * 32768, -32768, 32767)).astype(np.int16)
+    ends = pa.array(np.append(0, np.cumsum([sum(len(x) for *_, x in granules) for granules in rows])), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (flat, pcm16)]
+    first = [g[0] for g in rows]
+    return pa.RecordBatch.from_arrays([pa.array([f[i] for f in first], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int32()))] + lists, ["stream_id", "frame_no", "channels", "pcm_float", "pcm16"])
+
+
+def _channels(values: np.ndarray, channels: np.ndarray, quiet: np.ndarray) -> pa.Array:
     """values (rows that are not quiet, 2, 576) as lists of the channels there are; null where quiet."""
     sizes = np.where(quiet, 0, channels * 576)
-    parts = [v[:c].T.ravel() if interleaved else v[:c].ravel() for v, c in zip(values, channels[~quiet], strict=True)]
+    parts = [v[:c].ravel() for v, c in zip(values, channels[~quiet], strict=True)]
     flat = np.concatenate([np.empty(0, values.dtype), *parts])
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat), mask=pa.array(quiet))
-
-
-def pcm_frames(frames: DataFrame, window=None, extra_codes: dict | None = None) -> DataFrame:
-    """stream_id, frame_no, channels, pcm_float (interleaved, unclamped) and pcm16 of good frames."""
-    each = pcm_granules(frames, window, extra_codes)
-    silence = lambda kind: F.array_repeat(F.lit(0).cast(kind), 576 * F.col("channels"))
-    each = each.withColumns({"pcm": F.coalesce("pcm", silence("float")), "pcm16": F.coalesce("pcm16", silence("smallint"))})
-    # A frame has two granules at most, so this is a lag over rows that are sorted already.
-    by = Window.partitionBy("stream_id").orderBy("frame_no", "gr")
-    before = F.lag(F.struct("frame_no", "pcm", "pcm16")).over(by)
-    after = F.lead("frame_no").over(by)
-    frame = each.withColumns({"before": before, "after": after}).where(F.col("after").isNull() | (F.col("after") != F.col("frame_no")))
-    whole = lambda c: F.when(F.col("before.frame_no") == F.col("frame_no"), F.concat(f"before.{c}", c)).otherwise(F.col(c))
-    return frame.select("stream_id", "frame_no", "channels", whole("pcm").alias("pcm_float"), whole("pcm16").alias("pcm16"))
