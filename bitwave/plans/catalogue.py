@@ -452,6 +452,16 @@ def frame_scan(spark, sf_dir):
     return files.scan_frames(_stream_bytes(spark, sf_dir)).select("stream_id", "frame_no", "byte_offset", "frame_size_bytes")
 
 
+@query(f"""with n as (select stream_id, count(*) as n from {frames_sql()} group by 1)
+  select cast(s_suppkey as varchar) as stream_id, case when n is not null then 0 when s_suppkey % 8 = 3 then -3 else -4 end as status, n is not null as seekable, coalesce(n, 0) as n_frames from supplier left join n on s_suppkey = stream_id""")
+def source_status(spark, sf_dir):
+    """Sources with frames, with bytes that hold none, and without bytes."""
+    bare = F.when(F.col("s_suppkey") % 8 != 3, F.encode(F.concat_ws(" ", F.lit("no audio here"), F.col("s_suppkey").cast("string")), "utf-8"))
+    sources = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("stream_id"), bare.alias("bare"))
+    sources = sources.join(_stream_bytes(spark, sf_dir), "stream_id", "left").select("stream_id", F.coalesce("content", "bare").alias("content"))
+    return files.source_status(sources, files.scan_frames(sources))
+
+
 @query(f"select cast(stream_id as varchar) as stream_id, count(*) as frames, cast(sum(spf * ch) as bigint) as samples, 0.0::double as peak, cast(0 as smallint) as low16, cast(0 as smallint) as high16 from {frames_sql()} group by 1")
 def decode_pcm(spark, sf_dir):
     """Silent streams through the whole decoder."""

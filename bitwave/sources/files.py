@@ -109,3 +109,12 @@ def scan_frames(sources: DataFrame) -> DataFrame:
                     )
 
     return header.with_header(sources.select(F.col("stream_id").cast("string").alias("stream_id"), "content").mapInArrow(run, FRAMES))
+
+
+def source_status(sources: DataFrame, frames: DataFrame) -> DataFrame:
+    """For each source (stream_id, content): status, seekable and the number of its frames. A null or
+    empty source is INVALID_ARG, one without a frame SYNC_NOT_FOUND; both cannot be sought in."""
+    found = frames.groupBy("stream_id").agg(F.count("*").alias("n_frames"))
+    out = sources.select(F.col("stream_id").cast("string").alias("stream_id"), (F.coalesce(F.length("content"), F.lit(0)) == 0).alias("empty")).join(found, "stream_id", "left")
+    status = F.when(F.col("empty"), S["INVALID_ARG"]).when(F.col("n_frames").isNull(), S["SYNC_NOT_FOUND"]).otherwise(S["OK"])
+    return out.select("stream_id", status.alias("status"), (status == 0).alias("seekable"), F.coalesce("n_frames", F.lit(0)).cast("long").alias("n_frames"))
