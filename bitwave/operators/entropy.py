@@ -98,11 +98,11 @@ def scalefactors(bits: Bits, version: int, info: dict, granule: int, channel: in
     long, short = [0] * 22, [[0] * 3 for _ in range(13)]
     for part, (kind, a, b, n) in enumerate(layout(version, g)):
         if kind == "short":
-            for sfb in range(a, b):
+            for sfb in range(a, b if n else a):
                 short[sfb] = [bits.read(n) for _ in range(3)]
         elif version == 3 and granule == 1 and not (g["window_switching"] and g["block_type"] == 2) and info["scfsi"][channel][part]:
             long[a:b] = info["granules"][channel]["scalefac_l"][a:b]
-        else:
+        elif n:
             long[a:b] = [bits.read(n) for _ in range(a, b)]
     return long, short
 
@@ -188,7 +188,7 @@ def spectrum(bits: Bits, rate: int, g: dict, length: int, books: dict, compat: b
 
 
 def zero_start(values: list[int]) -> int:
-    return max((i + 1 for i, v in enumerate(values) if v), default=0)
+    return next(i + 1 for i in range(len(values) - 1, -1, -1) if values[i]) if any(values) else 0
 
 
 def decode_granules(main: bytes, info: dict, version: int, channels: int, rate: int, books: dict, compat: bool = False) -> tuple[int, list[dict]]:
