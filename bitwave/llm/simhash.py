@@ -59,19 +59,19 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, words: int = 3, wide: bool = False) -> DataFrame:
     """doc_id, text_key (a hash of the text) and fp (long: the 64 bits) of each row of docs; with wide
-    also the fingerprint of similar.py (f0 to f3) and node, a hash of it."""
-    more = similar.FIELDS if wide else ()
+    also the fingerprint of similar.py (f0 to f3) and node, a hash of the set of its shingles."""
+    more = (*similar.FIELDS, "node") if wide else ()
 
     def run(batches):
         for batch in batches:
             texts = batch.column(2).to_pylist()
             fps = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
-            wides = np.array([similar.wide_fingerprint(t) for t in texts], np.uint64).reshape(-1, 4).view(np.int64) if wide else None
+            hashes = map(similar.shingle_hashes, texts if wide else ())
+            wides = np.array([[*similar.wide_fingerprint(h).tolist(), similar.node_of(h)] for h in hashes], np.uint64).reshape(-1, 5).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), *[pa.array(np.ascontiguousarray(wides[:, i])) for i in range(len(more))]], ["doc_id", "text_key", "fp", *more])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, fp long" + "".join(f", {f} long" for f in more))
-    return out.withColumn("node", F.xxhash64(*more)) if wide else out
+    return docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, fp long" + "".join(f", {f} long" for f in more))
 
 
 def bits_of(fps: np.ndarray) -> np.ndarray:
@@ -222,12 +222,11 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def with_similar(found: DataFrame) -> DataFrame:
+def with_similar(found: DataFrame, docs: DataFrame) -> DataFrame:
     """Rows of near_duplicates(wide=True) with root replaced by that of the groups which both kinds of
-    links make: fingerprints within the distance, and wide fingerprints within their limit."""
+    links make: fingerprints within the distance, and sets of shingles of the similarity."""
     rows = stored(found, "near-duplicates")
-    nodes = stored(rows.select("node", *similar.FIELDS).distinct(), "wide-fingerprints")
-    near = similar.similar_links(nodes, nodes.count())
+    near = similar.similar_links(docs, rows)
     spread = rows.groupBy("root").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("root", "a")
     bridges = rows.select("root", "node").distinct().join(stored(spread, "bridges"), "root").where("node <> a").select("a", F.col("node").alias("b"))
     groups = components(near.union(bridges)).select("node", F.col("root").alias("group"))
@@ -240,7 +239,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, sim
     of texts that are similar by similar.py are joined to them."""
     found = near_duplicates(docs, words, distance, similar_too)
     if similar_too:
-        found = with_similar(found)
+        found = with_similar(found, docs)
     doc, text, nth = (fresh(docs, c) for c in ("bw_doc", "bw_text", "bw_nth"))
     order = F.struct(F.col("doc_id").isNull().alias("null_id"), F.col("doc_id"), F.col("text_key"))
     keep = found.groupBy("root").agg(F.min(order).alias("o"))

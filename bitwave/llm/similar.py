@@ -1,34 +1,42 @@
-"""Near copies at a similarity, by wide SimHash fingerprints.
+"""Near copies at a similarity: texts whose sets of five-word shingles have a Jaccard similarity of
+SIMILARITY or more. Every link is decided by the two sets (as XXH64 values, in integers).
 
-A text's fingerprint has WIDE bits, votes of its five-word shingles. Two texts of Jaccard similarity s
-(cosine 2s / (1 + s) for texts of one length) differ in a share acos(cosine) / pi of the bits, on
-average; texts link if they differ in at most the share for similarity 0.8 and a little more (LIMIT).
+Candidates that cannot be missed: with the shingles of all texts in one order, two texts that are
+similar enough share one of the first shingles of either (about a fifth), and the first one they share
+stands so early in both that enough are left after it. The order puts shingles that are frequent in a
+sample of SAMPLE texts last, so a template's shingles are no candidates for texts that have enough of
+their own; any order gives the same links.
 
-Candidates share the bits of one of many partitions. The pigeonhole with disjoint partitions would
-need partitions too narrow to tell texts apart at this distance, so the partitions here overlap: each
-draws its bits anew, all thresholds are zero, their width follows the number of texts (so that chance
-collisions stay in proportion to it) and their number follows from the width for a chance of RECALL
-to meet at similarity 0.8.
+A large group of near copies would still be all pairs. So texts are linked first by fingerprints: each
+with the nearest lesser one that they find, if the sets agree. What is compared after that are pairs
+of different groups only, and these are all compared.
 
-Buckets of up to PAIRS members are compared pair by pair; in larger ones a member is compared with
-the first and with the one before it, so no bucket costs more than twice its size, and with many
-partitions the other pairs get their chance elsewhere. Measured recall is in the README.
+A text's fingerprint has WIDE bits, votes of its five-word shingles. Two texts of Jaccard similarity s
+(cosine 2s / (1 + s) for texts of one length) differ in a share acos(cosine) / pi of the bits, on
+average; fingerprints are near if they differ in at most the share for similarity 0.8 and a little more
+(LIMIT). They meet in overlapping partitions: each draws its bits anew, their width follows the number
+of texts and their number from the width for a chance of RECALL to meet at similarity 0.8. Buckets of
+up to PAIRS members are compared pair by pair; in larger ones a member is compared with the first and
+with the one before it. What fingerprints miss costs comparisons later, no links.
 """
 
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, text_or_empty
 
 WIDE, WORDS = 256, 5
 SIMILARITY, RECALL = 0.8, 0.9
-#: Differing bits of linked texts, at most: 0.151 of WIDE at similarity 0.8, and half a standard error.
+#: Texts whose shingles are counted for the order of shingles, and frequent shingles kept, at most.
+SAMPLE, FREQUENT = 8192, 1 << 18
+#: Differing bits of near fingerprints, at most: 0.151 of WIDE at similarity 0.8, and half a standard error.
 LIMIT = 42
 PAIRS = 6
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -40,18 +48,31 @@ def share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def wide_fingerprint(text: str | None) -> np.ndarray:
-    """Four 64-bit words; zeros without words."""
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """XXH64 of each run of WORDS words; of all words in a shorter text; none without words."""
     import xxhash
 
     parts = (text or "").encode().lower().split()
     if not parts:
-        return np.zeros(4, np.uint64)
+        return np.zeros(0, np.uint64)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
     line, w = b" ".join(parts), min(WORDS, len(parts))
     starts = np.concatenate(([0], ends[: len(parts) - w]))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(line[a:b]) for a, b in zip(starts.tolist(), (ends[w - 1 :] - 1).tolist(), strict=True)], np.uint64)
+    return np.array([digest(line[a:b]) for a, b in zip(starts.tolist(), (ends[w - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def node_of(hashes: np.ndarray) -> int:
+    """Names a set of shingles; texts of one set are one node."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(np.unique(hashes).tobytes())
+
+
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """Four 64-bit words of shingle hashes; zeros without any."""
+    if not len(h):
+        return np.zeros(4, np.uint64)
     votes = np.zeros(WIDE, np.int64)
     for a in range(0, len(h), 16384):
         x = h[a : a + 16384, None] * MIX
@@ -70,8 +91,8 @@ def partitions_for(rows: int) -> np.ndarray:
     return np.stack([np.sort(draw.choice(WIDE, width, replace=False)) for _ in range(number)])
 
 
-def similar_links(distinct: DataFrame, rows: int) -> DataFrame:
-    """Edges (a, b) between nodes whose fingerprints differ in at most LIMIT bits."""
+def near_fingerprints(distinct: DataFrame, rows: int) -> DataFrame:
+    """Pairs (a, b), a < b: of each node b the nearest a among those found within LIMIT bits."""
     chosen = partitions_for(rows)
 
     def probe(batches):
@@ -102,4 +123,97 @@ def similar_links(distinct: DataFrame, rows: int) -> DataFrame:
     side = lambda x: distinct.select(F.col("node").alias(x), *[F.col(f).alias(f"{x}{f}") for f in FIELDS])
     both = edges.join(side("a"), "a").join(side("b"), "b")
     apart = sum((F.bit_count(F.col(f"a{f}").bitwiseXOR(F.col(f"b{f}"))) for f in FIELDS), F.lit(0))
-    return both.where(apart <= LIMIT).select("a", "b")
+    both = both.select("a", "b", apart.alias("apart")).where(F.col("apart") <= LIMIT)
+    both = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart")
+    return both.groupBy("b").agg(F.min(F.struct("apart", "a")).getField("a").alias("a")).select("a", "b")
+
+
+def _enough(common, n_a, n_b):
+    """Whether sets of n_a and n_b shingles with so many in common reach SIMILARITY."""
+    s = Fraction(str(SIMILARITY))
+    return common * (s.numerator + s.denominator) >= (n_a + n_b) * s.numerator
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.xxhash64(text_or_empty()).alias("text_key"), "text")
+
+
+def frequent(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of shingles that occur in four texts or more of a sample, by hash."""
+    share = int(min(1.0, SAMPLE / max(rows, 1)) * 1_000_003)
+    picked = _texts(docs).where(F.pmod("text_key", F.lit(1_000_003)) <= share).dropDuplicates(["text_key"]).select("text")
+
+    def run(batches):
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text)).view(np.int64))], ["h"])
+
+    counts = picked.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 4").orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    h, n = counts["h"].to_numpy().view(np.uint64), counts["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix(hashes: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
+    """(first shingles in the common order, number of all): enough to meet any similar set."""
+    h = np.unique(hashes)
+    count = np.zeros(len(h), np.int64)
+    if len(often[0]) and len(h):
+        at = np.minimum(np.searchsorted(often[0], h), len(often[0]) - 1)
+        count = np.where(often[0][at] == h, often[1][at], 0)
+    s = Fraction(str(SIMILARITY))
+    least = -(-len(h) * s.numerator // s.denominator)
+    return h[np.lexsort((h, count))][: len(h) - least + 1], len(h)
+
+
+def similar_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of nodes of SIMILARITY or more. rows has
+    text_key, node and FIELDS of each row of docs."""
+    from .simhash import components
+
+    nodes = stored(rows.select("node", *FIELDS).distinct(), "wide-fingerprints")
+    number = nodes.count()
+    often = docs.sparkSession.sparkContext.broadcast(frequent(docs, number))
+
+    def first_shingles(batches):
+        for batch in batches:
+            columns = [[], [], [], []]
+            for text in batch.column(0).to_pylist():
+                h = shingle_hashes(text)
+                if len(h):
+                    first, n = prefix(h, often.value)
+                    node = np.array([node_of(h)], np.uint64).view(np.int64)
+                    for column, x in zip(columns, (np.repeat(node, len(first)), first.view(np.int64), np.full(len(first), n, np.int32), np.arange(len(first), dtype=np.int32)), strict=True):
+                        column.append(x)
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["node", "h", "n", "at"])
+
+    def sets(batches):
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([np.unique(shingle_hashes(text)).view(np.int64)], pa.list_(pa.int64()))], ["node", "shingles"])
+
+    probes = stored(docs.select("text").mapInArrow(first_shingles, "node long, h long, n int, at int"), "first-shingles")
+    shared = probes.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("h")
+    members = stored(probes.join(shared, "h").distinct(), "shared-shingles")
+    # Only these nodes can be similar to another.
+    wanted = rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
+    texts = _texts(docs).join(wanted, "text_key").dropDuplicates(["node"]).select("node", "text")
+    of = stored(texts.mapInArrow(sets, "node long, shingles array<long>"), "shingle-sets")
+
+    def checked(pairs: DataFrame, what: str) -> DataFrame:
+        side = lambda x: of.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}s"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        return stored(both.where(_enough(F.size(F.array_intersect("as", "bs")), F.size("as"), F.size("bs"))).select("a", "b"), what)
+
+    near = checked(near_fingerprints(nodes.join(members.select("node").distinct(), "node", "left_semi"), number), "near-links")
+    groups = components(near)
+    members = members.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = stored(members, "grouped-shingles")
+    apart = members.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
+    members = stored(members.join(apart, "h"), "shingles-apart")
+    side = lambda x: members.select("h", *[F.col(c).alias(f"{x}{c}") for c in ("node", "n", "at", "root")])
+    left = F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat"))
+    pairs = side("a").join(side("b"), "h").where((F.col("anode") < F.col("bnode")) & (F.col("aroot") != F.col("broot")) & _enough(left, F.col("an"), F.col("bn")))
+    pairs = stored(pairs.select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct(), "pairs-apart")
+    return near.union(checked(pairs, "other-links"))
