@@ -7,6 +7,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .published import LARGE_CODES, WINDOW
+
 # --- Fixed values of the format. They must equal the published ones for right results. -----------
 
 STATUS = {
@@ -46,7 +48,7 @@ PRETAB = (0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1, 1, 1, 1, 2, 2, 3, 3, 3, 2, 0)
 #: Of the butterflies between subbands: cosine is 1 / sqrt(1 + c * c), sine is c / sqrt(1 + c * c).
 BUTTERFLY = (-0.6, -0.535, -0.33, -0.185, -0.095, -0.041, -0.0142, -0.0037)
 
-#: Pair codes by table: {(x, y): code}. Larger tables are a parameter, see codebooks().
+#: Pair codes by table: {(x, y): code}.
 PAIR_CODES = {
     1: {(0, 0): "1", (0, 1): "001", (1, 0): "01", (1, 1): "000"},
     2: {(0, 0): "1", (0, 1): "010", (0, 2): "000001", (1, 0): "011", (1, 1): "001", (1, 2): "00001", (2, 0): "00011", (2, 1): "00010", (2, 2): "000000"},
@@ -60,6 +62,7 @@ PAIR_CODES = {
         (2, 0): "0101", (2, 1): "0100", (2, 2): "00100", (2, 3): "000001", (3, 0): "000011", (3, 1): "00011", (3, 2): "000010", (3, 3): "0000000",
     },
 }
+PAIR_CODES |= {t: {(x, y): code for x, row in enumerate(rows) for y, code in enumerate(row.split())} for t, rows in LARGE_CODES.items()}
 #: Quadruple codes of table A by 8v + 4w + 2x + y.
 QUAD_CODES = ("1", "0101", "0100", "00101", "0110", "000101", "00100", "000100", "0111", "00011", "00110", "000000", "00111", "000010", "000011", "000001")
 #: Escape bits of tables 16 to 31; 16 to 23 share one tree and 24 to 31 another.
@@ -143,8 +146,7 @@ def cosine_matrix() -> np.ndarray:
 @lru_cache(maxsize=1)
 def designed_window() -> np.ndarray:
     """A 512-point synthesis window by design: a Kaiser-windowed low-pass of a sixty-fourth of the
-    rate, with the signs and the peak of the published table. The published table is a parameter of
-    synthesis (a table of over 200 entries without a rule); this one is close, not equal."""
+    rate, with the signs and the peak of the published table; close to it, not equal."""
     n = np.arange(512) - 256.0
     cut = 1.0 / 64 * 1.03
     low = np.sinc(n * cut) * np.kaiser(513, 9.0)[:512]
@@ -154,11 +156,16 @@ def designed_window() -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
+def published_window() -> np.ndarray:
+    return np.array(WINDOW) / 65536
+
+
 def codebooks(extra: dict[int, dict[tuple[int, int], str]] | None = None) -> dict[int, tuple[dict[str, tuple[int, int]], int]]:
     """By table 0 to 31: ({code: (x, y)}, escape bits). Tables without an entry are not decodable.
 
-    extra holds the codes of further trees by their first table (7 to 13, 15, 16, 24), as a caller
-    loads them; see load_codes. Each tree must be complete: its Kraft sum is one."""
+    extra holds trees by their first table (7 to 13, 15, 16, 24) that replace the built-in ones, as a
+    caller loads them; see load_codes. Each tree must be complete: its Kraft sum is one."""
     trees = PAIR_CODES | (extra or {})
     for t, codes in trees.items():
         if sum(2.0 ** -len(c) for c in codes.values()) != 1.0:

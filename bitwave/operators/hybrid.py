@@ -74,7 +74,7 @@ def subbands(lines, block_type, switching, mixed, before, before_type, before_sw
 
 def synthesis(now: np.ndarray, before: np.ndarray, window: np.ndarray | None = None) -> np.ndarray:
     """576 samples for each granule from its subbands and those of the one before it."""
-    d = tables.designed_window() if window is None else np.asarray(window, float)
+    d = tables.published_window() if window is None else np.asarray(window, float)
     v = np.concatenate([before, now], axis=1) @ tables.cosine_matrix().T  # (n, 36, 64)
     out = np.zeros((len(now), 18, 32))
     for i in range(8):

@@ -225,3 +225,32 @@ def test_streaming_query_to_samples(spark, tmp_path):
     df = spark.createDataFrame([("s", stream)], "stream_id string, content binary")
     want = {r.frame_no: r.pcm16 for r in decode.pcm_frames(files.scan_frames(df)).collect()}
     assert got == want and len(got) == 20
+
+
+def test_every_table_decodes():
+    leaves = {1: 4, 2: 9, 3: 9, 5: 16, 6: 16, 7: 36, 8: 36, 9: 36, 10: 64, 11: 64, 12: 64} | {t: 256 for t in (13, 15, *range(16, 32))}
+    books = tables.codebooks()
+    assert sorted(books) == list(range(32))
+    for t, (codes, linbits) in books.items():
+        if t in tables.EMPTY_TABLES:
+            continue
+        assert len(codes) == leaves[t] and sum(2.0 ** -len(c) for c in codes) == 1.0
+        for code, (x, y) in codes.items():
+            want, written = [], code
+            for v in (x, y):
+                more = linbits and v == 15
+                written += f"{(1 << linbits) - 1:0{linbits}b}" if more else ""
+                written += "1" if v else ""
+                want.append(-(v + (1 << linbits) - 1 if more else v))
+            g = {"window_switching": 0, "region0_count": 0, "region1_count": 0, "big_values": 1, "table_select": [t] * 3, "count1table": 0}
+            data = int(written.ljust(-(-len(written) // 8) * 8, "0"), 2).to_bytes(-(-len(written) // 8), "big")
+            assert entropy.spectrum(Bits(data), 44100, g, len(written), books) == (0, want + [0] * 574)
+
+
+def test_published_window():
+    w, near = tables.published_window(), tables.designed_window()
+    assert w[256] == 75038 / 65536 and w[1] == -1 / 65536 and w[0] == 0
+    assert np.allclose(np.abs(w[1:]), np.abs(w[1:][::-1]))
+    assert np.corrcoef(w, near)[0, 1] > 0.99
+    x = np.random.default_rng(1).normal(size=(1, 18, 32))
+    assert np.array_equal(hybrid.synthesis(x, x), hybrid.synthesis(x, x, w))
