@@ -122,12 +122,15 @@ def stream_headers(frames: DataFrame) -> DataFrame:
 
 
 def page(index: DataFrame, probes: DataFrame, seconds: float) -> DataFrame:
-    """The frames of each stream from the one that holds a position (stream_id, target) on, as far as
-    they start within some seconds of it."""
-    start = frame_at(index.select("stream_id", "frame_no", "sample_offset", "samples_per_frame"), probes, "target").select("stream_id", F.col("frame_no").alias("from_no"), F.col("sample_offset").alias("from_sample"))
+    """For each probe (stream_id, target and more, such as the key of a request) the frames of its stream
+    from the one that holds the position on, as far as they start within some seconds of it: the
+    probe's further columns, then those of index."""
+    more = [c for c in probes.columns if c not in ("stream_id", "target")]
+    start = frame_at(index.select("stream_id", "frame_no", "sample_offset", "samples_per_frame"), probes, "target")
+    start = start.select("stream_id", *more, F.col("frame_no").alias("from_no"), F.col("sample_offset").alias("from_sample"))
     rate = index.groupBy("stream_id").agg(F.min_by("sample_rate_hz", "frame_no").alias("rate"))
     inside = (F.col("frame_no") >= F.col("from_no")) & (F.col("sample_offset") < F.col("from_sample") + seconds * F.col("rate"))
-    return index.join(start.where("from_no is not null"), "stream_id").join(rate, "stream_id").where(inside).select(*index.columns)
+    return index.join(start.where("from_no is not null"), "stream_id").join(rate, "stream_id").where(inside).select(*more, *index.columns)
 
 
 def granule_windows(samples: DataFrame, size: int = 576) -> DataFrame:

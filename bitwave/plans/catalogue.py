@@ -167,6 +167,15 @@ def page_from_seek(spark, sf_dir):
     return frame_ops.page(index, asked, 0.5).select("stream_id", "frame_no", "sample_offset")
 
 
+@query(f"""with i as (select * from {_index_sql}), p as (select event_id, cast(event_id % 100 + 1 as bigint) as stream_id, cast(event_id * 577 % 400000 as bigint) as target from events),
+  f as (select event_id, stream_id, max(sample_offset) as at_sample from p join i using (stream_id) where sample_offset <= target group by 1, 2), r as (select stream_id, arg_min(rate, frame_no) as rate from i group by 1)
+  select event_id, stream_id, frame_no, cast(sample_offset as bigint) as sample_offset from i join f using (stream_id) join r using (stream_id) where sample_offset >= at_sample and sample_offset < at_sample + 0.5 * r.rate""")
+def page_from_every_seek(spark, sf_dir):
+    """Half a second of frames from the position of each event."""
+    index = frame_ops.frame_index(frames(spark, sf_dir))
+    return frame_ops.page(index, _probes(spark, sf_dir), 0.5).select("event_id", "stream_id", "frame_no", "sample_offset")
+
+
 _commands = "['load', 'play', 'pause', 'stop', 'play', 'pause', 'play']"
 
 
