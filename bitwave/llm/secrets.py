@@ -44,7 +44,7 @@ PATTERNS = {
     "endpoint": r"[a-z][a-z0-9+]{1,9}://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]{4,}",
 }
 #: A part of each kind stands only in a text with a match of this.
-GATES = {"assign": ASSIGN + "[A-Za-z0-9+/_.=-]", "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}", "identifier": PATTERNS["identifier"], "secret": "[A-Za-z0-9+/]{32}", "endpoint": "[a-z]://"}
+GATES = {"assign": ASSIGN + "[A-Za-z0-9+/_.=-]", "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}", "identifier": PATTERNS["identifier"], "secret": "[A-Za-z0-9+/]{32}", "endpoint": "[a-z0-9+]://"}
 
 
 def found(text: Column, kind: str) -> Column:
