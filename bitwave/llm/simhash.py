@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import similar
-from .common import fresh, stored, text_or_empty
+from .common import forget, fresh, stored, text_or_empty
 
 BITS = 64
 #: Fingerprints looked at for bit correlations and candidate estimates, at most.
@@ -57,21 +57,16 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, wide: bool = False) -> DataFrame:
-    """doc_id, text_key (a hash of the text) and fp (long: the 64 bits) of each row of docs; with wide
-    also the fingerprint of similar.py (f0 to f3) and node, a hash of the set of its shingles."""
-    more = (*similar.FIELDS, "node") if wide else ()
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """doc_id, text_key (a hash of the text) and fp (long: the 64 bits) of each row of docs."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            fps = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
-            hashes = map(similar.shingle_hashes, texts if wide else ())
-            wides = np.array([[*similar.wide_fingerprint(h).tolist(), similar.node_of(h)] for h in hashes], np.uint64).reshape(-1, 5).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), *[pa.array(np.ascontiguousarray(wides[:, i])) for i in range(len(more))]], ["doc_id", "text_key", "fp", *more])
+            fps = np.array([fingerprint(t, words) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["doc_id", "text_key", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, fp long" + "".join(f", {f} long" for f in more))
+    return docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, fp long")
 
 
 def bits_of(fps: np.ndarray) -> np.ndarray:
@@ -169,7 +164,7 @@ def links(distinct: DataFrame, rows: int, distance: int = 2) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(part[s]), pa.array(key[s].view(np.int64)), pa.array(fps[at[s]].view(np.int64))], ["part", "key", "fp"])
 
     probes = distinct.select("fp").mapInArrow(probe, "part int, key long, fp long")
-    sizes = stored(probes.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
+    sizes = probes.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(probes.join(sizes, ["part", "key"]), "bucket-members")
     small = members.where(F.col("n") <= BUCKET).groupBy("part", "key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     pairs = small.select(F.posexplode("fps").alias("i", "a"), "fps").select("a", F.explode(F.slice("fps", F.col("i") + 2, F.lit(BUCKET))).alias("b"))
@@ -192,29 +187,29 @@ def components(edges: DataFrame) -> DataFrame:
     seen = state(edges)
     while seen[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least-neighbours")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = stored(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
-        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least-neighbours")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         edge = lambda a, b: F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
         small = large.join(low, "u").select(F.explode(F.array(edge("u", "m"), edge("v", "m"))).alias("e")).select("e.*").where("u <> v")
-        edges = stored(small.distinct(), "small-star")
+        before, edges = edges, stored(small.distinct(), "small-star")
+        forget(before, large)
         if (now := state(edges)) == seen:
             break
         seen = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, wide: bool = False) -> DataFrame:
-    """doc_id, text_key, fp, root (of the component, a fingerprint) and component_id for each row of
-    docs, and with wide the columns that fingerprints() adds."""
-    rows = stored(fingerprints(docs, words, wide), "fingerprints")
+def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
+    """doc_id, text_key, fp, root (of the component, a fingerprint) and component_id of each row of docs."""
+    rows = stored(fingerprints(docs, words), "fingerprints")
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     roots = components(links(distinct, distinct.count(), distance))
     of = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     of = stored(of, "roots")
-    first = stored(of.groupBy("root").agg(F.min("first_id").alias("component_id")), "components")
+    first = of.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = stored(of.join(first, "root").select("fp", "root", "component_id"), "members")
-    return rows.join(of, "fp").select("doc_id", "text_key", "fp", "root", "component_id", *[c for c in rows.columns if c not in ("doc_id", "text_key", "fp")])
+    return rows.join(of, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -222,28 +217,18 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def with_similar(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """Rows of near_duplicates(wide=True) with root replaced by that of the groups which both kinds of
-    links make: fingerprints within the distance, and sets of shingles of the similarity."""
-    rows = stored(found, "near-duplicates")
-    near = similar.similar_links(docs, rows)
-    spread = rows.groupBy("root").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("root", "a")
-    bridges = rows.select("root", "node").distinct().join(stored(spread, "bridges"), "root").where("node <> a").select("a", F.col("node").alias("b"))
-    groups = components(near.union(bridges)).select("node", F.col("root").alias("group"))
-    return rows.join(groups, "node", "left").withColumn("root", F.coalesce("group", "node")).drop("group")
-
-
-def drop_near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, similar_too: bool = False) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs that are first in their group by doc_id, text and then the other columns: one of
-    each group. Nulls come last. Groups are the components of near_duplicates(); with similar_too those
-    of texts that are similar by similar.py are joined to them."""
-    found = near_duplicates(docs, words, distance, similar_too)
-    if similar_too:
-        found = with_similar(found, docs)
+    each group. Nulls come last. Groups are the components of texts that are similar by similar.py;
+    texts without words are one group."""
+    rows = stored(similar.described(docs), "shingled")
+    groups = components(similar.similar_links(docs, rows)).select("node", F.col("root").alias("group"))
     doc, text, nth = (fresh(docs, c) for c in ("bw_doc", "bw_text", "bw_nth"))
     order = F.struct(F.col("doc_id").isNull().alias("null_id"), F.col("doc_id"), F.col("text_key"))
-    keep = found.groupBy("root").agg(F.min(order).alias("o"))
+    first = rows.groupBy("node").agg(F.min(order).alias("o")).join(groups, "node", "left")
+    keep = first.groupBy(F.coalesce("group", "node").alias("root")).agg(F.min("o").alias("o"))
     keep = stored(keep.select(F.coalesce(F.col("o.doc_id").cast("string"), F.lit("")).alias(doc), F.col("o.text_key").alias(text)), "kept")
+    forget(rows)
     keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(doc), F.xxhash64(text_or_empty()).alias(text))
     by = Window.partitionBy(doc, text).orderBy(*[c for c, kind in docs.dtypes if "map" not in kind and "variant" not in kind])
     return keyed.join(keep, [doc, text], "left_semi").withColumn(nth, F.row_number().over(by)).where(F.col(nth) == 1).select(*docs.columns)

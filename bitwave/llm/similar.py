@@ -1,5 +1,5 @@
 """Near copies at a similarity: texts whose sets of five-word shingles have a Jaccard similarity of
-SIMILARITY or more. Every link is decided by the two sets (as XXH64 values, in integers).
+SIMILARITY or more. Every link is decided by the two sets (as 64-bit hashes, in integers).
 
 Candidates that cannot be missed: with the shingles of all texts in one order, two texts that are
 similar enough share one of the first shingles of either (about a fifth), and the first one they share
@@ -7,213 +7,197 @@ stands so early in both that enough are left after it. The order puts shingles t
 sample of SAMPLE texts last, so a template's shingles are no candidates for texts that have enough of
 their own; any order gives the same links.
 
-A large group of near copies would still be all pairs. So texts are linked first by fingerprints: each
-with the nearest lesser one that they find, if the sets agree. What is compared after that are pairs
-of different groups only, and these are all compared.
-
-A text's fingerprint has WIDE bits, votes of its five-word shingles. Two texts of Jaccard similarity s
-(cosine 2s / (1 + s) for texts of one length) differ in a share acos(cosine) / pi of the bits, on
-average; fingerprints are near if they differ in at most the share for similarity 0.8 and a little more
-(LIMIT). They meet in overlapping partitions: each draws its bits anew, their width follows the number
-of texts and their number from the width for a chance of RECALL to meet at similarity 0.8. Buckets of
-up to PAIRS members are compared pair by pair; in larger ones a member is compared with the first and
-with the one before it. What fingerprints miss costs comparisons later, no links.
+A large group of near copies would still be all pairs. So two kinds of few candidates come first: SimHash
+fingerprints within a few bits (found by the pigeonhole partitions of simhash.py), and for each shared
+first shingle the text that has the fewest rare shingles before it, the likely template, with every
+other. The texts that these link are one group from there on, and what is compared after that are pairs
+of different groups only; these are all compared.
+
+A pair's sets are fetched only if a bound allows the similarity: shingles are counted in CLASSES classes
+by their hash, and two texts have at most the lesser count of each class in common.
 """
 
 from __future__ import annotations
 
-import math
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import forget, stored, text_or_empty
 
-WIDE, WORDS = 256, 5
-SIMILARITY, RECALL = 0.8, 0.9
+WORDS, SIMILARITY = 5, 0.8
 #: Texts whose shingles are counted for the order of shingles, and frequent shingles kept, at most.
-SAMPLE, FREQUENT = 8192, 1 << 18
-#: Differing bits of near fingerprints, at most: 0.151 of WIDE at similarity 0.8, and half a standard error.
-LIMIT = 42
-PAIRS = 6
-MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-FIELDS = ("f0", "f1", "f2", "f3")
-
+SAMPLE, FREQUENT = 16384, 1 << 18
+CLASSES = 64
+RATIO = np.uint64(0x9E3779B97F4A7C15)
+_known: dict[bytes, int] = {}
 
-def share(similarity: float) -> float:
-    """Of bits that differ, on average."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
-
-def shingle_hashes(text: str | None) -> np.ndarray:
-    """XXH64 of each run of WORDS words; of all words in a shorter text; none without words."""
+def word_hashes(text: str | None) -> np.ndarray:
+    """XXH64 of each word; A-Z count as a-z and ASCII white space splits."""
     import xxhash
 
-    parts = (text or "").encode().lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
-    line, w = b" ".join(parts), min(WORDS, len(parts))
-    starts = np.concatenate(([0], ends[: len(parts) - w]))
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(line[a:b]) for a, b in zip(starts.tolist(), (ends[w - 1 :] - 1).tolist(), strict=True)], np.uint64)
-
-
-def node_of(hashes: np.ndarray) -> int:
+    if len(_known) > 1_000_000:
+        _known.clear()
+    words = (text or "").encode().lower().split()
+    out = []
+    for w in words:
+        h = _known.get(w)
+        if h is None:
+            h = _known[w] = xxhash.xxh64_intdigest(w)
+        out.append(h)
+    return np.array(out, np.uint64)
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """A hash of each run of words, of all words in a shorter text; none without words."""
+    of = word_hashes(text)
+    if not len(of):
+        return of
+    width = min(words, len(of))
+    h = np.zeros(len(of) - width + 1, np.uint64)
+    for i in range(width):
+        h = h * RATIO + of[i : len(of) - width + 1 + i]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def node_of(distinct: np.ndarray) -> int:
     """Names a set of shingles; texts of one set are one node."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(np.unique(hashes).tobytes())
-
-
-def wide_fingerprint(h: np.ndarray) -> np.ndarray:
-    """Four 64-bit words of shingle hashes; zeros without any."""
-    if not len(h):
-        return np.zeros(4, np.uint64)
-    votes = np.zeros(WIDE, np.int64)
-    for a in range(0, len(h), 16384):
-        x = h[a : a + 16384, None] * MIX
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(32)
-        votes += np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), WIDE // 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(votes * 2 > len(h), bitorder="little").view(np.uint64)
+    return xxhash.xxh64_intdigest(distinct.tobytes())
 
 
-def partitions_for(rows: int) -> np.ndarray:
-    """(number, width) bit positions of the overlapping partitions."""
-    width = min(48, max(16, math.ceil(math.log2(max(rows, 2))) + 2))
-    number = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - share(SIMILARITY)) ** width))
-    draw = np.random.default_rng(11)
-    return np.stack([np.sort(draw.choice(WIDE, width, replace=False)) for _ in range(number)])
-
-
-def near_fingerprints(distinct: DataFrame, rows: int) -> DataFrame:
-    """Pairs (a, b), a < b: of each node b the nearest a among those found within LIMIT bits."""
-    chosen = partitions_for(rows)
-
-    def probe(batches):
-        weights = np.uint64(1) << np.arange(chosen.shape[1], dtype=np.uint64)
-        for batch in batches:
-            fps = np.stack([batch.column(f).to_numpy(zero_copy_only=False) for f in FIELDS], axis=1)
-            for a in range(0, len(fps), 2048):
-                bits = np.unpackbits(np.ascontiguousarray(fps[a : a + 2048]).view(np.uint8).reshape(-1, WIDE // 8), axis=1, bitorder="little")
-                node = batch.column("node").slice(a, 2048)
-                for p in range(0, len(chosen), 16):
-                    keys = [(bits[:, c].astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64).view(np.int64) for c in chosen[p : p + 16]]
-                    part = np.repeat(np.arange(p, p + len(keys), dtype=np.int32), len(bits))
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.concatenate(keys)), pa.concat_arrays([node] * len(keys))], ["part", "key", "node"])
-
-    probes = distinct.select("node", *FIELDS).mapInArrow(probe, "part int, key long, node long")
-    # Most keys are alone; a member of the rest meets the first of its bucket and the one before it,
-    # and in small buckets all others.
-    sizes = stored(probes.groupBy("part", "key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1"), "similar-buckets")
-    members = stored(probes.join(sizes, ["part", "key"]), "similar-members")
-    small = members.where(F.col("n") <= PAIRS).groupBy("part", "key").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-    pairs = small.select(F.posexplode("nodes").alias("i", "a"), "nodes").select("a", F.explode(F.slice("nodes", F.col("i") + 2, F.lit(PAIRS))).alias("b"))
-    large = members.where(F.col("n") > PAIRS)
-    star = large.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    # The order within a large bucket is cut into stretches, so no window holds a whole one.
-    by = Window.partitionBy("part", "key", F.shiftright("node", 57)).orderBy("node")
-    chain = large.select(F.lag("node").over(by).alias("a"), F.col("node").alias("b")).where("a is not null")
-    edges = stored(pairs.union(star).union(chain).distinct(), "similar-candidates")
-    side = lambda x: distinct.select(F.col("node").alias(x), *[F.col(f).alias(f"{x}{f}") for f in FIELDS])
-    both = edges.join(side("a"), "a").join(side("b"), "b")
-    apart = sum((F.bit_count(F.col(f"a{f}").bitwiseXOR(F.col(f"b{f}"))) for f in FIELDS), F.lit(0))
-    both = both.select("a", "b", apart.alias("apart")).where(F.col("apart") <= LIMIT)
-    both = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart")
-    return both.groupBy("b").agg(F.min(F.struct("apart", "a")).getField("a").alias("a")).select("a", "b")
-
-
-def _enough(common, n_a, n_b):
-    """Whether sets of n_a and n_b shingles with so many in common reach SIMILARITY."""
-    s = Fraction(str(SIMILARITY))
-    return common * (s.numerator + s.denominator) >= (n_a + n_b) * s.numerator
+def majority(h: np.ndarray) -> int:
+    """The SimHash fingerprint of shingle hashes: a bit is 1 if set in over half of them."""
+    votes = np.zeros(64, np.int64)
+    for a in range(0, len(h), 65536):
+        votes += np.unpackbits(h[a : a + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(text_or_empty()).alias("text_key"), "text")
 
 
-def frequent(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, counts) of shingles that occur in four texts or more of a sample, by hash."""
-    share = int(min(1.0, SAMPLE / max(rows, 1)) * 1_000_003)
+    share = int(min(1.0, SAMPLE / max(docs.count(), 1)) * 1_000_003)
     picked = _texts(docs).where(F.pmod("text_key", F.lit(1_000_003)) <= share).dropDuplicates(["text_key"]).select("text")
 
     def run(batches):
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text)).view(np.int64))], ["h"])
+            for a in range(0, batch.num_rows, 256):
+                found = [np.unique(shingles(t)) for t in batch.column(0).slice(a, 256).to_pylist()]
+                h, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    counts = picked.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 4").orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    counts = picked.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 4").orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
     h, n = counts["h"].to_numpy().view(np.uint64), counts["n"].to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
 
 
-def prefix(hashes: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
-    """(first shingles in the common order, number of all): enough to meet any similar set."""
-    h = np.unique(hashes)
+def prefix(h: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first of distinct hashes in the common order: enough of them to meet any similar set."""
     count = np.zeros(len(h), np.int64)
     if len(often[0]) and len(h):
         at = np.minimum(np.searchsorted(often[0], h), len(often[0]) - 1)
         count = np.where(often[0][at] == h, often[1][at], 0)
     s = Fraction(str(SIMILARITY))
     least = -(-len(h) * s.numerator // s.denominator)
-    return h[np.lexsort((h, count))][: len(h) - least + 1], len(h)
+    return h[np.lexsort((h, count))][: len(h) - least + 1]
 
 
-def similar_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of nodes of SIMILARITY or more. rows has
-    text_key, node and FIELDS of each row of docs."""
-    from .simhash import components
+def described(docs: DataFrame) -> DataFrame:
+    """doc_id and text_key of each row of docs, node, n (distinct shingles), fp (SimHash of five-word
+    shingles), first (the first shingles in order) and classes (their counts by class)."""
+    often = docs.sparkSession.sparkContext.broadcast(frequent(docs))
 
-    nodes = stored(rows.select("node", *FIELDS).distinct(), "wide-fingerprints")
-    number = nodes.count()
-    often = docs.sparkSession.sparkContext.broadcast(frequent(docs, number))
+    def run(batches):
+        for whole in batches:
+            for a in range(0, whole.num_rows, 2048):
+                batch = whole.slice(a, 2048)
+                nodes, sizes, fps, firsts, classes = [], [], [], [], []
+                for text in batch.column(2).to_pylist():
+                    every = shingles(text)
+                    h = np.unique(every)
+                    nodes.append(node_of(h))
+                    sizes.append(len(h))
+                    fps.append(majority(every))
+                    firsts.append(prefix(h, often.value).view(np.int64))
+                    classes.append(np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=CLASSES).astype(np.int32))
+                long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+                ends = pa.array(np.append(0, np.cumsum([len(f) for f in firsts])), pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(firsts)))
+                counts = pa.ListArray.from_arrays(pa.array(np.arange(len(classes) + 1) * CLASSES, pa.int32()), pa.array(np.concatenate(classes)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), long(nodes), pa.array(sizes, pa.int32()), long(fps), lists, counts], ["doc_id", "text_key", "node", "n", "fp", "first", "classes"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_key"), "text")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, node long, n int, fp long, first array<long>, classes array<int>")
+
+
+def _enough(common: Column, n_a: Column, n_b: Column) -> Column:
+    """Whether sets of n_a and n_b shingles with so many in common reach SIMILARITY."""
+    s = Fraction(str(SIMILARITY))
+    return common * (s.numerator + s.denominator) >= (n_a + n_b) * s.numerator
 
-    def first_shingles(batches):
-        for batch in batches:
-            columns = [[], [], [], []]
-            for text in batch.column(0).to_pylist():
-                h = shingle_hashes(text)
-                if len(h):
-                    first, n = prefix(h, often.value)
-                    node = np.array([node_of(h)], np.uint64).view(np.int64)
-                    for column, x in zip(columns, (np.repeat(node, len(first)), first.view(np.int64), np.full(len(first), n, np.int32), np.arange(len(first), dtype=np.int32)), strict=True):
-                        column.append(x)
-            if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["node", "h", "n", "at"])
-
-    def sets(batches):
-        for batch in batches:
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([np.unique(shingle_hashes(text)).view(np.int64)], pa.list_(pa.int64()))], ["node", "shingles"])
 
-    probes = stored(docs.select("text").mapInArrow(first_shingles, "node long, h long, n int, at int"), "first-shingles")
-    shared = probes.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("h")
-    members = stored(probes.join(shared, "h").distinct(), "shared-shingles")
-    # Only these nodes can be similar to another.
-    wanted = rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
-    texts = _texts(docs).join(wanted, "text_key").dropDuplicates(["node"]).select("node", "text")
-    of = stored(texts.mapInArrow(sets, "node long, shingles array<long>"), "shingle-sets")
+def similar_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of nodes of SIMILARITY or more; rows is
+    described(docs), stored."""
+    from .simhash import components, links
+
+    # One row for each node: exact copies go no further.
+    nodes = stored(rows.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("first").alias("first"), F.first("classes").alias("classes")).where("n > 0"), "similar-nodes")
+    each = nodes.select("node", "n", F.posexplode("first").alias("at", "h"))
+    shared = each.groupBy("h").agg(F.min(F.struct("at", "node", "n")).alias("lead"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    members = stored(each.join(shared.select("h", "lead"), "h"), "shared-shingles")
 
     def checked(pairs: DataFrame, what: str) -> DataFrame:
+        """Those of distinct pairs (a, b) that are similar. Sets are made again from one text of a node."""
+        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+        side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("classes").alias(f"{x}c"))
+        most = F.aggregate(F.zip_with("ac", "bc", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+        left = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(_enough(most, F.col("an"), F.col("bn"))).select("a", "b"), "possible-pairs")
+        wanted = left.select(F.col("a").alias("node")).union(left.select("b")).distinct().join(nodes.select("node", "text_key"), "node")
+        texts = _texts(docs).join(wanted, "text_key").dropDuplicates(["node"]).select("node", "text")
+        of = stored(texts.mapInArrow(_sets, "node long, shingles array<long>"), "shingle-sets")
         side = lambda x: of.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}s"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        return stored(both.where(_enough(F.size(F.array_intersect("as", "bs")), F.size("as"), F.size("bs"))).select("a", "b"), what)
+        both = left.join(side("a"), "a").join(side("b"), "b")
+        out = stored(both.where(_enough(F.size(F.array_intersect("as", "bs")), F.size("as"), F.size("bs"))).select("a", "b"), what)
+        forget(pairs, left, of)
+        return out
 
-    near = checked(near_fingerprints(nodes.join(members.select("node").distinct(), "node", "left_semi"), number), "near-links")
+    def _sets(batches):
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([np.unique(shingles(text)).view(np.int64)], pa.list_(pa.int64()))], ["node", "shingles"])
+
+    # Fingerprints within the distance, nodes of one fingerprint, and members of a bucket with its lead.
+    prints = stored(nodes.groupBy("fp").agg(F.min("node").alias("a"), F.max("node").alias("z")), "fingerprint-nodes")
+    of = lambda x: prints.select(F.col("fp").alias(f"{x}_fp"), F.col("a").alias(x))
+    near_prints = links(prints.select("fp"), prints.count()).toDF("a_fp", "b_fp").join(of("a"), "a_fp").join(of("b"), "b_fp").select("a", "b")
+    same_print = nodes.select("fp", F.col("node").alias("b")).join(prints.where("a <> z"), "fp").select("a", "b")
+    lead = lambda c: F.col("lead").getField(c)
+    left = F.least(lead("n") - lead("at"), F.col("n") - F.col("at"))
+    stars = members.where((F.col("node") != lead("node")) & _enough(left, F.col("n"), lead("n"))).select(lead("node").alias("a"), F.col("node").alias("b"))
+    near = checked(near_prints.union(same_print).union(stars), "near-links")
     groups = components(near)
-    members = members.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    members = stored(members, "grouped-shingles")
-    apart = members.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
-    members = stored(members.join(apart, "h"), "shingles-apart")
-    side = lambda x: members.select("h", *[F.col(c).alias(f"{x}{c}") for c in ("node", "n", "at", "root")])
+
+    # All pairs of different groups that share a first shingle early enough.
+    grouped = members.select("h", "node", "n", "at").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = stored(grouped, "grouped-shingles")
+    apart = grouped.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
+    open_ = stored(grouped.join(apart, "h"), "shingles-apart")
+    side = lambda x: open_.select("h", *[F.col(c).alias(f"{x}{c}") for c in ("node", "n", "at", "root")])
     left = F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat"))
     pairs = side("a").join(side("b"), "h").where((F.col("anode") < F.col("bnode")) & (F.col("aroot") != F.col("broot")) & _enough(left, F.col("an"), F.col("bn")))
-    pairs = stored(pairs.select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct(), "pairs-apart")
-    return near.union(checked(pairs, "other-links"))
+    others = checked(pairs.select(F.col("anode").alias("a"), F.col("bnode").alias("b")), "other-links")
+    forget(members, grouped, open_, prints, nodes)
+    return near.union(others)

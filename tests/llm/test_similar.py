@@ -57,18 +57,36 @@ def groups(texts):
 def test_families_by_exact_similarity(spark, monkeypatch, texts, sample):
     monkeypatch.setattr(similar, "SAMPLE", sample)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3).cache()
-    rows = simhash.near_duplicates(df, wide=True)
-    edges = similar.similar_links(df, rows)
-    root = {r.node: r.root for r in simhash.components(edges).collect()}
+    rows = similar.described(df).cache()
+    edges = similar.similar_links(df, rows).collect()
+    text = {r.node: texts[r.doc_id] for r in rows.collect()}
+    for e in edges:  # every link is similar
+        a, b = shingles(text[e.a]), shingles(text[e.b])
+        assert len(a & b) >= 0.8 * len(a | b) - 1e-9
+    root = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     group = {r.doc_id: root.get(r.node, r.node) for r in rows.collect()}
     want = groups(texts)
     assert len({(group[i], want[i]) for i in range(len(texts))}) == len(set(want)) == len(set(group.values()))
     assert 1 < len(set(want)) < len(texts)
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(df).collect()}
+    assert kept == set(want)
+
+
+def test_one_family_in_one_bucket(spark):
+    """A thousand copies of one text, each with its own few changes: links by all pairs, few candidates."""
+    r = random.Random(9)
+    texts = family(r, 1, 100, 1, 0)
+    for k in range(1000):
+        x = texts[0].split()
+        for i in r.sample(range(100), k % 6):
+            x[i] = f"w{r.randrange(10**6)}"
+        texts.append(" ".join(x))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == set(groups(texts))
 
 
-def test_every_link_is_similar(spark, texts):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    text = {r.node: texts[r.doc_id] for r in simhash.fingerprints(df, wide=True).collect()}
-    for e in similar.similar_links(df, simhash.near_duplicates(df, wide=True)).collect():
-        a, b = shingles(text[e.a]), shingles(text[e.b])
-        assert len(a & b) >= 0.8 * len(a | b) - 1e-9
+def test_defined_cases(spark):
+    rows = [(5, None, 1), (4, "", 1), (7, " \n ", 1), (3, "One two", 1), (None, "one TWO", 1), (None, "three", 2), (None, "three", 2), (9, "x " * 200_000, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node int")
+    assert sorted(((r.doc_id or 0), (r.text or "").strip()[:5], r.node) for r in simhash.drop_near_duplicates(df).collect()) == [(0, "three", 2), (3, "One t", 1), (4, "", 1), (9, "x x x", 3)]
+    assert simhash.drop_near_duplicates(df.limit(0)).collect() == []
