@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitwave.llm import bpe, decontaminate, pii, simhash, toxicity
-from bitwave.llm.common import stored, table
+from bitwave.llm.common import forget, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +20,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked SimHash fingerprints, the one with the smallest doc_id. Two
-    texts link by the fingerprint's distance, or by a similarity of 0.8 or more over five words."""
-    return simhash.drop_near_duplicates(docs, similar_too=True)
+    """One document of each group of near copies, the one with the smallest doc_id. Texts link by a
+    similarity of 0.8 or more over five words; SimHash fingerprints find most links, a join the rest."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(*before)  # a stage is stored whole before its input goes
+        before = [docs]
     return docs
