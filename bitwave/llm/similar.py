@@ -11,7 +11,10 @@ A large group of near copies would still be all pairs. So two kinds of few candi
 fingerprints within a few bits (found by the pigeonhole partitions of simhash.py), and for each shared
 first shingle the text that has the fewest rare shingles before it, the likely template, with every
 other. The texts that these link are one group from there on, and what is compared after that are pairs
-of different groups only; these are all compared.
+of different groups only; these are all compared: pair by pair where a first shingle is that of CROWD texts
+at most. The texts that meet at others are joined once more among themselves, by the first shingles in the
+order of their exact frequency there. A family's own shingles then come last, and texts with many changes
+of their own no longer meet.
 
 A pair's sets are fetched only if a bound allows the similarity: shingles are counted in CLASSES classes
 by their hash, and two texts have at most the lesser count of each class in common.
@@ -23,7 +26,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, stored, text_or_empty
@@ -32,6 +35,8 @@ WORDS, SIMILARITY = 5, 0.8
 #: Texts whose shingles are counted for the order of shingles, and frequent shingles kept, at most.
 SAMPLE, FREQUENT = 16384, 1 << 18
 CLASSES = 64
+#: Texts that share a first shingle up to which all pairs of different groups are candidates at once.
+CROWD = 16
 RATIO = np.uint64(0x9E3779B97F4A7C15)
 _known: dict[bytes, int] = {}
 
@@ -40,7 +45,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     """XXH64 of each word; A-Z count as a-z and ASCII white space splits."""
     import xxhash
 
-    if len(_known) > 1_000_000:
+    if len(_known) > 100_000:
         _known.clear()
     words = (text or "").encode().lower().split()
     out = []
@@ -156,8 +161,11 @@ def similar_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     # One row for each node: exact copies go no further.
     nodes = stored(rows.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("first").alias("first"), F.first("classes").alias("classes")).where("n > 0"), "similar-nodes")
     each = nodes.select("node", "n", F.posexplode("first").alias("at", "h"))
-    shared = each.groupBy("h").agg(F.min(F.struct("at", "node", "n")).alias("lead"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    members = stored(each.join(shared.select("h", "lead"), "h"), "shared-shingles")
+    # The lead is the first by position; a row alone has neither a lead nor a follower.
+    by = Window.partitionBy("h").orderBy("at", "node")
+    lead = F.first(F.struct("node", "n", "at")).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    members = each.select("*", lead.alias("lead"), F.lead("node").over(by).alias("next")).where(F.col("next").isNotNull() | (F.col("node") != F.col("lead.node")))
+    members = stored(members.drop("next"), "shared-shingles")
 
     def checked(pairs: DataFrame, what: str) -> DataFrame:
         """Those of distinct pairs (a, b) that are similar. Sets are made again from one text of a node."""
@@ -165,15 +173,17 @@ def similar_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
         side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("classes").alias(f"{x}c"))
         most = F.aggregate(F.zip_with("ac", "bc", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
         left = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(_enough(most, F.col("an"), F.col("bn"))).select("a", "b"), "possible-pairs")
-        wanted = left.select(F.col("a").alias("node")).union(left.select("b")).distinct().join(nodes.select("node", "text_key"), "node")
-        texts = _texts(docs).join(wanted, "text_key").dropDuplicates(["node"]).select("node", "text")
-        of = stored(texts.mapInArrow(_sets, "node long, shingles array<long>"), "shingle-sets")
+        of = sets(left.select(F.col("a").alias("node")).union(left.select("b")).distinct())
         side = lambda x: of.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}s"))
         both = left.join(side("a"), "a").join(side("b"), "b")
         out = stored(both.where(_enough(F.size(F.array_intersect("as", "bs")), F.size("as"), F.size("bs"))).select("a", "b"), what)
         forget(pairs, left, of)
         return out
 
+    def sets(wanted: DataFrame) -> DataFrame:
+        texts = _texts(docs).join(wanted.join(nodes.select("node", "text_key"), "node"), "text_key").dropDuplicates(["node"]).select("node", "text")
+        return stored(texts.mapInArrow(_sets, "node long, shingles array<long>"), "shingle-sets")
+
     def _sets(batches):
         for batch in batches:
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -191,13 +201,26 @@ def similar_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     groups = components(near)
 
     # All pairs of different groups that share a first shingle early enough.
-    grouped = members.select("h", "node", "n", "at").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    grouped = stored(grouped, "grouped-shingles")
-    apart = grouped.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
+    grouped = stored(members.select("h", "node", "n", "at").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")), "grouped-shingles")
+    apart = grouped.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low <> high").select("h", "m")
     open_ = stored(grouped.join(apart, "h"), "shingles-apart")
-    side = lambda x: open_.select("h", *[F.col(c).alias(f"{x}{c}") for c in ("node", "n", "at", "root")])
-    left = F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat"))
-    pairs = side("a").join(side("b"), "h").where((F.col("anode") < F.col("bnode")) & (F.col("aroot") != F.col("broot")) & _enough(left, F.col("an"), F.col("bn")))
-    others = checked(pairs.select(F.col("anode").alias("a"), F.col("bnode").alias("b")), "other-links")
+
+    def early(rows: DataFrame) -> DataFrame:
+        side = lambda x: rows.select("h", *[F.col(c).alias(f"{x}{c}") for c in ("node", "n", "at", "root")])
+        left = F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat"))
+        pairs = side("a").join(side("b"), "h").where((F.col("anode") < F.col("bnode")) & (F.col("aroot") != F.col("broot")) & _enough(left, F.col("an"), F.col("bn")))
+        return pairs.select(F.col("anode").alias("a"), F.col("bnode").alias("b"))
+
+    pairs = early(open_.where(F.col("m") <= CROWD))
+    crowd = stored(open_.where(F.col("m") > CROWD).select("node", "n", "root").distinct(), "crowd")
+    if not crowd.isEmpty():
+        of = sets(crowd.select("node"))
+        each = of.select("node", F.explode("shingles").alias("h"))
+        ranked = each.join(each.groupBy("h").agg(F.count("*").alias("m")), "h").join(crowd, "node")
+        ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("m", "h")) - 1)
+        s = Fraction(str(SIMILARITY))
+        least = F.ceil(F.col("n") * s.numerator / s.denominator)
+        pairs = pairs.union(early(stored(ranked.where((F.col("at") <= F.col("n") - least) & (F.col("m") > 1)).select("h", "node", "n", "at", "root"), "crowd-shingles")))
+    others = checked(pairs, "other-links")
     forget(members, grouped, open_, prints, nodes)
     return near.union(others)
