@@ -4,9 +4,10 @@ Base spans come from three fixed patterns. Weak candidates (identifier assignmen
 tokens, endpoints) count only if a complementary part lies within SCOPE code points: a secret
 needs an identifier or an endpoint, an identifier or an endpoint needs a secret.
 
-The interval join runs as a sweep: all parts of a text are put in order of position and each takes
-the nearest complementary part before and after it, so a text with n parts costs n log n and no
-pairs are made. Everything is a Catalyst expression.
+Each kind's matches are read once: the pieces between them and the matches themselves, as lengths, whose
+running sums are the positions. The interval join runs as a sweep: all parts of a text are put in order of
+position and each takes the nearest complementary part before and after it (running extremes in either
+order), so a text with n parts costs n log n and no pairs are made. Everything is a Catalyst expression.
 
 Defined results: a null text counts as empty; an empty text has no spans and the digest of the
 empty string; equal rows give equal results; extra columns are ignored; an empty table gives an
@@ -20,7 +21,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import partitions, stored, text_or_empty
 
 #: Code points between complementary parts, at most.
 SCOPE = 256
@@ -47,27 +48,22 @@ PATTERNS = {
 GATES = {"assign": ASSIGN + "[A-Za-z0-9+/_.=-]", "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}", "identifier": PATTERNS["identifier"], "secret": "[A-Za-z0-9+/]{32}", "endpoint": "[a-z0-9+]://"}
 
 
-def found(text: Column, kind: str) -> Column:
-    """array<struct<start, end, kind>> of the leftmost non-overlapping matches in code points.
+def lengths(text: Column, kind: str) -> Column:
+    """array<struct<gap, size, ok>> of the leftmost non-overlapping matches, in code points: the text
+    between a match and the one before, the match, and whether it counts."""
+    pattern = PATTERNS[kind]
 
-    Each match is taken with the gap before it; starts are running sums of both lengths.
-    """
-    whole = f"(?s)(.*?)({PATTERNS[kind]}|\\z)"
-    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(whole), F.lit(1)).alias("gap"), F.regexp_extract_all(text, F.lit(whole), F.lit(2)).alias("hit"))
-    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    def ok(hit: Column) -> Column:
+        if kind == "assign":
+            return F.length(F.regexp_replace(hit, "^" + ASSIGN, "")) >= 6
+        if kind == "secret":
+            return hit.rlike("[a-z]") & hit.rlike("[A-Z]") & hit.rlike("[0-9]")
+        return F.lit(True)
 
-    def step(seen: Column, x: Column) -> Column:
-        start = seen["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.when(F.length(x["hit"]) > 0, F.concat(seen["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"))))).otherwise(seen["spans"]).alias("spans"))
-
-    spans = F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda s: s["spans"])
-    if kind == "assign":
-        spans = F.filter(spans, lambda s: F.length(F.regexp_replace(s["hit"], "^" + ASSIGN, "")) >= 6)
-    if kind == "secret":
-        spans = F.filter(spans, lambda s: s["hit"].rlike("[a-z]") & s["hit"].rlike("[A-Z]") & s["hit"].rlike("[0-9]"))
-    spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(KINDS.index(kind)).alias("kind")))
-    return F.when(text.rlike(GATES[kind]), spans).otherwise(F.array().cast("array<struct<start:int,end:int,kind:int>>"))
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    both = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("size"), ok(h).alias("ok")))
+    none = F.array().cast("array<struct<gap:int,size:int,ok:boolean>>")
+    return F.when(text.rlike(GATES[kind]), F.filter(both, lambda x: x["size"].isNotNull())).otherwise(none)
 
 
 def joined(spans: Column) -> Column:
@@ -75,36 +71,35 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(name, s["s_kind"] + 1), s["s_start"].cast("string"), s["s_end"].cast("string"))), ",")
 
 
-def _ordered(spans: Column) -> Column:
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("s_start"), s["kind"].alias("s_kind"), s["end"].alias("s_end")))
+def _keys() -> list[Column]:
+    return [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_key"), F.xxhash64(text_or_empty()).alias("text_key")]
 
 
 def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """One row per row of docs: doc_id, base and linked (arrays of start, kind, end by position)."""
-    text = text_or_empty()
-    rows = docs.select(F.col("doc_id"), F.xxhash64(text).alias("text_key"), *[found(text, k).alias(k) for k in KINDS])
-    rows = rows.select("doc_id", "text_key", F.concat("assign", "access", "hex").alias("base"), F.concat("identifier", "secret", "endpoint").alias("weak"))
-    # Weak parts in texts that hold no part of the other side cannot link; those rows skip the sweep.
-    secretlike = lambda s: s["kind"].isin(KINDS.index("assign"), KINDS.index("hex"), KINDS.index("secret"))
-    rows = rows.withColumn("parts", F.concat("base", "weak"))
-    rows = rows.withColumn("parts", F.when((F.size("weak") > 0) & F.exists("parts", secretlike) & F.exists("parts", lambda s: ~secretlike(s)), F.col("parts")))
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_key"), "text_key"]
-    parts = rows.where("parts is not null").dropDuplicates(["doc_id", "text_key"]).select(*key, F.inline("parts"))
-    by = Window.partitionBy("doc_key", "text_key").orderBy("start", "kind", "end")
-    before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing)
-    is_secret = F.col("kind").isin(KINDS.index("assign"), KINDS.index("hex"), KINDS.index("secret"))
-    near = parts.select(
-        "*",
-        F.max(F.when(is_secret, F.col("end"))).over(before).alias("secret_before"), F.min(F.when(is_secret, F.col("start"))).over(after).alias("secret_after"),
-        F.max(F.when(~is_secret, F.col("end"))).over(before).alias("other_before"), F.min(F.when(~is_secret, F.col("start"))).over(after).alias("other_after"),
-        F.max(F.when(F.col("kind") < 3, F.col("end"))).over(before).alias("base_before"), F.min(F.when(F.col("kind") < 3, F.col("start"))).over(after).alias("base_after"),
-    )
+    text, by_text = text_or_empty(), ["doc_key", "text_key"]
+    kinds = F.array(*[F.struct(F.lit(i).alias("kind"), lengths(text, k).alias("xs")) for i, k in enumerate(KINDS)])
+    found = docs.select(*_keys(), F.inline(kinds)).where(F.size("xs") > 0).dropDuplicates([*by_text, "kind"])
+    found = stored(found, "secret-lengths")
+    # One exchange by text serves all windows.
+    each = found.repartition(partitions(docs.sparkSession), *by_text).select(*by_text, "kind", F.posexplode("xs").alias("i", "x"))
+    upto = F.sum(F.col("x.gap") + F.col("x.size")).over(Window.partitionBy(*by_text, "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    parts = each.withColumn("end", upto).where("x.ok").select(*by_text, "kind", (F.col("end") - F.col("x.size")).alias("start"), "end")
+    order = ["start", "kind", "end"]
+    before = Window.partitionBy(*by_text).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*by_text).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    is_secret, is_base = F.col("kind").isin(KINDS.index("assign"), KINDS.index("hex"), KINDS.index("secret")), F.col("kind") < 3
+    sides = {"secret": is_secret, "other": ~is_secret, "base": is_base}
+    near = parts.select("*", *[F.max(F.when(c, F.col("end"))).over(before).alias(f"{n}_before") for n, c in sides.items()])
+    near = near.select("*", *[F.min(F.when(c, F.col("start"))).over(after).alias(f"{n}_after") for n, c in sides.items()])
     side = lambda what: (F.coalesce(F.col("start") - F.col(f"{what}_before") <= scope, F.lit(False)) | F.coalesce(F.col(f"{what}_after") - F.col("end") <= scope, F.lit(False)))
     apart = F.coalesce(F.col("base_before") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("base_after") >= F.col("end"), F.lit(True))
-    linked = near.where((F.col("kind") >= 3) & apart & F.when(is_secret, side("other")).otherwise(side("secret")))
-    linked = linked.groupBy("doc_key", "text_key").agg(F.collect_list(F.struct("start", "end", "kind")).alias("linked"))
-    rows = rows.select("doc_id", *key, "base").join(linked, ["doc_key", "text_key"], "left")
-    return rows.select("doc_id", _ordered(F.col("base")).alias("base"), _ordered(F.coalesce("linked", F.array().cast("array<struct<start:int,end:int,kind:int>>"))).alias("linked"))
+    kept = near.where(is_base | (apart & F.when(is_secret, side("other")).otherwise(side("secret"))))
+    span = F.struct(F.col("start").alias("s_start"), F.col("kind").alias("s_kind"), F.col("end").alias("s_end"))
+    spans = kept.groupBy(*by_text).agg(F.array_sort(F.collect_list(F.when(is_base, span))).alias("base"), F.array_sort(F.collect_list(F.when(~is_base, span))).alias("linked"))
+    none = F.array().cast("array<struct<s_start:int,s_kind:int,s_end:int>>")
+    rows = docs.select("doc_id", *_keys()).join(stored(spans, "secret-spans"), by_text, "left")
+    return rows.select("doc_id", F.coalesce("base", none).alias("base"), F.coalesce("linked", none).alias("linked"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
