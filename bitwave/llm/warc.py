@@ -1,10 +1,12 @@
 """Deterministic sharded WARC archives.
 
-Records are sorted by page_id. Shards are ranges of page_id with about equal bytes, cut from a
-histogram of a fixed number of id ranges, so the same rows always give the same shards. The task of a
-shard streams its records, one gzip member each, and starts a new file when the compressed size
+Records are sorted by page_id, then digest. Shards are ranges of both with about equal bytes: CUTS rows
+with the least hashes of id and digest give the cuts, an exact histogram over these gives bytes, and
+neighbouring ranges make up a shard. Both depend on the rows alone, so the same rows always give the same
+shards, and ids that are far apart, equal or null spread like any others. Payloads are exchanged once: what
+makes a row a revisit travels to its shard beside it. The task of a shard streams its records, one gzip member each, and starts a new file when the compressed size
 passes ROLL_BYTES. Headers and digests are made anew from the payload. A file is written under a
-temporary name and renamed when closed; a file counts only if the manifest, a table committed by
+temporary name and moved when closed (a rename on file systems, a copy on object stores); a file counts only if the manifest, a table committed by
 Spark after all shards, lists it. A task that runs twice writes the same bytes under the same name.
 
 Of records with equal payloads of at least LEAST_REVISIT bytes, the one with the smallest page_id is
@@ -22,12 +24,14 @@ stores; the folder must be one that all executors share.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import io
 import os
 import uuid
 import zlib
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +41,8 @@ from .common import partitions, shared_path, stored
 
 ROLL_BYTES = 16 << 20
 LEAST_REVISIT = 100
-#: Id ranges in the histogram that shards are cut from; this many rows reach the driver at most.
-RANGES = 4096
+#: Cuts of the histogram that shards are made of (this many rows reach the driver at most), and shards.
+CUTS, SHARDS = 8192, 4096
 LEVEL = 6
 DATE = "2000-01-01T00:00:00Z"
 MANIFEST = "file string, shard int, records long, bytes long, sha256 string, first_id long, last_id long"
@@ -123,31 +127,45 @@ def write_archives(pages: DataFrame, uri: str, roll_bytes: int = ROLL_BYTES) ->
     later = big.join(again, "digest").where("page_id > first_id").select("page_id", "digest", "first_id", "first_url").distinct()
     later = stored(later, "warc-revisits")
 
-    # Shards: cuts of a histogram over RANGES equal id ranges.
-    low, high, total = narrow.agg(F.min("page_id"), F.max("page_id"), F.sum(F.col("size") + 512)).first()
+    # Shards: neighbouring ranges of the histogram with about equal bytes.
+    total = narrow.agg(F.sum(F.col("size") + 512)).first()[0]
     if total is None:
         return _commit(spark, spark.createDataFrame([], MANIFEST), uri)
-    low, high = (0, 0) if low is None else (low, high)
-    width = (high - low) // RANGES + 1
-    bin_of = F.expr(f"cast((coalesce(page_id, {low}L) - {low}L) div {width}L as int)")
-    sums = {r.b: r.n for r in narrow.groupBy(bin_of.alias("b")).agg(F.sum(F.col("size") + 512).alias("n")).collect()}
-    shards = max(1, min(RANGES, partitions(spark), -(-total // (4 * roll_bytes)) * 4))
+    key = [F.col("page_id").isNull().alias("none"), F.coalesce("page_id", F.lit(0)).alias("id"), F.substring("digest", 1, 16).alias("head")]
+    picked = narrow.select(*key).distinct().orderBy(F.xxhash64("id", "head", "none"), "id", "head", "none").limit(CUTS).collect()
+    cuts = sorted((not r.none, r.id, r.head) for r in picked)
+
+    @F.pandas_udf("int")
+    def range_of(none: pd.Series, ids: pd.Series, head: pd.Series) -> pd.Series:
+        return pd.Series([bisect.bisect_right(cuts, x) for x in zip(~none, ids, head, strict=True)], dtype="int32")
+
+    sums = {r.b: r.n for r in narrow.groupBy(range_of(*key).alias("b")).agg(F.sum(F.col("size") + 512).alias("n")).collect()}
+    shards = max(1, min(SHARDS, -(-total // (4 * roll_bytes)) * 4))
     shard_of, spent = [], 0
-    for b in range(RANGES):
+    for b in range(len(cuts) + 1):
         shard_of.append(min(shards - 1, spent * shards // total))
         spent += sums.get(b, 0)
-    lookup = F.array(*map(F.lit, shard_of))
 
-    wide = rows.select("*", F.coalesce("page_id", F.lit(low)).alias("at"))
-    out = wide.join(later.withColumnRenamed("page_id", "at"), ["at", "digest"], "left")
-    revisit = F.col("first_id").isNotNull() & F.col("page_id").isNotNull()
-    out = out.select(F.element_at(lookup, F.expr(f"cast((at - {low}L) div {width}L as int)") + 1).alias("shard"), "page_id", "url", F.when(revisit, F.lit(b"")).otherwise(F.col("payload")).alias("payload"), "digest", "size", F.when(revisit, F.col("first_id")).alias("first_id"), F.when(revisit, F.col("first_url")).alias("first_url"))
-    dealt = out.repartitionById(shards, F.col("shard")).sortWithinPartitions(F.col("page_id").asc_nulls_first(), "digest", "url")
+    @F.pandas_udf("int")
+    def shard(none: pd.Series, ids: pd.Series, head: pd.Series) -> pd.Series:
+        return pd.Series([shard_of[bisect.bisect_right(cuts, x)] for x in zip(~none, ids, head, strict=True)], dtype="int32")
+
+    nothing = lambda kind: F.lit(None).cast(kind)
+    marks = later.select("page_id", nothing("string").alias("url"), nothing("binary").alias("payload"), "digest", nothing("long").alias("size"), "first_id", "first_url")
+    both = rows.withColumns({"first_id": nothing("long"), "first_url": nothing("string")}).select(*marks.columns).union(marks)
+    dealt = both.select(shard(*key).alias("shard"), "*").repartitionById(shards, F.col("shard"))
+    # Of one id and digest the mark comes before the rows.
+    dealt = dealt.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", F.col("first_id").asc_nulls_last(), "url")
 
     def run(batches):
-        roller, previous = None, None
+        roller, previous, mark = None, None, None
         for batch in batches:
             for shard, page_id, url, payload, digest, size, first_id, first_url in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if size is None:
+                    mark = (page_id, digest, first_id, first_url)
+                    continue
+                if mark and mark[:2] == (page_id, digest):
+                    first_id, first_url, payload = mark[2], mark[3], b""
                 if roller is None or roller.shard != shard:
                     if roller:
                         roller.close()
@@ -174,6 +192,8 @@ def write_archives(pages: DataFrame, uri: str, roll_bytes: int = ROLL_BYTES) ->
 
 def _commit(spark: SparkSession, rows: DataFrame, uri: str) -> DataFrame:
     rows.write.mode("error").parquet(f"{uri}/manifest")
+    fs, base = _open(uri)
+    fs.delete_dir(f"{base}/_temporary")  # what failed attempts have left
     return spark.read.schema(MANIFEST).parquet(f"{uri}/manifest")
 
 
@@ -181,7 +201,7 @@ def members(stream):
     """The decompressed members of a gzip file, one after the other; memory for one at a time."""
     d, out, data = zlib.decompressobj(31), io.BytesIO(), b""
     while True:
-        data = data or stream.read(1 << 20)
+        data = data or stream.read(1 << 15)  # short reads: the rest of one is copied for each member
         if not data:
             return
         out.write(d.decompress(data))
