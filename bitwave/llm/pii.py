@@ -5,11 +5,14 @@ overlapping ones too: number groups of any form, words around an at sign (also s
 and colon-separated numbers. Trees boosted on format and context features score each candidate; a
 calibrated threshold for each kind accepts it if it overlaps no base span.
 
-Training: candidates of a bounded sample of texts (a parameter, picked by a hash of the text). A
-candidate is a positive if the fixed patterns validate it, a negative else; the validating facts
-(Luhn sum, part range, digit count limits) are no features, so trees learn form and surroundings.
-The threshold of a kind is the lowest score at which PRECISION of the calibration candidates above it
-are positives; without such a score the kind accepts nothing.
+Training has two sources. Written examples: TAUGHT snippets made by rule, that hold personal data in forms
+the fixed patterns do not know (numbers without a plus or with dots, spelled-out addresses, long network
+addresses) near words that speak of them, and look-alikes (order numbers, versions, dates, device
+addresses, mentions). And candidates of a bounded sample of the texts themselves (parameters, picked by a
+hash of the text): a positive if a fixed pattern validates it, a negative if none does and no word near it
+speaks of its kind; the others teach nothing. A quarter of both is held out, and the threshold of a kind is
+the lowest score at which PRECISION of the held-out candidates above it are positives; without such a score
+the kind accepts nothing.
 
 Defined results: a null text counts as empty; an empty text has no spans; equal rows give equal
 rows; extra columns are ignored; an empty table gives an empty result. Scans are linear in a text's
@@ -32,6 +35,8 @@ from .common import text_or_empty
 KINDS = ("email", "ip", "card", "phone")
 #: Texts in the training sample, on average, and candidates taken of them, at most.
 SAMPLE_TEXTS, MOST_CANDIDATES = 4_000, 30_000
+#: Written examples, and bytes of a text's part around its candidates that one row of the sample has, at most.
+TAUGHT, PART = 6_000, 4_096
 #: Of accepted calibration candidates, positives at least.
 PRECISION = 0.98
 CONTEXT = 24
@@ -42,15 +47,20 @@ LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-#: Generators: kind, and a pattern that is cheap and wide.
+#: Generators: kind, and a pattern that is cheap and wide. Every run is read once.
 WIDE = (
-    ("phone", re.compile(r"(?<![0-9])[+(]?[0-9]{2,}(?:[ ().-]{1,2}[0-9]{2,}){2,}(?![0-9])")),
-    ("card", re.compile(r"(?<![0-9])[0-9]{4}(?:[ ./-]?[0-9]{2,6}){2,5}(?![0-9])")),
-    ("ip", re.compile(r"(?<![0-9.])[0-9]{1,3}(?:[.][0-9]{1,3}){3}(?::[0-9]{1,5})?(?![0-9.])|(?<![0-9a-fA-F:])[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){7}(?![0-9a-fA-F:])")),
-    ("email", re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9._+-]{1,64}(?: ?(?:@|\(at\)|\[at\]) ?)[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z]{2,})++")),
+    ("phone", re.compile(r"(?<![0-9])[+(]?[0-9]{2,}+(?:[ ().-]{1,2}[0-9]{2,}+){2,}+(?![0-9])")),
+    ("card", re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[ ./-]?[0-9]{2,6}){2,5}(?![0-9A-Za-z])")),
+    ("ip", re.compile(r"(?<![0-9a-fA-F:.])(?:[0-9a-fA-F]{1,4}:){2,7}(?::|[0-9a-fA-F]{1,4})(?::?[0-9a-fA-F]{1,4})*+(?![0-9a-fA-F:])")),
+    ("email", re.compile(r"(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{2,}+)++")),
 )
-GATE = {"phone": re.compile("[0-9][ ().-]"), "card": re.compile("[0-9]{4}"), "ip": re.compile("[0-9a-fA-F][.:][0-9a-fA-F]"), "email": re.compile(r"@|\(at\)|\[at\]")}
-CUES = ("mail", "contact", "phone", "tel", "call", "card", "visa", "pay", "ip", "host", "server", "addr")
+GATE = {"phone": re.compile("[0-9][ ().-]"), "card": re.compile("[0-9]{4}"), "ip": re.compile("[0-9a-fA-F]:[0-9a-fA-F:]"), "email": re.compile(r"@|\(at\)|\[at\]")}
+#: Words that speak of a kind, and words that speak of something else.
+CUES = {
+    "email": ("mail", "contact", "write", "écri", "schreib", "escrib"), "ip": ("ip", "host", "server", "addr", "client"),
+    "card": ("card", "visa", "credit", "karte", "carte", "tarjeta"), "phone": ("phone", "tel", "call", "fax", "mobil", "anruf", "appel", "llam"),
+}
+OTHERWISE = ("order", "invoice", "ref", "serial", "version", "isbn", "date", "total", "part", "mac", "time", "token", "id")
 
 
 def luhn(digits: str) -> bool:
@@ -95,10 +105,11 @@ def describe(text: str, kind: str, start: int, end: int) -> list[float]:
     groups = re.findall("[0-9]+", s)
     lens = [len(g) for g in groups] or [0]
     count = lambda chars: sum(s.count(c) for c in chars)
+    digits = "".join(groups)
     return [
-        KINDS.index(kind), len(s), sum(lens), len(groups), max(lens), min(lens), lens[0], lens[-1], count("."), count("-"), count(" "), count("()"), count("+"), count(":"), count("@"), count("[]"),
+        KINDS.index(kind), float(13 <= len(digits) <= 19 and luhn(digits)), count("/"), float("::" in s), len(re.findall("[0-9a-fA-F]+", s)), len(s), sum(lens), len(groups), max(lens), min(lens), lens[0], lens[-1], count("."), count("-"), count(" "), count("()"), count("+"), count(":"), count("@"), count("[]"),
         float(s[:1] == "+"), float(s[:1] == "("), float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before[-1:] in "+-.,:/@#"), float(after[:1] in "-.,:/@%"),
-        sum(c.isdigit() for c in before), sum(c.isdigit() for c in after), sum(c.isalpha() for c in before), *[float(c in before) for c in CUES],
+        sum(c.isdigit() for c in before), sum(c.isdigit() for c in after), sum(c.isalpha() for c in before), *[float(any(c in before for c in CUES[k])) for k in KINDS], *[float(c in before) for c in OTHERWISE],
     ]
 
 
@@ -170,42 +181,85 @@ class Detector:
     trees: Trees | None = None
     thresholds: dict = field(default_factory=dict)
 
-    def spans(self, text: str, context=describe) -> tuple[list, list]:
-        """Base spans, and accepted candidates that overlap none of them nor each other."""
-        base = base_spans(text)
-        more: list[tuple[str, int, int]] = []
-        if self.trees and self.thresholds:
+    def spans(self, text: str) -> tuple[list, list]:
+        return self.spans_of([text])[0]
+
+    def spans_of(self, texts: list[str]) -> list[tuple[list, list]]:
+        """For each text: base spans, and accepted candidates that overlap none of them nor each other.
+        The candidates of all texts are scored at once."""
+        bases, free = [base_spans(t) for t in texts], []
+        for i, (text, base) in enumerate(zip(texts, bases, strict=True) if self.trees and self.thresholds else ()):
             # Only candidates outside every base span can be accepted, so only those are scored.
-            open_ = [c for c in candidates(text) if c[0] in self.thresholds]
             marks = sorted((s, e) for _, s, e in base)
             ends = np.maximum.accumulate([e for _, e in marks]) if marks else []
             starts = [s for s, _ in marks]
-            free = [c for c in open_ if not ((i := np.searchsorted(starts, c[2])) and ends[i - 1] > c[1])]
-            if free:
-                scores = self.trees.score(np.array([context(text, *c) for c in free], float))
-                taken: list[tuple[int, int]] = []
-                for s, c in sorted(zip(scores, free, strict=True), key=lambda x: (x[1][1], -x[0], x[1])):
-                    if s >= self.thresholds[c[0]] and not (taken and taken[-1][1] > c[1]):
-                        more.append(c)
-                        taken.append((c[1], c[2]))
-        return base, more
-
-
-def fit(texts: list[str]) -> Detector:
+            free += [(i, c) for c in candidates(text) if c[0] in self.thresholds and not ((j := np.searchsorted(starts, c[2])) and ends[j - 1] > c[1])]
+        more: list[list] = [[] for _ in texts]
+        if free:
+            scores = self.trees.score(np.array([describe(texts[i], *c) for i, c in free], float))
+            for s, (i, c) in sorted(zip(scores, free, strict=True), key=lambda x: (x[1][0], x[1][1][1], -x[0], x[1][1])):
+                if s >= self.thresholds[c[0]] and not (more[i] and more[i][-1][2] > c[1]):
+                    more[i].append(c)
+        return list(zip(bases, more, strict=True))
+
+
+def taught(number: int = TAUGHT) -> list[tuple[str, str, int, int, bool]]:
+    """Written examples: (text, kind, start, end, whether it is personal data)."""
+    import random
+
+    r = random.Random(17)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(r.choice("abcdefghilmnoprstuv") for _ in range(r.randint(2, 8)))
+    group = lambda: f"{r.randrange(1, 65536):x}"
+
+    def card() -> str:
+        d = str(r.choice((4, 5))) + digits(14)
+        return next(d + c for c in "0123456789" if luhn(d + c))
+
+    def spread(d: str, by: str) -> str:
+        return by.join(d[i : i + 4] for i in range(0, len(d), 4))
+
+    phones = [lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"{digits(3)}.{digits(3)}.{digits(4)}", lambda: f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}", lambda: f"0{digits(3)} {digits(3)} {digits(4)}"]
+    spelled_out = [lambda: f"{word()} (at) {word()} (dot) com", lambda: f"{word()}.{word()} [at] {word()}.example.org", lambda: f"{word()}{digits(2)}(at){word()}(dot)net", lambda: f"{word()} @ {word()}.com"]
+    long = [lambda: ":".join(group() for _ in range(8)), lambda: f"{group()}:{group()}:{group()}::{group()}:{group()}", lambda: f"fe80:{group()}:{group()}::{group()}"]
+    good = {"phone": phones, "card": [lambda: spread(card(), "."), lambda: spread(card(), "/")], "ip": long, "email": spelled_out}
+    bad = {
+        "phone": [*phones, lambda: f"20{digits(2)}-{r.randint(10, 12)}-{r.randint(10, 28)}", lambda: f"{digits(2)}.{digits(2)}.{digits(4)}", lambda: f"{digits(2)} {digits(2)} {digits(3)} {digits(2)}"],
+        "card": [lambda: digits(16), lambda: spread(digits(16), "."), lambda: spread(digits(16), " "), lambda: spread(card(), "."), lambda: digits(20)],
+        "ip": [lambda: ":".join(f"{r.randrange(256):02x}" for _ in range(6)), lambda: f"{r.randint(10, 23)}:{r.randint(10, 59)}:{r.randint(10, 59)}", lambda: ":".join(digits(2) for _ in range(4))],
+        "email": [lambda: f"{word()} (at) {digits(2)}.{digits(2)}", lambda: f"{word()} @ {digits(1)}.{digits(2)}", lambda: f"{digits(2)} @ {digits(2)}.{digits(2)}"],
+    }
+    out = []
+    while len(out) < number:
+        kind, real = r.choice(KINDS), r.random() < 0.4
+        cue = r.choice(CUES[kind]) + r.choice(("", "", word())) + r.choice((" ", ": ", " at ", " number ")) if real else r.choice((word() + " ", r.choice(OTHERWISE) + r.choice((" ", ": ", " no. ")), f"{word()} {word()} "))
+        text = f"{word()} {word()} {cue}"
+        span = r.choice((good if real else bad)[kind])()
+        whole = f"{text}{span}{r.choice((' ', '. ', ', '))}{word()} {word()}"
+        found = [c for c in candidates(whole) if c[0] == kind and c[1] < len(text) + len(span) and len(text) < c[2]]
+        out += [(whole, *c, real and c[1:] == (len(text), len(text) + len(span))) for c in found if not real or c[1:] == (len(text), len(text) + len(span))] or [(whole, kind, len(text), len(text) + len(span), False)][: not real]
+    return out
+
+
+def fit(texts: list[str], examples: list | None = None) -> Detector:
     """Trees on three quarters of the candidates, thresholds on the rest."""
     rows, labels, kinds, hold = [], [], [], []
+    for i, (text, kind, s, e, real) in enumerate(taught() if examples is None else examples):
+        rows.append(describe(text, kind, s, e))
+        labels.append(float(real))
+        kinds.append(kind)
+        hold.append(i % 4 == 3)
     for i, text in enumerate(texts):
         valid = set(base_spans(text))
-        # A candidate of another extent than the valid span it overlaps teaches nothing clear.
         for kind, s, e in candidates(text):
-            inside = any(k == kind and s < f and b < e for k, b, f in valid)
-            if (kind, s, e) in valid or not inside:
-                rows.append(describe(text, kind, s, e))
-                labels.append(float((kind, s, e) in valid))
-                kinds.append(kind)
-                hold.append(i % 4 == 3)
-        if len(rows) >= MOST_CANDIDATES:
-            break
+            # One of another extent than the valid span it overlaps teaches nothing clear, nor does one of
+            # a form of its own next to a word that speaks of it.
+            if (kind, s, e) not in valid and (any(s < f and b < e for _, b, f in valid) or any(c in text[max(0, s - CONTEXT) : s].lower() for c in CUES[kind])):
+                continue
+            rows.append(describe(text, kind, s, e))
+            labels.append(float((kind, s, e) in valid))
+            kinds.append(kind)
+            hold.append(i % 4 == 3)
     x, y, k, hold = np.array(rows, float), np.array(labels), np.array(kinds), np.array(hold, bool)
     if not len(y) or not (~hold).sum() or y[~hold].min() == y[~hold].max():
         return Detector()
@@ -239,7 +293,7 @@ def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Detector:
                     else:
                         kept.append((s, e))
                     at = kept[-1][1]
-                out += [t[s:e] for s, e in kept if e - s < 4096]
+                out += [t[s:e] for s, e in kept if e - s < PART]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["part"])
 
     found = [r.part for r in picked.mapInArrow(parts, "part string").distinct().orderBy(F.xxhash64("part"), "part").limit(MOST_CANDIDATES).collect()]
@@ -256,7 +310,7 @@ def find(docs: DataFrame, detector: Detector) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [sent.value.spans(t or "") for t in batch.column(1).to_pylist()]
+            rows = sent.value.spans_of([t or "" for t in batch.column(1).to_pylist()])
             counts = [pa.array([sum(s[0] == k for s in base) for base, _ in rows], pa.int64()) for k in KINDS]
             sha = pa.array([hashlib.sha256(spelled(base).encode()).hexdigest() for base, _ in rows], pa.string())
             spans = pa.array([spelled(base + more) for base, more in rows], pa.string())
@@ -275,11 +329,11 @@ def redact(docs: DataFrame, detector: Detector) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(detector)
     at = docs.columns.index("text")
 
-    def clean(text):
+    def clean(text, found):
         if text is None:
             return None
         out, done = [], 0
-        spans = [s for both in sent.value.spans(text) for s in both]
+        spans = [s for both in found for s in both]
         for kind, s, e in sorted(spans, key=lambda x: (x[1], -x[2])):
             if s >= done:
                 out += [text[done:s], f"<{kind}>"]
@@ -288,7 +342,9 @@ def redact(docs: DataFrame, detector: Detector) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield batch.set_column(at, batch.schema.names[at], pa.array([clean(t) for t in batch.column(at).to_pylist()], batch.schema.types[at]))
+            texts = batch.column(at).to_pylist()
+            found = sent.value.spans_of([t or "" for t in texts])
+            yield batch.set_column(at, batch.schema.names[at], pa.array(list(map(clean, texts, found)), batch.schema.types[at]))
 
     out = docs.mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:
