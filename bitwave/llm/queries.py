@@ -92,10 +92,10 @@ select doc_id, coalesce(a, 0) as n_assign, coalesce(b, 0) as n_access, coalesce(
 
 
 def _decontamination_sql() -> str:
-    from .decontaminate import MASKS, MATCH, WINDOW
+    from .decontaminate import MASKS, MATCH, SHORT, SHORT_MASKS, WINDOW
 
-    offsets = [[o for o, c in enumerate(m) if c == "1"] for m in MASKS]
-    seeded = " or ".join(f"(j + {len(m)} <= n and p + {len(m)} <= dn and " + " and ".join(f"list_contains(js, j + {o})" for o in offs) + ")" for m, offs in zip(MASKS, offsets, strict=True))
+    masks = [(m, "") for m in MASKS] + [(m, f"n in {SHORT} and ") for m in SHORT_MASKS]
+    seeded = " or ".join(f"({only}j + {len(m)} <= n and p + {len(m)} <= dn and " + " and ".join(f"list_contains(js, j + {o})" for o, c in enumerate(m) if c == "1") + ")" for m, only in masks)
     words = lambda t: f"regexp_extract_all(lower(coalesce({t}, '')), '[\\p{{L}}\\p{{N}}]+')"
     return f"""
 with d as (select row_number() over () as r, doc_id, {words("text")} as w from documents),
@@ -112,11 +112,11 @@ select doc_id, cast(n is not null as integer) as contaminated, coalesce(n, 0) as
 
 
 _TOP_K_SQL = """
-with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as x from embeddings
+with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as hugeint)) as x from embeddings
   where vec_id is not null and embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
-p as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2])) as score
-      from v q join v c on q.vec_id <> c.vec_id and len(q.x) = len(c.x) where q.vec_id % 50 = 0),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p)
+p as (select q.r, q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2])) as score
+      from v q join v c on q.r <> c.r and len(q.x) = len(c.x) where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by r order by score desc, vec_id) as rank from p)
 select query_id, cast(rank as integer) as rank, vec_id, cast(score as bigint) as score from r where rank <= 5"""
 
 _WARC_SQL = """

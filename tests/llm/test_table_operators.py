@@ -1,6 +1,7 @@
 """Operators over pages, vectors and groups of documents, and the pipeline."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -51,26 +52,40 @@ def test_archives_are_deterministic_and_roll(spark, tmp_path):
         manifest = warc.write_archives(df.repartition(n), uri, roll_bytes=2000).orderBy("file").collect()
         found.append([(r.file, r.records, r.bytes, r.sha256) for r in manifest])
         names = sorted(p.name for p in (tmp_path / str(i)).glob("part-*"))
-        assert names == [r.file for r in manifest] and not list((tmp_path / str(i) / "_temporary").iterdir())
+        assert names == [r.file for r in manifest] and not (tmp_path / str(i) / "_temporary").exists()
         for r in manifest:
             assert hashlib.sha256((tmp_path / str(i) / r.file).read_bytes()).hexdigest() == r.sha256
     assert found[0] == found[1] and len(found[0]) > 3
 
 
+@pytest.mark.parametrize("far", [2**50, None])
+def test_shards_have_about_equal_bytes(spark, tmp_path, far):
+    """One id far away, or a third of the rows without an id."""
+    r = random.Random(3)
+    rows = [(i if far or i % 3 else None, f"u{i}", f"{r.random()} " * 100) for i in range(3000)] + [(far, "far", "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    sizes = {}
+    for m in warc.write_archives(df, f"file://{tmp_path}/{far}", roll_bytes=50_000).collect():
+        sizes[m.shard] = sizes.get(m.shard, 0) + m.bytes
+    assert len(sizes) >= 20 and max(sizes.values()) < 2 * sum(sizes.values()) / len(sizes)
+
+
 # --- Top k ----------------------------------------------------------------------------------------
 
 
+def whole(c):
+    """floor(256 * c) of a double, whatever its size."""
+    c = float(np.float32(c))
+    return int(c) * 256 if abs(c) >= 2**53 else math.floor(256 * c)
+
+
 def brute_top(rows, k=5):
-    v = {}
-    for i, x in rows:
-        if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x):
-            v.setdefault(i, []).append([int(np.floor(256 * float(np.float32(c)))) for c in x])
+    good = [(i, [whole(c) for c in x]) for i, x in rows if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)]
     out = []
-    for q in v:
+    for n, (q, mine) in enumerate(good):
         if q % 50 == 0:
-            mine = min(v[q])
-            all_ = [(-sum(a * b for a, b in zip(mine, x, strict=True)), i) for i in v if i != q for x in v[i] if len(x) == len(mine)]
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(all_)[:k])]
+            all_ = sorted((-sum(a * b for a, b in zip(mine, x, strict=True)), i) for m, (i, x) in enumerate(good) if m != n and len(x) == len(mine))
+            out += [(q, at + 1, i, max(-(2**63), min(2**63 - 1, -s))) for at, (s, i) in enumerate(all_[:k])]
     return sorted(out)
 
 
@@ -79,26 +94,36 @@ def vectors():
     rows = [(i, r.normal(size=6).round(1).tolist()) for i in range(400)]
     rows += [(1000 + i, [0.5] * 6) for i in range(200)]  # ties
     rows += [(1, None), (2, [float("nan")] * 6), (3, [1.0, None] + [0.0] * 4), (450, [1.0, 2.0, 3.0]), (None, [1.0] * 6), (451, [1.0, 1.0, 1.0]), (2050, [float("inf")] * 6), (-50, [3.0] * 6), (100, [9.0] * 6)]
-    return rows
+    return rows + [(150, rows[150][1])] * 3 + [(500, []), (501, [])]
 
 
-@pytest.mark.parametrize("block", [topk.BLOCK_BYTES, 300])
-def test_top_k(spark, monkeypatch, block):
-    monkeypatch.setattr(topk, "BLOCK_BYTES", block)
+@pytest.mark.parametrize("shard", [topk.SHARD_BYTES, 300])
+def test_top_k(spark, monkeypatch, shard):
     monkeypatch.setattr(topk, "TILE", 64)
     rows = vectors()
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, score int, rank string").repartition(5)
-    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df).collect()) == brute_top(rows)
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, shard_bytes=shard).collect()) == brute_top(rows)
     assert topk.top_k(df.limit(0)).collect() == []
     few = spark.createDataFrame([(50, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(few).collect()] == [(50, 1, 1, 131072)]
 
 
+def test_top_k_of_large_vectors(spark):
+    """Every finite vector takes part; order is exact beyond 64 bits too."""
+    r = random.Random(4)
+    rows = [(50, [1.0, 0.0]), (1, [9e6, 0.0]), (2, [1.0, 1.0]), (100, [1e30, -1e30]), (3, [1e30, 1e30]), (4, [3e38, 0.0]), (5, [-3e38, 1.0]), (6, [3e38, 1.0]), (150, [2.0**60, 3.0])]
+    rows += [(10 + i, [r.choice([1.0, 2.0**40, 1e20, -1e20, 5e8]), r.uniform(-9, 9)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df).collect()) == brute_top(rows)
+
+
 def test_products_beyond_doubles():
     big = np.array([[2**31 - 1] * 4], np.int64)
-    assert topk.products(big, big)[0, 0] == min(2**63 - 1, 4 * (2**31 - 1) ** 2)
+    assert topk.products(big, big)[0, 0] == 4 * (2**31 - 1) ** 2
     a = np.array([[2**29, 3]], np.int64)
     assert topk.products(a, a)[0, 0] == 2**58 + 9
+    values = sorted([0, 1, -1, 255, 256, -255, -256, -257, 2**64, -(2**64), 2**200, -(2**200), 2**2000])
+    assert sorted(values, key=topk._sortable) == values
 
 
 # --- SimHash --------------------------------------------------------------------------------------

@@ -140,6 +140,46 @@ def test_private_query(spark):
     assert pii.personal_data(df.limit(0)).collect() == []
 
 
+def test_private_spans_beyond_the_fixed_patterns(spark):
+    """Forms that no fixed pattern knows are added where words speak of them, look-alikes are not; the
+    words and numbers are other ones than those of the written examples."""
+    r = random.Random(33)
+    n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    fill = lambda: " ".join(r.choice(["lorem", "ipsum", "dolor", "sit", "amet"]) for _ in range(8))
+    real = {
+        "phone": (lambda: f"{n(3)}-{n(3)}-{n(4)}", ("phone", "please call", "fax:")), "email": (lambda: f"joe{n(2)} (at) host{n(1)}x (dot) com", ("mail me at", "contact")),
+        "ip": (lambda: ":".join(f"{r.randrange(4096, 65536):x}" for _ in range(8)), ("server", "host")),
+    }
+    alike = [lambda: f"order {n(3)}-{n(3)}-{n(4)}", lambda: f"serial {n(16)}", lambda: f"on 20{n(2)}-10-{r.randint(10, 28)}", lambda: ":".join(f"{r.randrange(256):02x}" for _ in range(6)), lambda: f"at {r.randint(10, 23)}:{r.randint(10, 59)}:{r.randint(10, 59)}"]
+    texts, want = [], []
+    for i in range(900):
+        if i % 3 == 0:
+            kind = r.choice(list(real))
+            make, cues = real[kind]
+            span, before = make(), f"{fill()} {r.choice(cues)} "
+            texts.append(f"{before}{span} {fill()}")
+            want.append(f"{kind}:{len(before)}:{len(before) + len(span)}")
+        else:
+            texts.append(f"{fill()} {r.choice(alike)()} {fill()}")
+            want.append(None)
+    got = {r.doc_id: r for r in pii.personal_data(table(spark, texts)).collect()}
+    added = [(i, x) for i in range(900) for x in got[i].spans.split(",") if x and got[i].n_email + got[i].n_ip + got[i].n_card + got[i].n_phone == 0]
+    right = [(i, x) for i, x in added if x == want[i]]
+    assert len(right) >= 0.9 * 300 and len(right) >= 0.97 * len(added), (len(right), len(added))
+
+
+def test_private_candidates_against_plain_matching():
+    """The possessive generators find what plain ones do, and long runs cost one reading."""
+    r = random.Random(12)
+    bits = ["12", "345", " ", "-", ".", "(", ")", "+", "a", "@", "(at)", "b.com", "[dot]", ":", "ff", "0a1", "x"]
+    plain = {k: re.compile(p.pattern.replace("++", "+").replace("}+", "}").replace("*+", "*")) for k, p in pii.WIDE}
+    for t in ["".join(r.choices(bits, k=r.randint(3, 25))) for _ in range(3000)]:
+        mine = {(k, s) for k, s, _ in pii.candidates(t)}
+        assert mine <= {(k, m.start()) for k, p in plain.items() for m in p.finditer(t)}, repr(t)
+    for t in ["1" * 300_000, "a." * 150_000, "ab:" * 100_000, "12 " * 100_000, "a@" * 100_000]:
+        pii.candidates(t)
+
+
 def test_boosted_trees_learn_a_rule():
     r = np.random.default_rng(0)
     x = r.normal(size=(2000, 5))
@@ -155,11 +195,11 @@ def test_leaks(spark):
     r = random.Random(6)
     words = [f"w{i}" for i in range(400)]
     prose = lambda n: r.choices(words, k=n)
-    items = [" ".join(prose(n)) for n in (30, 15, 60, 8, 5)]
+    items = [" ".join(prose(n)) for n in (30, 15, 60, 8, 5, 6)]
     texts, want = list(ODD), [0] * len(ODD)
     for item in items * 20:
         w = item.split()
-        for p in r.sample(range(len(w)), len(w) // 12):  # a few substitutions
+        for p in r.sample(range(len(w)), max(len(w) // 12, int(len(w) < 7))):  # a few substitutions
             w[p] = "zz"
         texts.append(" ".join([*prose(40), *w, *prose(40)]))
         want.append(None)
@@ -175,7 +215,7 @@ def test_leaks(spark):
             b = item.split()
             for d in range(-len(b), len(w)):
                 same = [0 <= j + d < len(w) and w[j + d] == x for j, x in enumerate(b)]
-                seeds = any(j + len(m) <= len(b) and 0 <= j + d and j + d + len(m) <= len(w) and all(same[j + o] for o, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for j in range(len(b)))
+                seeds = any(j + len(m) <= len(b) and 0 <= j + d and j + d + len(m) <= len(w) and all(same[j + o] for o, c in enumerate(m) if c == "1") for m in decontaminate.MASKS + (decontaminate.SHORT_MASKS if len(b) in decontaminate.SHORT else ()) for j in range(len(b)))
                 width = min(len(b), decontaminate.WINDOW)
                 top = max(sum(same[a : a + width]) for a in range(len(b) - width + 1))
                 if seeds and top >= np.ceil(decontaminate.MATCH * width):
@@ -185,13 +225,23 @@ def test_leaks(spark):
     for i, t in enumerate(texts):
         if t is None or len(t) < 5000:
             assert got[i].most_matched == brute(t), repr(t)
-    assert sum(got[i].contaminated for i, w in enumerate(want) if w is None) >= 90
+    assert sum(got[i].contaminated for i, w in enumerate(want) if w is None) >= 110
     kept = {r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()}
     assert kept == {i for i in range(len(texts)) if not got[i].contaminated}
     assert {r.contaminated for r in decontaminate.contamination(df, bench.limit(0)).collect()} == {0}
     assert decontaminate.contamination(df.limit(0), bench).collect() == []
 
 
+def test_leaks_in_repetitive_texts(spark, monkeypatch):
+    """As many hits as words, also across the edges of blocks."""
+    monkeypatch.setattr(decontaminate, "BLOCK", 32)
+    item = " ".join(f"w{i}" for i in range(20))
+    texts = ["a b a b c " * 2000, *[f"{'z ' * n}{item}{' z' * n}" for n in range(20, 70)], f"{item} " * 300]
+    bench = spark.createDataFrame([(1, item), (2, "a b a b c a b a b c a b a")], "item_id long, text string")
+    got = {r.doc_id: (r.contaminated, r.n_items, r.most_matched) for r in decontaminate.contamination(table(spark, texts), bench).collect()}
+    assert got == {i: (1, 1, 13) for i in range(52)}
+
+
 def test_leaks_when_the_benchmark_is_too_large_to_send(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "MOST_SENT", 0)
     item = " ".join(f"w{i}" for i in range(20))
