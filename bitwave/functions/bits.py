@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,17 +31,30 @@ class Bits:
     """A reader over bytes for layouts whose widths depend on what was read."""
 
     def __init__(self, data: bytes):
-        self.pos, self.error, self.total = 0, False, 8 * len(data)
-        self.string = bin(int.from_bytes(b"\1" + data, "big"))[3:]
+        self.data, self.pos, self.error, self.total = data, 0, False, 8 * len(data)
+
+    @cached_property
+    def windows(self) -> list[int]:
+        """The 32 bits from each byte on; zeros follow the end."""
+        d = np.frombuffer(self.data + bytes(4), np.uint8).astype(np.uint32)
+        return ((d[:-3] << 24) | (d[1:-2] << 16) | (d[2:-1] << 8) | d[3:]).tolist()
+
+    def peek(self, n: int) -> str:
+        """The next n bits, or fewer before the end, as digits."""
+        end = min(self.pos + n, self.total)
+        part = self.data[self.pos >> 3 : (end + 7) >> 3]
+        return bin(int.from_bytes(b"\1" + part, "big"))[3 + (self.pos & 7) :][: end - self.pos]
 
     def read(self, n: int) -> int:
         if n == 0:
             return 0
-        if n > 32 or self.pos + n > self.total:
+        end = self.pos + n
+        if n > 32 or end > self.total:
             self.error = True
             return 0
-        self.pos += n
-        return int(self.string[self.pos - n : self.pos], 2)
+        part = self.data[self.pos >> 3 : (end + 7) >> 3]
+        self.pos = end
+        return (int.from_bytes(part, "big") >> (-end & 7)) & ((1 << n) - 1)
 
     def skip(self, n: int) -> None:
         if self.pos + n > self.total:

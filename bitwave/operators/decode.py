@@ -1,15 +1,19 @@
-"""Frames to samples: one shuffle by stream for the reservoir, one for the lag over granules."""
+"""Frames to samples. Whole sources need no shuffle; frames in any order are dealt by stream once and
+sorted. Either way a task walks the frames of a stream in blocks: the reservoir and the entropy codes frame
+by frame, the transforms over all granules of a block at once. From block to block it carries the
+reservoir and the last granule, which is all the memory there is."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tables
+from ..sources.files import frames_in
 from . import entropy, hybrid, spectrum
-from .reservoir import assembled
+from .reservoir import Reservoir, assembled
 
 GRANULES = (
     "stream_id string, frame_no long, sample_rate_hz int, channels int, status int, gr int, ch int, global_gain int, block_type int, window_switching int, mixed int, "
@@ -85,121 +89,141 @@ def granules(frames: DataFrame, extra_codes: dict | None = None, compat: bool =
     return _ready(frames).mapInArrow(run, GRANULES)
 
 
-#: One row for each good granule, its channels side by side; a null xr is silence.
-LINES = "stream_id string, frame_no long, gr int, channels int, kinds array<int>, xr array<float>"
-
-
-def _lines(frames: DataFrame, extra_codes: dict | None, compat: bool) -> DataFrame:
-    def run(batches):
-        books = tables.codebooks(extra_codes)
-        for batch in batches:
-            rows = [(stream, frame, gr, channels, granule) for stream, frame, _, channels, status, done in _decoded(batch, books, compat) for gr, granule in enumerate(done)]
-            for a in range(0, len(rows), 1024):
-                part = rows[a : a + 1024]
-                kinds = [[v for g, _ in granule for v in (g["block_type"], g["window_switching"], g["mixed"])] for *_, granule in part]
-                xr = [None if all(x is None for _, x in granule) else np.concatenate([np.zeros(576) if x is None else x for _, x in granule]) for *_, granule in part]
-                sizes = [0 if x is None else len(x) for x in xr]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.concatenate([np.empty(0, np.float32), *[x.astype(np.float32) for x in xr if x is not None]])), mask=pa.array([x is None for x in xr]))
-                yield pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in part], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.int32()))], pa.array(kinds, pa.list_(pa.int32())), lists], ["stream_id", "frame_no", "gr", "channels", "kinds", "xr"])
-
-    return _ready(frames).mapInArrow(run, LINES)
-
-
-def _small(batches):
-    """Slices that keep the kernels' temporaries to some tens of megabytes."""
-    for batch in batches:
-        for a in range(0, batch.num_rows, 1024):
-            yield batch.slice(a, 1024)
-
-
-def _stack(column: pa.Array) -> np.ndarray:
-    """A nullable column of 576 values for each channel as (rows, 2, 576); what is missing is zero."""
-    out = np.zeros((len(column), 2, 576))
-    have = column.is_valid().to_numpy(zero_copy_only=False)
-    flat = column.drop_null().flatten().to_numpy(zero_copy_only=False)
-    lengths = np.zeros(len(column), int)
-    lengths[have] = np.diff(column.drop_null().offsets.to_numpy()) // 576 if have.any() else 0
-    for c in (0, 1):
-        at = np.flatnonzero(lengths > c)
-        starts = (np.cumsum(lengths) - lengths)[at] + c
-        out[at, c] = flat.reshape(-1, 576)[starts]
-    return out
-
-
-def _kinds(column: pa.Array) -> np.ndarray:
-    """(rows, 2, 3) of block type, switching and mixed flag."""
-    out = np.zeros((len(column), 2, 3), int)
-    for i, k in enumerate(column.to_pylist()):
-        if k:
-            out[i].flat[: len(k)] = k
-    return out
+#: Frames in a block: some tens of megabytes of temporaries.
+FRAMES = 256
+PCM = "stream_id string, frame_no long, channels int, pcm_float array<float>, pcm16 array<smallint>"
+
+
+class Running:
+    """The decoder of one stream."""
+
+    def __init__(self, books: dict, window=None, compat: bool = False, reservoir: bytes = b"", kinds=None, lines=None, bands=None):
+        self.books, self.window, self.compat, self.reservoir = books, window, compat, Reservoir(reservoir)
+        self.kinds = np.zeros((2, 3), int) if kinds is None else kinds
+        self.lines = np.zeros((2, 576)) if lines is None else lines
+        self.bands = np.zeros((2, 576)) if bands is None else bands
+
+    def lines_of(self, content: bytes) -> tuple[int, int, list]:
+        """(status, channels, granules) of the next frame: side information and lines by channel, None
+        where all channels are silent."""
+        word = int.from_bytes(content[:4], "big")
+        version, mode, extension = (word >> 19) & 3, (word >> 6) & 3, (word >> 4) & 3
+        channels, head = 1 if mode == 3 else 2, 4 if (word >> 16) & 1 else 6
+        rate = tables.RATES[4 * version + ((word >> 10) & 3)]
+        status, info = entropy.side_info(content[head:], version, channels)
+        if status:
+            self.reservoir.held = b""
+            return status, channels, []
+        side = (17 if channels == 1 else 32) if version == 3 else (9 if channels == 1 else 17)
+        whole = self.reservoir.assemble(info["main_data_begin"], content[head + side :])
+        if whole is None:
+            return tables.STATUS["RESERVOIR_UNDERFLOW"], channels, []
+        status, done = entropy.decode_granules(whole, info, version, channels, rate, self.books, self.compat)
+        self.reservoir.update(whole, entropy.part2_3_bits(info, version, channels))
+        out = []
+        for a in range(0, 0 if status else len(done), channels):
+            gs = done[a : a + channels]
+            xr = None
+            if any(g["zero_start"] for g in gs):
+                xr = [spectrum.requantise(rate, g) for g in gs]
+                if channels == 2:
+                    xr = spectrum.stereo(rate, mode, extension, gs[1], xr)
+                xr = [spectrum.antialias(g, x) for g, x in zip(gs, xr, strict=True)]
+            out.append((gs, xr))
+        return status, channels, out
+
+    def feed(self, contents: list[bytes]) -> list[tuple[int, int, np.ndarray | None]]:
+        """(status, channels, interleaved samples or None) of each of the next frames."""
+        frames = [self.lines_of(c) for c in contents]
+        granules = [g for _, _, found in frames for g in found]
+        n = len(granules)
+        lines, kinds = np.zeros((n + 1, 2, 576)), np.zeros((n + 1, 2, 3), int)
+        lines[0], kinds[0] = self.lines, self.kinds
+        for i, (gs, xr) in enumerate(granules, 1):
+            for c, g in enumerate(gs):
+                kinds[i, c] = g["block_type"], g["window_switching"], g["mixed"]
+                if xr is not None:
+                    lines[i, c] = xr[c]
+        loud = lines.any(axis=2)
+        bands = np.zeros((n + 1, 2, 576))
+        bands[0] = self.bands
+        at, ch = np.nonzero(loud[1:] | loud[:-1])
+        if len(at):
+            of = lambda i: (lines[i, ch], *kinds[i, ch].T)
+            bands[at + 1, ch] = hybrid.subbands(*of(at + 1), *of(at)).reshape(-1, 576)
+        heard = bands.any(axis=2)
+        pcm = np.zeros((n, 2, 576))
+        at, ch = np.nonzero(heard[1:] | heard[:-1])
+        if len(at):
+            steps = lambda i: bands[i, ch].reshape(-1, 18, 32)
+            pcm[at, ch] = hybrid.synthesis(steps(at + 1), steps(at), self.window)
+        self.lines, self.kinds, self.bands = lines[n], kinds[n], bands[n]
+        out, i = [], 0
+        for status, channels, found in frames:
+            out.append((status, channels, None if status else pcm[i : i + len(found), :channels].transpose(0, 2, 1).ravel()))
+            i += len(found)
+        return out
+
+
+def quantised(x: np.ndarray) -> np.ndarray:
+    return np.rint(np.clip(np.nan_to_num(x, nan=0.0) * 32768, -32768, 32767)).astype(np.int16)
+
+
+def _pcm_batch(stream, numbers: list[int], found: list) -> pa.RecordBatch | None:
+    good = [(no, channels, x) for no, (status, channels, x) in zip(numbers, found, strict=True) if status == 0]
+    if not good:
+        return None
+    flat = np.concatenate([x for *_, x in good])
+    ends = pa.array(np.append(0, np.cumsum([len(x) for *_, x in good])), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (flat.astype(np.float32), quantised(flat))]
+    head = [pa.array([stream] * len(good), pa.string()), pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.int32())]
+    return pa.RecordBatch.from_arrays([*head, *lists], [x.split()[0] for x in PCM.split(", ")])
 
 
 def pcm_frames(frames: DataFrame, window=None, extra_codes: dict | None = None, compat: bool = False) -> DataFrame:
     """stream_id, frame_no, channels, pcm_float (interleaved, unclamped) and pcm16 (scaled, clamped,
-    rounded half to even) of good frames.
-
-    window: the 512 synthesis coefficients; without it the designed ones. Both lags and the joining of
-    a frame's granules go by one partitioning and order, so one shuffle serves them."""
-    by = Window.partitionBy("stream_id").orderBy("frame_no", "gr")
-    now = _by_stream(_lines(frames, extra_codes, compat))
-    now = now.withColumns({"p_kinds": F.lag("kinds").over(by), "p_xr": F.lag("xr").over(by)})
-
-    def bands(batches):
-        for batch in _small(batches):
-            quiet = ~(batch.column("xr").is_valid().to_numpy(zero_copy_only=False) | batch.column("p_xr").is_valid().to_numpy(zero_copy_only=False))
-            channels = batch.column("channels").to_numpy()
-            some = batch.filter(pa.array(~quiet))
-            n = some.num_rows
-            args = []
-            for p in ("", "p_"):
-                kinds = _kinds(some.column(f"{p}kinds")).reshape(2 * n, 3)
-                args += [_stack(some.column(f"{p}xr")).reshape(2 * n, 576), kinds[:, 0], kinds[:, 1], kinds[:, 2]]
-            out = hybrid.subbands(*args).reshape(n, 2, 576).astype(np.float32) if n else np.zeros((0, 2, 576), np.float32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], _channels(out, channels, quiet)], ["stream_id", "frame_no", "gr", "channels", "bands"])
-
-    head = "stream_id string, frame_no long, gr int, channels int"
-    banded = now.select("stream_id", "frame_no", "gr", "channels", "kinds", "xr", "p_kinds", "p_xr").mapInArrow(bands, f"{head}, bands array<float>")
-    banded = banded.withColumn("before", F.lag("bands").over(by)).sortWithinPartitions("stream_id", "frame_no", "gr")
-
-    def out(batches):
-        held: list = []  # the granules of the last frame so far
-        for batch in _small(batches):
-            quiet = ~(batch.column("bands").is_valid().to_numpy(zero_copy_only=False) | batch.column("before").is_valid().to_numpy(zero_copy_only=False))
-            some = batch.filter(pa.array(~quiet))
-            n = some.num_rows
-            now, before = (_stack(some.column(c)).reshape(2 * n, 18, 32) for c in ("bands", "before"))
-            pcm = hybrid.synthesis(now, before, window).reshape(n, 2, 576).astype(np.float32) if n else np.zeros((0, 2, 576), np.float32)
-            at = np.cumsum(~quiet) - 1
-            rows = []
-            for i, (stream, frame, channels) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("stream_id", "frame_no", "channels")], strict=True)):
-                if held and held[0][:2] != (stream, frame):
-                    rows.append(held)
-                    held = []
-                held.append((stream, frame, channels, SILENCE[: 576 * channels] if quiet[i] else pcm[at[i], :channels].T.ravel()))
-            if rows:
-                yield _frames(rows)
-        if held:
-            yield _frames([held])
-
-    return banded.mapInArrow(out, "stream_id string, frame_no long, channels int, pcm_float array<float>, pcm16 array<smallint>")
-
-
-SILENCE = np.zeros(1152, np.float32)
-
-
-def _frames(rows: list[list[tuple]]) -> pa.RecordBatch:
-    flat = np.concatenate([x for granules in rows for *_, x in granules])
-    pcm16 = np.rint(np.clip(np.nan_to_num(flat.astype(np.float64), nan=0.0) * 32768, -32768, 32767)).astype(np.int16)
-    ends = pa.array(np.append(0, np.cumsum([sum(len(x) for *_, x in granules) for granules in rows])), pa.int32())
-    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (flat, pcm16)]
-    first = [g[0] for g in rows]
-    return pa.RecordBatch.from_arrays([pa.array([f[i] for f in first], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int32()))] + lists, ["stream_id", "frame_no", "channels", "pcm_float", "pcm16"])
+    rounded half to even) of good frames. window: the 512 synthesis coefficients; without it the
+    published ones."""
 
+    def run(batches):
+        books, now, decoder = tables.codebooks(extra_codes), None, None
+        for batch in batches:
+            streams, numbers, contents = (c.to_pylist() for c in batch.columns)
+            a = 0
+            while a < len(streams):
+                b = a + 1
+                while b < min(len(streams), a + FRAMES) and streams[b] == streams[a]:
+                    b += 1
+                if decoder is None or now != streams[a]:
+                    now, decoder = streams[a], Running(books, window, compat)
+                out = _pcm_batch(now, numbers[a:b], decoder.feed(contents[a:b]))
+                if out is not None:
+                    yield out
+                a = b
+
+    dealt = _by_stream(frames.select(F.col("stream_id").cast("string").alias("stream_id"), "frame_no", "content"))
+    return dealt.sortWithinPartitions("stream_id", "frame_no").mapInArrow(run, PCM)
+
+
+def pcm_sources(sources: DataFrame, window=None, extra_codes: dict | None = None, compat: bool = False) -> DataFrame:
+    """pcm_frames() of whole sources (stream_id, content), one row each: no shuffle, and no frame is
+    copied before it is decoded."""
 
-def _channels(values: np.ndarray, channels: np.ndarray, quiet: np.ndarray) -> pa.Array:
-    """values (rows that are not quiet, 2, 576) as lists of the channels there are; null where quiet."""
-    sizes = np.where(quiet, 0, channels * 576)
-    parts = [v[:c].ravel() for v, c in zip(values, channels[~quiet], strict=True)]
-    flat = np.concatenate([np.empty(0, values.dtype), *parts])
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat), mask=pa.array(quiet))
+    def run(batches):
+        books = tables.codebooks(extra_codes)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                stream, content = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                decoder, number, part = Running(books, window, compat), 0, []
+                for _, frame in frames_in(content or b""):
+                    part.append(frame)
+                    if len(part) == FRAMES:
+                        out = _pcm_batch(stream, list(range(number, number + len(part))), decoder.feed(part))
+                        number, part = number + len(part), []
+                        if out is not None:
+                            yield out
+                out = _pcm_batch(stream, list(range(number, number + len(part))), decoder.feed(part))
+                if out is not None:
+                    yield out
+
+    return sources.select(F.col("stream_id").cast("string").alias("stream_id"), "content").mapInArrow(run, PCM)

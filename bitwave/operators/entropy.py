@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,14 +122,47 @@ def regions(rate: int, g: dict) -> tuple[int, int]:
 
 
 QUADS = {c: ((i >> 3) & 1, (i >> 2) & 1, (i >> 1) & 1, i & 1) for i, c in enumerate(tables.QUAD_CODES)}
+PLAIN_QUADS = {f"{15 - i:04b}": q for i, q in enumerate(QUADS.values())}
 LONGEST = 20
+#: Bits that one look-up takes in: a code and its signs.
+AHEAD = 12
+
+
+def _look_ahead(codes: dict, escapes: bool) -> list:
+    """By the next AHEAD bits: (bits, values with signs), None where they do not hold a code, its signs
+    and nothing that escape bits follow."""
+    out: list = [None] * (1 << AHEAD)
+    for code, values in codes.items():
+        signed = [i for i, v in enumerate(values) if v]
+        size = len(code) + len(signed)
+        if size > AHEAD or (escapes and 15 in values):
+            continue
+        for signs in range(1 << len(signed)):
+            mine = list(values)
+            for k, i in enumerate(signed):
+                if signs >> (len(signed) - 1 - k) & 1:
+                    mine[i] = -mine[i]
+            low = (int(code, 2) << len(signed) | signs) << (AHEAD - size)
+            out[low : low + (1 << (AHEAD - size))] = [(size, *mine)] * (1 << (AHEAD - size))
+    return out
+
+
+_ahead: dict[int, tuple] = {}
+
+
+def ahead(codes: dict, escapes: bool = False) -> list:
+    """_look_ahead(), made once for each table of codes that is alive."""
+    known = _ahead.get(id(codes))
+    if known is None or known[0] is not codes or known[1] != escapes:
+        known = _ahead[id(codes)] = (codes, escapes, _look_ahead(codes, escapes))
+    return known[2]
 
 
 def _code(bits: Bits, codes: dict, end: int):
     """The value of the code at the position, which moves behind it; None without one before end."""
-    pos, string = bits.pos, bits.string
-    for n in range(1, min(LONGEST, min(end, bits.total) - pos + 1)):
-        found = codes.get(string[pos : pos + n])
+    string = bits.peek(min(LONGEST - 1, max(0, end - bits.pos)))
+    for n in range(1, len(string) + 1):
+        found = codes.get(string[:n])
         if found is not None:
             bits.pos += n
             return found
@@ -138,19 +172,34 @@ def _code(bits: Bits, codes: dict, end: int):
 def spectrum(bits: Bits, rate: int, g: dict, length: int, books: dict, compat: bool = False) -> tuple[int, list[int]]:
     """(status, 576 values) of the length bits at the position, which ends behind them.
 
-    Count-1 quadruples that need bits past the end of the data fail; with compat they are made of
-    ones as if zeros followed. A table without codes in books is UNSUPPORTED."""
+    One look-up gives a code with its signs; codes that are longer, have escape bits or stand at the
+    very end are read bit by bit. Count-1 quadruples that need bits past the end of the data fail; with
+    compat they are made of ones as if zeros followed. A table without codes in books is UNSUPPORTED."""
     end, out = bits.pos + length, [0] * 576
     if length == 0:
         return 0, out
     first, second = regions(rate, g)
-    line = 0
-    while line < min(576, 2 * g["big_values"]):
-        table = g["table_select"][0 if line < first else 1 if line < second else 2]
+    line, most = 0, min(576, 2 * g["big_values"])
+    safe, windows, down, mask = min(end, bits.total), bits.windows, 32 - AHEAD, (1 << AHEAD) - 1
+    for table, stop in zip(g["table_select"], (first, second, 576), strict=True):
+        stop = min(stop, most)
+        if line >= stop:
+            continue
         if table not in books:
             return S["UNSUPPORTED"], out
         codes, linbits = books[table]
-        if codes:
+        if not codes:
+            line = stop + (stop - line) % 2
+            continue
+        quick, pos = ahead(codes, linbits > 0), bits.pos
+        while line < stop:
+            found = quick[(windows[pos >> 3] >> (down - (pos & 7))) & mask] if pos < safe else None
+            if found is not None and pos + found[0] <= safe:
+                out[line], out[line + 1] = found[1], found[2]
+                pos += found[0]
+                line += 2
+                continue
+            bits.pos = pos
             pair = _code(bits, codes, end)
             if pair is None:
                 return S["HUFFMAN_FAIL"], out
@@ -164,8 +213,19 @@ def spectrum(bits: Bits, rate: int, g: dict, length: int, books: dict, compat: b
                         return S["HUFFMAN_FAIL"], out
                     v = -v if bits.read(1) else v
                 out[line + k] = v
-        line += 2
-    while line + 4 <= 576 and bits.pos < end:
+            line += 2
+            pos = bits.pos
+        bits.pos = pos
+    quads = PLAIN_QUADS if g["count1table"] else QUADS
+    quick, pos = ahead(quads), bits.pos
+    while line + 4 <= 576 and pos < end:
+        found = quick[(windows[pos >> 3] >> (down - (pos & 7))) & mask] if pos < safe else None
+        if found is not None and pos + found[0] <= safe:
+            out[line : line + 4] = found[1:]
+            pos += found[0]
+            line += 4
+            continue
+        bits.pos = pos
         if g["count1table"]:
             if bits.pos + 4 > end:
                 break
@@ -182,13 +242,15 @@ def spectrum(bits: Bits, rate: int, g: dict, length: int, books: dict, compat: b
         for k, v in enumerate(quad):
             out[line + k] = -v if v and bits.pos < end and bits.read(1) else v
         line += 4
+        pos = bits.pos
+    bits.pos = max(bits.pos, pos)
     if bits.pos < end:
         bits.skip(end - bits.pos)
     return 0, out
 
 
 def zero_start(values: list[int]) -> int:
-    return next(i + 1 for i in range(len(values) - 1, -1, -1) if values[i]) if any(values) else 0
+    return int(np.flatnonzero(values)[-1]) + 1 if any(values) else 0
 
 
 def decode_granules(main: bytes, info: dict, version: int, channels: int, rate: int, books: dict, compat: bool = False) -> tuple[int, list[dict]]:

@@ -6,7 +6,7 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, header, metadata, pcm, tables
@@ -16,6 +16,7 @@ from ..operators import reservoir as reservoir_ops
 from ..sources import files, wav
 from ..streaming import decoder as stream_decoder
 from ..streaming.samples import stream_samples
+from . import coded
 from .lenses import ODD_WORD, WORD, frames, frames_sql, header_sql, table, words
 
 QUERIES: dict = {}
@@ -157,20 +158,10 @@ def player_latest_seek(spark, sf_dir):
     return frame_ops.latest_seek(asked)
 
 
-@query(f"""with i as (select * from {_index_sql}), p as (select cast(event_id as bigint) as stream_id, cast(event_id * 577 % 400000 as bigint) as target from events where event_id <= 100),
-  f as (select stream_id, max(sample_offset) as at_sample from p join i using (stream_id) where sample_offset <= target group by 1), r as (select stream_id, arg_min(rate, frame_no) as rate from i group by 1)
-  select stream_id, frame_no, cast(sample_offset as bigint) as sample_offset from i join f using (stream_id) join r using (stream_id) where sample_offset >= at_sample and sample_offset < at_sample + 0.5 * r.rate""")
-def page_from_seek(spark, sf_dir):
-    """Half a second of frames from a position."""
-    index = frame_ops.frame_index(frames(spark, sf_dir))
-    asked = table(spark, sf_dir, "events").where("event_id <= 100").select(F.col("event_id").cast("long").alias("stream_id"), F.expr("cast(event_id * 577 % 400000 as bigint)").alias("target"))
-    return frame_ops.page(index, asked, 0.5).select("stream_id", "frame_no", "sample_offset")
-
-
 @query(f"""with i as (select * from {_index_sql}), p as (select event_id, cast(event_id % 100 + 1 as bigint) as stream_id, cast(event_id * 577 % 400000 as bigint) as target from events),
   f as (select event_id, stream_id, max(sample_offset) as at_sample from p join i using (stream_id) where sample_offset <= target group by 1, 2), r as (select stream_id, arg_min(rate, frame_no) as rate from i group by 1)
   select event_id, stream_id, frame_no, cast(sample_offset as bigint) as sample_offset from i join f using (stream_id) join r using (stream_id) where sample_offset >= at_sample and sample_offset < at_sample + 0.5 * r.rate""")
-def page_from_every_seek(spark, sf_dir):
+def page_from_seek(spark, sf_dir):
     """Half a second of frames from the position of each event."""
     index = frame_ops.frame_index(frames(spark, sf_dir))
     return frame_ops.page(index, _probes(spark, sf_dir), 0.5).select("event_id", "stream_id", "frame_no", "sample_offset")
@@ -384,16 +375,22 @@ def freq_inversion(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(hybrid.inverted(F.col("embedding"))).alias("pos", "value"))
 
 
-@query("""select vec_id, cast(i as integer) as pos, cast(round(sum(embedding[k + 1]::double * 2 * cos((16 + i) * (2 * k + 1) * pi() / 64)) * 1e6) as bigint) as value
-  from (select vec_id, embedding, i, unnest(range(0, 32)) as k from (select vec_id, embedding, unnest(range(0, 64)) as i from embeddings)) group by 1, 2""")
+@query("""select vec_id, cast(step as integer) as step, cast(i as integer) as pos, cast(round(sum(embedding[32 * step + k + 1]::double * 2 * cos((16 + i) * (2 * k + 1) * pi() / 64)) * 1e6) as bigint) as value
+  from embeddings, range(0, 2) a(step), range(0, 64) b(i), range(0, 32) c(k) group by 1, 2, 3""")
 def synthesis_step(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(hybrid.synthesis_vector(F.slice("embedding", 1, 32))).alias("pos", "v")).select("vec_id", "pos", micro(F.col("v")).alias("value"))
+    steps = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("step"))
+    values = hybrid.synthesis_vector(F.slice("embedding", 32 * F.col("step") + 1, 32))
+    return steps.select("vec_id", "step", F.posexplode(values).alias("pos", "v")).select("vec_id", "step", "pos", micro(F.col("v")).alias("value"))
 
 
-@query("""select vec_id, cast(i as integer) as pos, cast(round(sum(embedding[k + 1]::double * cos(pi() / 72 * (2 * i + 19) * (2 * k + 1))) * 1e6) as bigint) as value
-  from (select vec_id, embedding, i, unnest(range(0, 18)) as k from (select vec_id, embedding, unnest(range(0, 36)) as i from embeddings)) group by 1, 2""")
+@query("""select vec_id, cast(sb as integer) as sb, cast(i as integer) as pos, cast(round(sum(coalesce(embedding[18 * sb + k + 1]::double, 0) * cos(pi() / 72 * (2 * i + 19) * (2 * k + 1))) * 1e6) as bigint) as value
+  from embeddings, range(0, 4) a(sb), range(0, 36) b(i), range(0, 18) c(k) group by 1, 2, 3""")
 def imdct_long(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(hybrid.imdct_long(F.slice("embedding", 1, 18))).alias("pos", "v")).select("vec_id", "pos", micro(F.col("v")).alias("value"))
+    """Four blocks of 18 lines from each vector; zeros follow its end."""
+    lines = F.concat("embedding", F.array_repeat(F.lit(0.0).cast("float"), 8))
+    blocks = table(spark, sf_dir, "embeddings").select("vec_id", lines.alias("lines"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("sb"))
+    values = hybrid.imdct_long(F.slice("lines", 18 * F.col("sb") + 1, 18))
+    return blocks.select("vec_id", "sb", F.posexplode(values).alias("pos", "v")).select("vec_id", "sb", "pos", micro(F.col("v")).alias("value"))
 
 
 @query("""select vec_id, count(*) filter (v <> 0) as non_zero, coalesce(max(i + 1) filter (v <> 0), 0) as zero_start from
@@ -446,11 +443,27 @@ def reservoir_fold(spark, sf_dir):
 
 def _stream_bytes(spark, sf_dir):
     """One source for each supplier: silent frames, five junk bytes before each."""
-    fs = frames(spark, sf_dir)
-    frame = F.expr("concat(unhex('5555555555'), unhex(lpad(hex(header_word), 8, '0')), unhex(repeat('00', frame_size_bytes - 4)))")
-    each = fs.select("stream_id", "frame_no", frame.alias("bytes"))
-    whole = each.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("frame_no", "bytes"))).alias("f"))
-    return whole.select(F.col("stream_id").cast("string").alias("stream_id"), F.unhex(F.array_join(F.transform("f", lambda x: F.hex(x["bytes"])), "")).alias("content"))
+    import pyarrow as pa
+
+    def run(batches):
+        now, parts = None, []
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([str(now)]), pa.array([b"".join(parts)], pa.binary())], ["stream_id", "content"])
+
+        for batch in batches:
+            for stream, word, size in zip(*[batch.column(c).to_pylist() for c in ("stream_id", "header_word", "frame_size_bytes")], strict=True):
+                if stream != now:
+                    if parts:
+                        yield row()
+                    now, parts = stream, []
+                parts += [b"\x55" * 5, word.to_bytes(4, "big"), bytes(size - 4)]
+        if parts:
+            yield row()
+
+    few = frames(spark, sf_dir).select("stream_id", "frame_no", "header_word", "frame_size_bytes")
+    dealt = few.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "stream_id").sortWithinPartitions("stream_id", "frame_no")
+    return dealt.mapInArrow(run, "stream_id string, content binary")
 
 
 _scan_sql = f"select cast(stream_id as varchar) as stream_id, frame_no - 1 as frame_no, cast(byte_offset + 5 * frame_no as bigint) as byte_offset, size as frame_size_bytes from {_index_sql}"
@@ -474,7 +487,7 @@ def source_status(spark, sf_dir):
 @query(f"select cast(stream_id as varchar) as stream_id, count(*) as frames, cast(sum(spf * ch) as bigint) as samples, 0.0::double as peak, cast(0 as smallint) as low16, cast(0 as smallint) as high16 from {frames_sql()} group by 1")
 def decode_pcm(spark, sf_dir):
     """Silent streams through the whole decoder."""
-    out = decode.pcm_frames(files.scan_frames(_stream_bytes(spark, sf_dir)))
+    out = decode.pcm_sources(_stream_bytes(spark, sf_dir))
     peak = F.greatest(F.array_max("pcm_float"), -F.array_min("pcm_float")).cast("double")
     return out.groupBy("stream_id").agg(F.count("*").alias("frames"), F.sum(F.size("pcm16")).alias("samples"), F.max(peak).alias("peak"), F.min(F.array_min("pcm16")).alias("low16"), F.max(F.array_max("pcm16")).alias("high16"))
 
@@ -519,7 +532,11 @@ def huffman_decode(spark, sf_dir):
 
 def _streamed(spark, sf_dir, decoded):
     """What decoded() makes of the streams cut into chunks of an odd size, run until all are read."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="bitwave-")
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="bitwave-")
     at = f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
     size = 4093
     source = _stream_bytes(spark, sf_dir)
@@ -544,9 +561,5 @@ def stream_pcm(spark, sf_dir):
     return out.groupBy("stream_id").agg(F.count("*").alias("frames"), F.sum(F.size("pcm16")).alias("samples"), F.min(F.array_min("pcm16")).alias("low16"), F.max(F.array_max("pcm16")).alias("high16"))
 
 
-def names() -> list[str]:
-    return list(QUERIES)
-
-
-def run(name: str, spark, sf_dir) -> DataFrame:
-    return QUERIES[name](spark, sf_dir)
+QUERIES |= coded.QUERIES
+ORACLES |= coded.ORACLES

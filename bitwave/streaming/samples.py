@@ -13,9 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tables
-from ..operators import entropy, hybrid, spectrum
-from ..operators.reservoir import Reservoir
-from ..sources.files import frame_length
+from ..operators.decode import FRAMES, Running, quantised
 from .decoder import Framer
 
 SAMPLES = "stream_id string, frame_no long, byte_offset long, status int, channels int, pcm_float array<float>, pcm16 array<smallint>"
@@ -24,47 +22,17 @@ STATE = "held binary, offset long, frame_no long, next_seq long, waiting_seq arr
 
 class StreamDecoder:
     def __init__(self, framer: Framer | None = None, reservoir: bytes = b"", kinds=(0,) * 6, lines: bytes = b"", bands: bytes = b"", window=None, extra_codes=None):
-        self.framer, self.reservoir, self.window = framer or Framer(), Reservoir(reservoir), window
-        self.books = tables.codebooks(extra_codes)
-        self.kinds = np.array(kinds, int).reshape(2, 3)
-        self.lines, self.bands = (np.frombuffer(x, np.float32).reshape(2, 576).copy() if x else np.zeros((2, 576), np.float32) for x in (lines, bands))
+        self.framer = framer or Framer()
+        lines, bands = (np.frombuffer(x, np.float64).reshape(2, 576).copy() if x else None for x in (lines, bands))
+        self.running = Running(tables.codebooks(extra_codes), window, reservoir=reservoir, kinds=np.array(kinds, int).reshape(2, 3), lines=lines, bands=bands)
 
     def feed(self, chunk: bytes) -> list[tuple]:
         """(frame_no, byte_offset, status, channels, samples or None) of the frames that chunk completes."""
-        return [(no, offset, *self.frame(content)) for no, offset, content in self.framer.feed(chunk)]
-
-    def frame(self, content: bytes):
-        word = int.from_bytes(content[:4], "big")
-        version, mode, extension = (word >> 19) & 3, (word >> 6) & 3, (word >> 4) & 3
-        channels, head = 1 if mode == 3 else 2, 4 if (word >> 16) & 1 else 6
-        rate = tables.RATES[4 * version + ((word >> 10) & 3)]
-        assert frame_length(word) == len(content)
-        status, info = entropy.side_info(content[head:], version, channels)
-        if status:
-            self.reservoir.held = b""
-            return status, channels, None
-        side = (17 if channels == 1 else 32) if version == 3 else (9 if channels == 1 else 17)
-        whole = self.reservoir.assemble(info["main_data_begin"], content[head + side :])
-        if whole is None:
-            return tables.STATUS["RESERVOIR_UNDERFLOW"], channels, None
-        status, done = entropy.decode_granules(whole, info, version, channels, rate, self.books)
-        self.reservoir.update(whole, entropy.part2_3_bits(info, version, channels))
-        if status:
-            return status, channels, None
-        out = []
-        for a in range(0, len(done), channels):
-            gs = done[a : a + channels]
-            xr = [spectrum.requantise(rate, g) for g in gs]
-            if channels == 2:
-                xr = spectrum.stereo(rate, mode, extension, gs[1], xr)
-            lines, kinds = np.zeros((2, 576), np.float32), np.zeros((2, 3), int)
-            for c, (g, x) in enumerate(zip(gs, xr, strict=True)):
-                lines[c], kinds[c] = spectrum.antialias(g, x), (g["block_type"], g["window_switching"], g["mixed"])
-            bands = hybrid.subbands(lines.astype(float), *kinds.T, self.lines.astype(float), *self.kinds.T).astype(np.float32)
-            pcm = hybrid.synthesis(bands.astype(float), self.bands.reshape(2, 18, 32).astype(float), self.window).astype(np.float32)
-            self.lines, self.kinds, self.bands = lines, kinds, bands.reshape(2, 576)
-            out.append(pcm[:channels].T.ravel())
-        return 0, channels, np.concatenate(out)
+        frames, out = list(self.framer.feed(chunk)), []
+        for a in range(0, len(frames), FRAMES):
+            part = frames[a : a + FRAMES]
+            out += [(no, offset, *x) for (no, offset, _), x in zip(part, self.running.feed([c for *_, c in part]), strict=True)]
+        return out
 
 
 def _step(key, batches, state, window=None, extra_codes=None):
@@ -86,16 +54,16 @@ def _step(key, batches, state, window=None, extra_codes=None):
         if len(rows) > 500:
             yield _table(key, rows)
             rows = []
-    left, f = sorted(waiting), decoder.framer
-    state.update((f.held, f.offset, f.frame_no, next_seq, left, [waiting[s] for s in left], decoder.reservoir.held, decoder.kinds.ravel().tolist(), decoder.lines.tobytes(), decoder.bands.tobytes()))
+    left, f, r = sorted(waiting), decoder.framer, decoder.running
+    state.update((f.held, f.offset, f.frame_no, next_seq, left, [waiting[s] for s in left], r.reservoir.held, r.kinds.ravel().tolist(), r.lines.tobytes(), r.bands.tobytes()))
     if rows:
         yield _table(key, rows)
 
 
 def _table(key, rows) -> pd.DataFrame:
     pcm = [r[4] for r in rows]
-    pcm16 = [None if x is None else np.rint(np.clip(np.nan_to_num(x.astype(float)) * 32768, -32768, 32767)).astype(np.int16) for x in pcm]
-    return pd.DataFrame({"stream_id": key[0], "frame_no": [r[0] for r in rows], "byte_offset": [r[1] for r in rows], "status": [r[2] for r in rows], "channels": [r[3] for r in rows], "pcm_float": pcm, "pcm16": pcm16})
+    pcm16 = [None if x is None else quantised(x) for x in pcm]
+    return pd.DataFrame({"stream_id": key[0], "frame_no": [r[0] for r in rows], "byte_offset": [r[1] for r in rows], "status": [r[2] for r in rows], "channels": [r[3] for r in rows], "pcm_float": [None if x is None else x.astype(np.float32) for x in pcm], "pcm16": pcm16})
 
 
 def stream_samples(chunks: DataFrame, window=None, extra_codes=None) -> DataFrame:
