@@ -21,6 +21,11 @@ to LENGTH bytes, so equal suffixes are what is looked for.
    each at its own offset, and marked by equal neighbours.
 5. Marked windows give the spans to remove, per text and then per row.
 
+Beside the removal each row tells whether it holds a passage of PASSAGE words or more, separators
+included, that another document holds too; these are often shorter than LENGTH bytes. Windows of PASSAGE
+words have anchors as well (their MARK words with the least hash), and windows whose anchor occurs in one
+text only drop out; the others meet by a 128-bit hash. This takes nothing away.
+
 Defined results: a null text is empty; texts shorter than LENGTH bytes lose nothing; equal rows give
 equal rows and lose everything if they are long enough; extra columns are ignored; an empty table
 gives an empty result. A text is one row, so one task holds one text at a time.
@@ -32,12 +37,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stored, text_or_empty
+from .common import forget, partitions, stored, text_or_empty
 
 LENGTH, K, CELL = 400, 64, 32
+#: Words of a passage, and of its anchor.
+PASSAGE, MARK = 50, 8
 #: Occurrences of an anchor from which its windows stand alone: fewer suffixes that share a core are a
 #: small part of a target partition.
 HOT = 4096
@@ -81,35 +88,56 @@ class Hashes:
         return mixed((self.sums[start + length] - self.sums[start]) * self.inverse[start] + U(LENGTH))
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Hashes | None]:
+def least(h: np.ndarray, width: int) -> np.ndarray:
+    """Position of the least of each `width` neighbours, the leftmost of equals (in 40 bits)."""
+    found = []
+    for a in range(0, len(h) - width + 1, BLOCK):
+        part = h[a : min(len(h), a + BLOCK + width - 1)]
+        n, m = len(part) - width + 1, len(part)
+        padded = np.full(-(-m // width) * width, ~U(0))
+        padded[:m] = (part & ~U(0xFFFFFF)) | np.arange(m, dtype=U)
+        grid = padded.reshape(-1, width)
+        left = np.minimum.accumulate(grid, axis=1).ravel()
+        right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+        found.append(a + (np.minimum(right[:n], left[width - 1 : width - 1 + n]) & U(0xFFFFFF)).astype(np.int64))
+    return np.concatenate(found) if found else np.empty(0, np.int64)
+
+
+def anchors(data: bytes, hashes: Hashes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Hashes | None]:
     """(position, hash, first window, last window) of each anchor, ascending."""
     n = len(data)
     if n < LENGTH:
         none = np.empty(0, np.int64)
         return none, none.astype(U), none, none, None
-    hashes, width, found = Hashes(data), LENGTH - K + 1, []
+    hashes, found, width = hashes or Hashes(data), [], LENGTH - K + 1
     for a in range(0, n - LENGTH + 1, BLOCK):
         b = min(n - LENGTH + 1, a + BLOCK)  # windows a .. b - 1 hold the K-byte strings a .. b + width - 2
-        h = hashes.of(np.arange(a, b + width - 1), K)
-        m = len(h)
-        key = (h & ~U(0xFFFFFF)) | np.arange(m, dtype=U)
-        padded = np.full(-(-m // width) * width, ~U(0))
-        padded[:m] = key
-        grid = padded.reshape(-1, width)
-        left = np.minimum.accumulate(grid, axis=1).ravel()
-        right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-        least = np.minimum(right[: b - a], left[width - 1 : width - 1 + b - a])
-        found.append(a + (least & U(0xFFFFFF)).astype(np.int64))
+        found.append(a + least(hashes.of(np.arange(a, b + width - 1), K), width))
     at = np.concatenate(found)
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     where = at[first]
     return where, hashes.of(where, K), first, np.append(first[1:] - 1, len(at) - 1), hashes
 
 
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def passages(data: bytes, hashes: Hashes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash of the anchor) of each run of PASSAGE words."""
+    space = SPACE[np.frombuffer(data, np.uint8)]
+    edge = np.diff(np.concatenate(([1], space, [1])).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if len(starts) < PASSAGE:
+        none = np.empty(0, np.int64)
+        return none, none, none.astype(U)
+    h = (hashes or Hashes(data)).of(starts[: 1 - MARK], ends[MARK - 1 :] - starts[: 1 - MARK])
+    return starts[: len(starts) - PASSAGE + 1], ends[PASSAGE - 1 :], h[least(h, PASSAGE - MARK + 1)]
+
+
 def cells(data: bytes, flagged: dict[int, bool]):
     """(key, suffix, start, offset of the anchor from start, alone) of the windows whose anchor is
     flagged; the flag tells whether each stands alone."""
-    where, h, first, last, hashes = anchors(data)
+    where, h, first, last, hashes = anchors(data) if flagged else anchors(b"")
     for i in np.flatnonzero(np.isin(h, np.fromiter(flagged, U, len(flagged)))).tolist():
         a, p1, p2 = int(where[i]), int(first[i]), int(last[i])
         width = 1 if flagged[int(h[i])] else CELL
@@ -173,8 +201,8 @@ def unpacked(blob: bytes) -> tuple[list[bytes], np.ndarray, list[bytes]]:
     for c in ENTRY.names:
         entries[c] = np.frombuffer(data, ENTRY[c], n, at)
         at += n * ENTRY[c].itemsize
-    texts = [data[i : i + 16] for i in range(at, at + 16 * m, 16)]
-    strings, at, last = [], at + 16 * m, b""
+    texts = [data[i : i + 32] for i in range(at, at + 32 * m, 32)]
+    strings, at, last = [], at + 32 * m, b""
     for k, rest in zip(entries["shared"].tolist(), entries["rest"].tolist(), strict=True):
         last = last[:k] + data[at : at + rest]
         at += rest
@@ -346,33 +374,47 @@ def spans(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+def text_key() -> Column:
+    return F.sha2(text_or_empty().cast("binary"), 256)
+
+
 def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(texts with their number of rows, candidate texts, marked windows by text)."""
     spark = docs.sparkSession
     doc_key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_key")
-    rows = docs.select(doc_key, F.md5(text_or_empty().cast("binary")).alias("text_key"), F.xxhash64(text_or_empty()).alias("text_no"), text_or_empty().alias("text"))
+    rows = docs.select(doc_key, text_key().alias("text_key"), F.xxhash64(text_or_empty()).alias("text_no"), text_or_empty().alias("text"))
+
+    def lists(found: list[np.ndarray]) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(f) for f in found]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
 
     def look(batches):
         for batch in batches:
-            data = [t.encode() for t in batch.column(3).to_pylist()]
-            found = [anchors(d)[1].view(np.int64) for d in data]
-            ends = np.cumsum([0] + [len(f) for f in found])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(d) for d in data], pa.int64()), lists], ["doc_key", "text_key", "text_no", "n_bytes", "anchors"])
-
-    seen = stored(rows.mapInArrow(look, "doc_key string, text_key string, text_no long, n_bytes long, anchors array<long>"), "suffix-anchors")
-    texts = seen.groupBy("text_key", "text_no").agg(F.count("*").alias("n"), F.min("doc_key").alias("doc_key"), F.first("n_bytes").alias("n_bytes"))
+            size, found, marks, worded = [], [], [], []
+            for data in (t.encode() for t in batch.column(3).to_pylist()):
+                hashes = Hashes(data)
+                start, _, mark = passages(data, hashes)
+                size.append(len(data))
+                found.append(anchors(data, hashes)[1].view(np.int64))
+                marks.append(np.unique(mark).view(np.int64))
+                worded.append(len(start) > 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(size, pa.int64()), pa.array(worded, pa.bool_()), lists(found), lists(marks)], ["doc_key", "text_key", "text_no", "n_bytes", "worded", "anchors", "marks"])
+
+    seen = stored(rows.mapInArrow(look, "doc_key string, text_key string, text_no long, n_bytes long, worded boolean, anchors array<long>, marks array<long>"), "suffix-anchors")
+    texts = seen.groupBy("text_key", "text_no").agg(F.count("*").alias("n"), F.min("doc_key").alias("doc_key"), F.first("n_bytes").alias("n_bytes"), F.first("worded").alias("worded"))
     texts = stored(texts, "suffix-texts")
     # Anchors of one row for each text. The short number stands for the text from here on: should two
     # texts share one, they share candidates, which only adds some.
     of = seen.join(texts.select("text_key", "doc_key"), ["text_key", "doc_key"], "left_semi").dropDuplicates(["text_key", "doc_key"])
-    each = of.select("text_no", F.explode("anchors").alias("anchor"))
-    twice = stored(each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > HOT).alias("hot")), "suffix-repeated-anchors")
-    flagged = stored(each.join(twice, "anchor"), "suffix-flagged")
-    flagged = flagged.groupBy("text_no").agg(F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("cool"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("xs")) for i, c in enumerate(("anchors", "marks"))])
+    each = of.select("text_no", F.inline(kinds)).select("text_no", "kind", F.explode("xs").alias("anchor"))
+    twice = stored(each.groupBy("kind", "anchor").agg(F.count("*").alias("n")).where("n > 1").select("kind", "anchor", (F.col("n") > HOT).alias("hot")), "suffix-repeated-anchors")
+    flagged = stored(each.join(twice, ["kind", "anchor"]), "suffix-flagged")
+    cases = {"cool": "kind = 0 and not hot", "hot": "kind = 0 and hot", "marks": "kind = 1"}
+    flagged = flagged.groupBy("text_no").agg(*[F.collect_set(F.when(F.expr(c), F.col("anchor"))).alias(n) for n, c in cases.items()])
     flagged = stored(texts.select("text_key", "text_no", "doc_key").join(flagged, "text_no").drop("text_no"), "suffix-candidates")
     chosen = rows.drop("text_no").join(flagged, ["text_key", "doc_key"]).dropDuplicates(["text_key", "doc_key"])
-    chosen = stored(chosen.select("text_key", "text", "cool", "hot"), "suffix-candidate-texts")
+    chosen = stored(chosen.select("text_key", "text", *cases), "suffix-candidate-texts")
+    forget(seen, twice)
 
     amount = chosen.agg(F.sum(F.size("cool") * F.lit(170 * 14) + F.size("hot") * F.lit(170 * 400))).first()[0] or 0
     targets = int(max(partitions(spark), -(-amount // TARGET_BYTES)))
@@ -384,9 +426,9 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["target", "run", "text", "first", "stop"])
 
         for batch in batches:
-            for text_key, text, cool, hot in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for key, text, cool, hot, _ in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 flags = dict.fromkeys((x & (2**64 - 1) for x in cool), False) | dict.fromkeys((x & (2**64 - 1) for x in hot), True)
-                for row in runs.add(bytes.fromhex(text_key), text.encode(), flags):
+                for row in runs.add(bytes.fromhex(key), text.encode(), flags):
                     rows.append(row)
                     if len(rows) > 2000:
                         yield batch_of(rows)
@@ -422,8 +464,27 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return texts, chosen, dealt.mapInArrow(join, "text binary, first long, stop long")
 
 
+def sharing(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """text_key of the texts that hold a passage which another document holds too."""
+
+    def cut(batches):
+        for batch in batches:
+            for key, text, marks in zip(*[batch.column(c).to_pylist() for c in ("text_key", "text", "marks")], strict=True):
+                data = text.encode()
+                start, end, mark = passages(data)
+                at = np.flatnonzero(np.isin(mark, np.array(marks, np.int64).view(U)))
+                found = {hashlib.blake2b(data[s:e], digest_size=16).digest() for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)}
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.string()), pa.array(sorted(found), pa.binary())], ["text_key", "window"])
+
+    windows = stored(chosen.where(F.size("marks") > 0).select("text_key", "text", "marks").mapInArrow(cut, "text_key string, window binary"), "suffix-passages")
+    again = windows.groupBy("window").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low <> high").select("window")
+    found = windows.join(again, "window").select("text_key").distinct()
+    return found.union(texts.where("n > 1 and worded").select("text_key")).distinct()
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row of docs."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and shares_passage (0 or 1: a passage of PASSAGE
+    words or more is in another document too) for each row of docs."""
     texts, chosen, windows = repeated_windows(docs)
     windows = stored(windows.groupBy(F.lower(F.hex("text")).alias("text_key")).agg(F.collect_list(F.struct("first", "stop")).alias("windows")), "suffix-windows")
     single = windows.join(texts.where("n = 1").select("text_key"), "text_key").join(chosen.select("text_key", "text"), "text_key").select("text_key", "text", "windows")
@@ -446,6 +507,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     copies = texts.where((F.col("n") > 1) & (F.col("n_bytes") >= LENGTH)).select("text_key", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept"))
     lost = stored(lost.unionByName(copies), "suffix-removed")
     text = text_or_empty().cast("binary")
-    rows = docs.select("doc_id", F.md5(text).alias("text_key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
-    out = rows.join(lost, "text_key", "left")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256"))
+    rows = docs.select("doc_id", text_key().alias("text_key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
+    shared = stored(sharing(texts, chosen).withColumn("shared", F.lit(1)), "suffix-sharing")
+    out = rows.join(lost, "text_key", "left").join(shared, "text_key", "left")
+    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256"), F.coalesce("shared", F.lit(0)).alias("shares_passage"))

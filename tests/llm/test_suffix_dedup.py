@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -42,12 +43,34 @@ def texts():
     return out
 
 
+def brute_shared(texts, words=50):
+    windows = []
+    for t in texts:
+        d = (t or "").encode()
+        at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", d)]
+        windows.append({d[at[i][0] : at[i + words - 1][1]] for i in range(len(at) - words + 1)})
+    seen = Counter(w for x in windows for w in x)
+    return [int(any(seen[w] > 1 for w in x)) for x in windows]
+
+
+@pytest.mark.parametrize("run, target", [(S.RUN_BYTES, S.TARGET_BYTES), (100_000, 50_000)])
 @pytest.mark.parametrize("hot", [S.HOT, 100])
-def test_against_brute_force(spark, monkeypatch, hot):
+def test_against_brute_force(spark, monkeypatch, hot, run, target):
     monkeypatch.setattr(S, "HOT", hot)
+    monkeypatch.setattr(S, "RUN_BYTES", run)
+    monkeypatch.setattr(S, "TARGET_BYTES", target)
     rows = texts()
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("klmno") for _ in range(r.randint(1, 4)))
+    for n in (48, 49, 50, 51, 52, 60):  # short words: passages far below LENGTH bytes
+        p = "\n ".join(word() for _ in range(n))
+        rows += [f"{word()} {word()} {p} {word()}", f"{word()} {p}", f"{p}{p}"]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], "doc_id long, text string, text_key string").repartition(5)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.remove_repeats(df).collect()}
+    found = S.remove_repeats(df).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found}
+    shared = brute_shared(rows)
+    assert [i for i, w in enumerate(shared) if dict((r.doc_id, r.shares_passage) for r in found)[i] != w] == []
+    assert 350 < sum(shared) < len(rows) - 15
     want = brute(rows)
     assert [i for i, w in enumerate(want) if got[i] != w] == []
     assert sum(w[1] for w in want) > 100_000
@@ -74,5 +97,5 @@ def test_loser_tree_and_front_coding():
     assert [n for _, n in out[1:]] == [prefix(a, b) for a, b in zip(strings, strings[1:], strict=False)]
     import numpy as np
 
-    back, _, names = S.unpacked(S.packed(runs[1], S.prefixes(runs[1]), np.zeros(len(runs[1]), S.ENTRY), [b"x" * 16]))
-    assert back == runs[1] and names == [b"x" * 16]
+    back, _, names = S.unpacked(S.packed(runs[1], S.prefixes(runs[1]), np.zeros(len(runs[1]), S.ENTRY), [b"x" * 32]))
+    assert back == runs[1] and names == [b"x" * 32]
