@@ -37,6 +37,8 @@ SAMPLE, FREQUENT = 16384, 1 << 18
 CLASSES = 64
 #: Texts that share a first shingle up to which all pairs of different groups are candidates at once.
 CROWD = 16
+#: Words whose hashes a task remembers, at most.
+MOST_KNOWN = 50_000
 RATIO = np.uint64(0x9E3779B97F4A7C15)
 _known: dict[bytes, int] = {}
 
@@ -45,14 +47,14 @@ def word_hashes(text: str | None) -> np.ndarray:
     """XXH64 of each word; A-Z count as a-z and ASCII white space splits."""
     import xxhash
 
-    if len(_known) > 100_000:
-        _known.clear()
     words = (text or "").encode().lower().split()
     out = []
     for w in words:
         h = _known.get(w)
         if h is None:
-            h = _known[w] = xxhash.xxh64_intdigest(w)
+            h = xxhash.xxh64_intdigest(w)
+            if len(_known) < MOST_KNOWN:
+                _known[w] = h
         out.append(h)
     return np.array(out, np.uint64)
 

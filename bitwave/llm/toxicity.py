@@ -25,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that are learned from, and features taken of them in all, at most.
-MOST_ROWS, MOST_FEATURES = 8_000, 40_000_000
+#: Labelled rows that are learned from, at most (picked by a hash).
+MOST_ROWS = 8_000
 SPACE = 1 << 20
+#: Words whose hashes a task remembers, at most.
+MOST_KNOWN = 50_000
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
 _known: dict[str, int] = {}
@@ -35,13 +37,13 @@ _known: dict[str, int] = {}
 
 def features(text: str | None) -> np.ndarray:
     """Sorted distinct feature numbers of a text."""
-    if len(_known) > 500_000:
-        _known.clear()
     hashes = []
     for w in WORD.findall((text or "").lower()):
         h = _known.get(w)
         if h is None:
-            h = _known[w] = zlib.crc32(w.encode())
+            h = zlib.crc32(w.encode())
+            if len(_known) < MOST_KNOWN:
+                _known[w] = h
         hashes.append(h)
     one = np.array(hashes, np.uint64)
     mix = lambda x: (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)  # noqa: E731  20 bits
@@ -112,12 +114,9 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([v.tobytes() for v in x], pa.binary())], ["doc_id", "toxic", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows, total = [], 0
+    rows = []
     for r in sorted(found.mapInArrow(run, f"doc_id {kind}, toxic int, x binary").collect(), key=lambda r: (r.doc_id, bytes(r.x))):
         x = np.frombuffer(r.x, np.int32)
-        total += len(x)
-        if total > MOST_FEATURES:
-            break
         rows.append((str(r.doc_id), x, int(r.toxic > 0)))
     if not rows:
         return Model(np.empty(0, np.int32), np.empty(0, np.float32), -50.0)
