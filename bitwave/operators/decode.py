@@ -134,6 +134,16 @@ class Running:
 
     def feed(self, contents: list[bytes]) -> list[tuple[int, int, np.ndarray | None]]:
         """(status, channels, interleaved samples or None) of each of the next frames."""
+        frames, _, pcm = self.transformed(contents)
+        out, i = [], 0
+        for status, channels, found in frames:
+            out.append((status, channels, None if status else pcm[i : i + len(found), :channels].transpose(0, 2, 1).ravel()))
+            i += len(found)
+        return out
+
+    def transformed(self, contents: list[bytes]) -> tuple[list, np.ndarray, np.ndarray]:
+        """lines_of() of each of the next frames; subbands (time-major) and samples of each good granule,
+        as (granules, 2, 576)."""
         frames = [self.lines_of(c) for c in contents]
         granules = [g for _, _, found in frames for g in found]
         n = len(granules)
@@ -158,11 +168,7 @@ class Running:
             steps = lambda i: bands[i, ch].reshape(-1, 18, 32)
             pcm[at, ch] = hybrid.synthesis(steps(at + 1), steps(at), self.window)
         self.lines, self.kinds, self.bands = lines[n], kinds[n], bands[n]
-        out, i = [], 0
-        for status, channels, found in frames:
-            out.append((status, channels, None if status else pcm[i : i + len(found), :channels].transpose(0, 2, 1).ravel()))
-            i += len(found)
-        return out
+        return frames, bands[1:], pcm
 
 
 def quantised(x: np.ndarray) -> np.ndarray:
@@ -185,6 +191,42 @@ def pcm_frames(frames: DataFrame, window=None, extra_codes: dict | None = None,
     rounded half to even) of good frames. window: the 512 synthesis coefficients; without it the
     published ones."""
 
+    return _walked(frames, PCM, lambda decoder, stream, numbers, contents: _pcm_batch(stream, numbers, decoder.feed(contents)), window, extra_codes, compat)
+
+
+def single_frames(frames: DataFrame, window=None, extra_codes: dict | None = None, compat: bool = False) -> DataFrame:
+    """pcm_frames() of each frame by itself, as if no other came before it."""
+
+    def run(batches):
+        books = tables.codebooks(extra_codes)
+        for batch in batches:
+            for stream, number, content in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                out = _pcm_batch(stream, [number], Running(books, window, compat).feed([content]))
+                if out is not None:
+                    yield out
+
+    return frames.select(F.col("stream_id").cast("string").alias("stream_id"), "frame_no", "content").mapInArrow(run, PCM)
+
+
+def subband_samples(frames: DataFrame, extra_codes: dict | None = None, compat: bool = False) -> DataFrame:
+    """stream_id, frame_no, gr, ch and samples (18 times of 32 subbands) of each good granule and channel."""
+
+    def batch(decoder, stream, numbers, contents):
+        found, bands, _ = decoder.transformed(contents)
+        rows = [(no, gr, ch) for no, (_, channels, granules) in zip(numbers, found, strict=True) for gr in range(len(granules)) for ch in range(channels)]
+        at = np.repeat(np.arange(len(bands)), [c for _, c, granules in found for _ in granules])
+        if not rows:
+            return None
+        flat = bands[at, [r[2] for r in rows]].ravel()
+        head = [pa.array([stream] * len(rows), pa.string()), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)]]
+        return pa.RecordBatch.from_arrays([*head, pa.ListArray.from_arrays(pa.array(576 * np.arange(len(rows) + 1), pa.int32()), pa.array(flat))], ["stream_id", "frame_no", "gr", "ch", "samples"])
+
+    return _walked(frames, "stream_id string, frame_no long, gr int, ch int, samples array<double>", batch, None, extra_codes, compat)
+
+
+def _walked(frames: DataFrame, schema: str, made, window, extra_codes, compat: bool) -> DataFrame:
+    """made(decoder, stream, frame numbers, contents) of each block of a stream's frames in order."""
+
     def run(batches):
         books, now, decoder = tables.codebooks(extra_codes), None, None
         for batch in batches:
@@ -196,13 +238,13 @@ def pcm_frames(frames: DataFrame, window=None, extra_codes: dict | None = None,
                     b += 1
                 if decoder is None or now != streams[a]:
                     now, decoder = streams[a], Running(books, window, compat)
-                out = _pcm_batch(now, numbers[a:b], decoder.feed(contents[a:b]))
+                out = made(decoder, now, numbers[a:b], contents[a:b])
                 if out is not None:
                     yield out
                 a = b
 
     dealt = _by_stream(frames.select(F.col("stream_id").cast("string").alias("stream_id"), "frame_no", "content"))
-    return dealt.sortWithinPartitions("stream_id", "frame_no").mapInArrow(run, PCM)
+    return dealt.sortWithinPartitions("stream_id", "frame_no").mapInArrow(run, schema)
 
 
 def pcm_sources(sources: DataFrame, window=None, extra_codes: dict | None = None, compat: bool = False) -> DataFrame:

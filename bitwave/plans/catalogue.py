@@ -530,7 +530,7 @@ def huffman_decode(spark, sf_dir):
     return df.mapInArrow(run, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, status int, x0 int, y0 int, x1 int, y1 int, zero_start int")
 
 
-def _streamed(spark, sf_dir, decoded):
+def _streamed(spark, source, decoded):
     """What decoded() makes of the streams cut into chunks of an odd size, run until all are read."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
@@ -539,7 +539,6 @@ def _streamed(spark, sf_dir, decoded):
         at = "file://" + tempfile.mkdtemp(prefix="bitwave-")
     at = f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
     size = 4093
-    source = _stream_bytes(spark, sf_dir)
     pieces = source.select("stream_id", "content", F.explode(F.sequence(F.lit(0), F.floor((F.length("content") - 1) / size).cast("int"))).alias("i"))
     pieces.select("stream_id", F.col("i").cast("long").alias("seq"), F.expr(f"substring(content, i * {size} + 1, {size})").alias("chunk")).write.parquet(f"{at}/chunks")
     out = decoded(spark.readStream.schema(stream_decoder.CHUNKS).parquet(f"{at}/chunks"))
@@ -551,15 +550,23 @@ def _streamed(spark, sf_dir, decoded):
 @query(_scan_sql)
 def stream_decode(spark, sf_dir):
     """The frames by Structured Streaming."""
-    return _streamed(spark, sf_dir, lambda chunks: stream_decoder.stream_frames(chunks).select("stream_id", "frame_no", "byte_offset", "frame_size_bytes"))
+    return _streamed(spark, _stream_bytes(spark, sf_dir), lambda chunks: stream_decoder.stream_frames(chunks).select("stream_id", "frame_no", "byte_offset", "frame_size_bytes"))
 
 
 @query(f"select cast(stream_id as varchar) as stream_id, count(*) as frames, cast(sum(spf * ch) as bigint) as samples, cast(0 as smallint) as low16, cast(0 as smallint) as high16 from {frames_sql()} group by 1")
 def stream_pcm(spark, sf_dir):
     """The samples by Structured Streaming."""
-    out = _streamed(spark, sf_dir, stream_samples)
+    out = _streamed(spark, _stream_bytes(spark, sf_dir), stream_samples)
     return out.groupBy("stream_id").agg(F.count("*").alias("frames"), F.sum(F.size("pcm16")).alias("samples"), F.min(F.array_min("pcm16")).alias("low16"), F.max(F.array_max("pcm16")).alias("high16"))
 
 
+@query(coded.ORACLES["decode_frames"])
+def stream_coded(spark, sf_dir):
+    """The samples of coded streams by Structured Streaming, as those of the batch."""
+    out = _streamed(spark, coded.streams(spark, sf_dir), stream_samples).where("status = 0")
+    sample = out.select("stream_id", F.explode("pcm16").alias("v"))
+    return sample.groupBy("stream_id").agg(F.count("*").alias("samples"), F.min("v").alias("low"), F.max("v").alias("high"), F.sum("v").alias("total"))
+
+
 QUERIES |= coded.QUERIES
 ORACLES |= coded.ORACLES

@@ -352,7 +352,7 @@ def synthesis_granule(spark, sf_dir):
 N_FRAMES, PAIRS, QUADS, TABLE, GAIN = 4, 60, 10, 7, 196
 
 
-def _streams(spark, sf_dir):
+def streams(spark, sf_dir):
     """A coded mono stream for each supplier. Of every fifth the second frame has no valid header, of every
     seventh the third one points before the reservoir."""
     keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"))
@@ -401,7 +401,7 @@ _samples = "cast(round_even(greatest(least(y * 32768, 32767), -32768), 0) as sma
   from out join good on good.s = key and good.n = sample // 576""")
 def decode_coded(spark, sf_dir):
     """Coded streams with junk, a damaged frame and a broken reservoir, to samples."""
-    out = decode.pcm_sources(_streams(spark, sf_dir))
+    out = decode.pcm_sources(streams(spark, sf_dir))
     return out.select("stream_id", "frame_no", F.posexplode("pcm16").alias("pos", "pcm16"))
 
 
@@ -409,7 +409,7 @@ def decode_coded(spark, sf_dir):
   select cast(key as varchar) as stream_id, count(*) as samples, min({_samples}) as low, max({_samples}) as high, cast(sum({_samples}) as bigint) as total from out join good on good.s = key and good.n = sample // 576 group by 1""")
 def decode_frames(spark, sf_dir):
     """The same from a table of frames in any order."""
-    out = decode.pcm_frames(files.scan_frames(_streams(spark, sf_dir)))
+    out = decode.pcm_frames(files.scan_frames(streams(spark, sf_dir)))
     sample = out.select("stream_id", F.explode("pcm16").alias("v"))
     return sample.groupBy("stream_id").agg(F.count("*").alias("samples"), F.min("v").alias("low"), F.max("v").alias("high"), F.sum("v").alias("total"))
 
@@ -418,7 +418,7 @@ def decode_frames(spark, sf_dir):
   select cast(s as varchar) as stream_id, cast(frame_no as bigint) as frame_no, cast(case when f = 2 and s % 7 = 0 then -5 else 0 end as integer) as status from c where not (f = 1 and s % 5 = 0)""".replace(f"with {_decode_ctes}, c as", "with c as"))
 def frame_status(spark, sf_dir):
     """Whether each frame that is found can be decoded: a damaged one is no frame, a broken reservoir tells."""
-    out = decode.granules(files.scan_frames(_streams(spark, sf_dir)))
+    out = decode.granules(files.scan_frames(streams(spark, sf_dir)))
     return out.groupBy("stream_id", "frame_no").agg(F.max("status").alias("best"), F.min("status").alias("worst")).select("stream_id", "frame_no", F.when(F.col("worst") < 0, F.col("worst")).otherwise(F.col("best")).alias("status"))
 
 
@@ -430,7 +430,7 @@ _trim = "s_suppkey * 37 % 1000", "s_suppkey * 53 % 900"
   select cast(key as varchar) as stream_id, count(*) as samples, min(place) as first_at, max(place) as last_at, cast(sum(v) as bigint) as total from p where place >= front and place < stop group by 1""")
 def gapless_samples(spark, sf_dir):
     """Samples without what the encoder has put before and behind them."""
-    found = files.scan_frames(_streams(spark, sf_dir))
+    found = files.scan_frames(streams(spark, sf_dir))
     # Narrow rows of the index, not contents, go through the windows.
     index = frame_index(found.drop("content")).withColumn("s_suppkey", F.col("stream_id").cast("long"))
     keep = trimmed(index, *[F.expr(e) for e in _trim]).select("stream_id", "frame_no", "sample_offset", "keep_from", "keep_to")
@@ -438,3 +438,36 @@ def gapless_samples(spark, sf_dir):
     each = out.select("stream_id", "sample_offset", "keep_from", "keep_to", F.posexplode("pcm16").alias("i", "v")).withColumn("at", F.col("sample_offset") + F.col("i"))
     each = each.where((F.col("i") >= F.col("keep_from")) & (F.col("i") < F.col("keep_to")))
     return each.groupBy("stream_id").agg(F.count("*").alias("samples"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.sum("v").alias("total"))
+
+
+@query(f"""with {_decode_ctes}
+  select cast(coef.s as varchar) as stream_id, cast({_frame_no.replace("f -", "coef.f -").replace("f > 1 and s", "coef.f > 1 and coef.s")} as bigint) as frame_no, cast(g % 2 as integer) as gr, {GAIN} as global_gain, cast(count(*) filter (v <> 0) as integer) as non_zero, cast(coalesce(max(i + 1) filter (v <> 0), 0) as integer) as zero_start,
+    cast(sum(v * (i + 1)) as bigint) as weighted from coef group by all""")
+def granule_lines(spark, sf_dir):
+    """What is known of each good granule, with its coefficients."""
+    out = decode.granules(files.scan_frames(streams(spark, sf_dir))).where("status = 0")
+    weighted = F.aggregate(F.transform("coef", lambda v, i: (v * (i + 1)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return out.select("stream_id", "frame_no", "gr", "global_gain", "non_zero", "zero_start", weighted.alias("weighted"))
+
+
+@query(f"""with {_decode_ctes}
+  select cast(key as varchar) as stream_id, cast({_frame_no.replace("s %", "key %")} as bigint) as frame_no, cast(g % 2 as integer) as gr, cast(32 * (s.t % 18) + k as integer) as pos, cast(round(x * 1e6) as bigint) as value
+  from s join good on good.s = key and good.n = s.t // 18""")
+def subband_values(spark, sf_dir):
+    """Subband samples of each good granule, after overlap and frequency inversion."""
+    out = decode.subband_samples(files.scan_frames(streams(spark, sf_dir)))
+    return out.select("stream_id", "frame_no", "gr", F.posexplode("samples").alias("pos", "v")).select("stream_id", "frame_no", "gr", "pos", _micro(F.col("v")).alias("value"))
+
+
+#: Each frame is a stream of its own: what points back cannot be decoded, and nothing overlaps from before.
+_single_ctes = _decode_ctes.replace("cast(s_suppkey as bigint) as s, f, 2 * f + h as g", f"cast(s_suppkey as bigint) * {N_FRAMES} + f as s, cast(s_suppkey as bigint) as s0, f, 2 * f + h as g")
+_single_ctes = _single_ctes.replace(f"where not {_lost}", f"where not {_lost.replace('s %', 's0 %')}").replace("good as (select s, f, g,", "good as (select s, s0, f, g,").replace("coef as (select s, f, g, n, i,", "coef as (select s, f, g, n, i, s0,").replace("(s * 7 + g * 5", "(s0 * 7 + g * 5").replace("(s + g + i)", "(s0 + g + i)")
+
+
+@query(f"""with {_single_ctes}, {_synthesis_ctes}
+  select cast(s0 as varchar) as stream_id, cast({_frame_no.replace("s %", "s0 %")} as bigint) as frame_no, count(*) as samples, min({_samples}) as low, max({_samples}) as high, cast(sum({_samples}) as bigint) as total from out join good on good.s = key and good.n = sample // 576 group by 1, 2""")
+def decode_single_frames(spark, sf_dir):
+    """Each frame by itself."""
+    out = decode.single_frames(files.scan_frames(streams(spark, sf_dir)))
+    sample = out.select("stream_id", "frame_no", F.explode("pcm16").alias("v"))
+    return sample.groupBy("stream_id", "frame_no").agg(F.count("*").alias("samples"), F.min("v").alias("low"), F.max("v").alias("high"), F.sum("v").alias("total"))
