@@ -35,6 +35,8 @@ WORDS, SIMILARITY = 5, 0.8
 #: Texts whose shingles are counted for the order of shingles, and frequent shingles kept, at most.
 SAMPLE, FREQUENT = 16384, 1 << 18
 CLASSES = 64
+#: Rows of keys that are sent to all executors, at most (16 bytes each).
+MOST_SENT = 1_000_000
 #: Texts that share a first shingle up to which all pairs of different groups are candidates at once.
 CROWD = 16
 #: Words whose hashes a task remembers, at most.
@@ -183,7 +185,9 @@ def similar_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
         return out
 
     def sets(wanted: DataFrame) -> DataFrame:
-        texts = _texts(docs).join(wanted.join(nodes.select("node", "text_key"), "node"), "text_key").dropDuplicates(["node"]).select("node", "text")
+        wanted = stored(wanted.join(nodes.select("node", "text_key"), "node"), "wanted-texts")
+        few = F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted  # else all texts are exchanged
+        texts = _texts(docs).join(few, "text_key").dropDuplicates(["node"]).select("node", "text")
         return stored(texts.mapInArrow(_sets, "node long, shingles array<long>"), "shingle-sets")
 
     def _sets(batches):
