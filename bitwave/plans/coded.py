@@ -349,7 +349,7 @@ def synthesis_granule(spark, sf_dir):
 # --- Bytes to samples ---------------------------------------------------------------------------------
 
 #: Frames of a stream, pairs and quadruples of a granule, its table and gain; the frames with damage.
-N_FRAMES, PAIRS, QUADS, TABLE, GAIN = 4, 60, 10, 7, 196
+N_FRAMES, PAIRS, QUADS, TABLE, GAIN = 4, 60, 10, 7, 176
 
 
 def streams(spark, sf_dir):
@@ -471,3 +471,21 @@ def decode_single_frames(spark, sf_dir):
     out = decode.single_frames(files.scan_frames(streams(spark, sf_dir)))
     sample = out.select("stream_id", "frame_no", F.explode("pcm16").alias("v"))
     return sample.groupBy("stream_id", "frame_no").agg(F.count("*").alias("samples"), F.min("v").alias("low"), F.max("v").alias("high"), F.sum("v").alias("total"))
+
+
+#: Times that decode_music plays a stream's frames.
+REPEATS = 60
+_music_ctes = _decode_ctes.replace(f"range(0, {N_FRAMES}) a(f)", f"range(0, {2 * N_FRAMES}) a(f)").replace(_lost, f"(f % {N_FRAMES} = 1 and s % 5 = 0 or f % {N_FRAMES} = 2 and s % 7 = 0)")
+_music_ctes = _music_ctes.replace("g * 5 + i * 3", f"g % {2 * N_FRAMES} * 5 + i * 3").replace("(s + g + i)", f"(s + g % {2 * N_FRAMES} + i)")
+
+
+@query(f"""with {_music_ctes}, {_synthesis_ctes},
+  p as (select key, f // {N_FRAMES} as turn, {_samples} as v from out join good on good.s = key and good.n = sample // 576)
+  select cast(key as varchar) as stream_id, cast(sum(case when turn = 0 then 1 else {REPEATS - 1} end) as bigint) as samples, min(v) as low, max(v) as high, cast(sum(cast(v as bigint) * case when turn = 0 then 1 else {REPEATS - 1} end) as bigint) as total from p group by 1""")
+def decode_music(spark, sf_dir):
+    """Long streams of coded frames: those of streams() over and over. A granule depends on the one before
+    only, so from the second turn on all turns are alike, which the SQL makes use of."""
+    long = streams(spark, sf_dir).select("stream_id", F.expr(f"unhex(repeat(hex(content), {REPEATS}))").alias("content"))
+    out = decode.pcm_sources(long)
+    total = F.aggregate("pcm16", F.lit(0).cast("long"), lambda a, x: a + x)
+    return out.groupBy("stream_id").agg(F.sum(F.size("pcm16")).alias("samples"), F.min(F.array_min("pcm16")).alias("low"), F.max(F.array_max("pcm16")).alias("high"), F.sum(total).alias("total"))
