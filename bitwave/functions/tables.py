@@ -107,6 +107,7 @@ def bands(rate: int, short: bool = False) -> tuple[int, ...]:
     return of.get(BANDS_OF.get(rate, rate), of[44100])
 
 
+@lru_cache(maxsize=16)
 def band_of_line(rate: int) -> np.ndarray:
     """Long band (0 to 21) of each of 576 lines."""
     return np.clip(np.searchsorted(np.array(bands(rate)), np.arange(576), side="right") - 1, 0, 21)

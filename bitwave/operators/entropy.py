@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -250,7 +249,7 @@ def spectrum(bits: Bits, rate: int, g: dict, length: int, books: dict, compat: b
 
 
 def zero_start(values: list[int]) -> int:
-    return int(np.flatnonzero(values)[-1]) + 1 if any(values) else 0
+    return next((i for i in range(len(values), 0, -1) if values[i - 1]), 0)
 
 
 def decode_granules(main: bytes, info: dict, version: int, channels: int, rate: int, books: dict, compat: bool = False) -> tuple[int, list[dict]]:

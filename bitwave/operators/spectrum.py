@@ -4,6 +4,7 @@ over whole batches for every block type."""
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column
@@ -62,6 +63,7 @@ def antialiased(lines: Column, boundaries: int) -> Column:
 # --- Kernels: arrays of shape (n, 576) ------------------------------------------------------------
 
 
+@lru_cache(maxsize=64)
 def short_order(rate: int, mixed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(input line, output line, band, window) of the short-block lines of bands 0 or 3 to 11."""
     band = tables.bands(rate, short=True)
@@ -78,10 +80,20 @@ def short_order(rate: int, mixed: bool) -> tuple[np.ndarray, np.ndarray, np.ndar
     return tuple(map(np.array, (source, target, bands, windows)))
 
 
+#: The largest coefficient: 15 and 13 escape bits.
+MOST = 15 + (1 << 13) - 1
+
+
+@lru_cache(maxsize=1)
+def _powers() -> np.ndarray:
+    """sign(v) * |v| ** (4/3) of v from -MOST to MOST."""
+    v = np.arange(-MOST, MOST + 1, dtype=np.float64)
+    return np.sign(v) * np.abs(v) ** (4.0 / 3.0)
+
+
 def requantise(rate: int, g: dict) -> np.ndarray:
     """576 spectral lines of a granule."""
-    coef = np.asarray(g["coef"], np.float64)
-    power = np.sign(coef) * np.abs(coef) ** (4.0 / 3.0)
+    power = _powers()[np.array(g["coef"], np.int64) + MOST]
     base, step = 0.25 * (g["global_gain"] - 214), 0.5 * (1 + g["scalefac_scale"])
     short = g["window_switching"] and g["block_type"] == 2
     out = np.zeros(576)
@@ -133,13 +145,18 @@ def stereo(rate: int, mode: int, extension: int, right: dict, xr: list[np.ndarra
     return [out_l, out_r]
 
 
+@lru_cache(maxsize=2)
+def _boundaries(count: int) -> tuple[np.ndarray, ...]:
+    """Cosines, sines and the lines on either side of the first boundaries between subbands."""
+    c, s = np.array(tables.butterflies()).T
+    return c, s, (np.arange(count) * 18 + 17)[:, None] - np.arange(8)[None, :], (np.arange(1, count + 1) * 18)[:, None] + np.arange(8)[None, :]
+
+
 def antialias(g: dict, xr: np.ndarray) -> np.ndarray:
     short = g["window_switching"] and g["block_type"] == 2
     if short and not g["mixed"]:
         return xr
-    c, s = np.array(tables.butterflies()).T
-    a = (np.arange(1 if short else 31) * 18 + 17)[:, None] - np.arange(8)[None, :]
-    b = (np.arange(1, 2 if short else 32) * 18)[:, None] + np.arange(8)[None, :]
+    c, s, a, b = _boundaries(1 if short else 31)
     out = xr.copy()
     out[a], out[b] = xr[a] * c - xr[b] * s, xr[b] * c + xr[a] * s
     return out
