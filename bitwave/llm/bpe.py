@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Characters from which a text is cut, and the size of the cuts.
 LONG_TEXT, CUT = 100_000, 50_000
 #: Bytes from which a single match is merged with a heap.
@@ -124,6 +126,7 @@ def rank_bytes(path: str) -> bytes:
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs with one more column, ids (array of int), in place of any of that name."""
     docs = docs.drop("ids")
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(rank_bytes(path))
     at = docs.columns.index("text")
 
@@ -144,6 +147,7 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256: encoding, then decoding of the ids."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(rank_bytes(path))
 
     def run(batches):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import small_batches, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: Texts in the training sample, on average, and candidates taken of them, at most.
@@ -277,6 +277,7 @@ def fit(texts: list[str], examples: list | None = None) -> Detector:
 
 def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Detector:
     """A detector from a bounded sample of texts with digits or at signs."""
+    small_batches(docs.sparkSession)
     share = min(1.0, sample_texts / max(1, docs.count()))
     text = text_or_empty()
     picked = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003).where(F.col("text").rlike("[0-9@]")).distinct()
@@ -306,6 +307,7 @@ def spelled(spans) -> str:
 
 def find(docs: DataFrame, detector: Detector) -> DataFrame:
     """doc_id, counts of base spans, the digest of base spans, all spans."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(detector)
 
     def run(batches):
@@ -326,6 +328,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, detector: Detector) -> DataFrame:
     """docs with every span in text replaced by its kind in angle brackets; n_chars, if there, follows."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(detector)
     at = docs.columns.index("text")
 

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Labelled rows that are learned from, at most (picked by a hash).
 MOST_ROWS = 8_000
 SPACE = 1 << 20
@@ -102,6 +104,7 @@ def fold() -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
+    small_batches(docs.sparkSession)
     labels = labels.where("toxic is not null and doc_id is not null").where(fold() != 2).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = min(1.0, most_rows / max(1, labels.count()))
     picked = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
@@ -127,6 +130,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
 def with_score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with one more column, toxic_score (double from 0 to 1), in place of any of that name."""
     docs = docs.drop("toxic_score")
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
