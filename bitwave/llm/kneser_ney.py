@@ -9,11 +9,13 @@ Training: tasks count the grams of trusted texts, counts are summed by gram, con
 context sums and discounts are joins and aggregates over these tables, all sharded by gram.
 Scoring: texts are dealt in compressed chunks to blocks of about BLOCK_BYTES, a block asks for its
 distinct grams, the join with the model answers, and the block scores its texts. A chunk's block
-depends on its task and number, not on a key, so repeated rows spread.
+depends on its task and number, not on a key, so repeated rows spread. Both must be the same again if an
+executor is lost, so rows that come out of an exchange, in no fixed order, are stored first.
 
-A document is kept if its perplexity is at most the QUANTILE of the trusted documents of its
-language, times MARGIN (trusted text is seen in training) and exp(SLACK / characters); languages without trusted documents take
-the quantile over all trusted ones.
+A quarter of the trusted documents, by a hash of doc_id, is not trained on (all are, and set the limits
+too, where that would leave nothing on either side). A document is kept if its perplexity is at most the
+QUANTILE of those of its language, times exp(SLACK / characters); languages without any take the quantile
+over all of them. A text that repeats a common word looks good to so short an n-gram: see the README.
 
 Defined results: null or empty texts have no perplexity and are not kept; a null lang is a language
 of its own; a doc_id is trusted if any of its labels has quality 1; a null doc_id is never trusted;
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import stored, text_or_empty
 
 ORDER = 4
-QUANTILE, MARGIN = 0.995, 1.1
+QUANTILE = 0.995
 #: Nats that a text may exceed the limit by, shared among its characters: the start of a text is hard
 #: to predict, which weighs on short ones.
 SLACK = 6.0
@@ -205,6 +207,9 @@ def log_probabilities(g: np.ndarray, known: np.ndarray, logp: np.ndarray, backof
 
 def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
     """doc_id, lang, n (characters) and nats (mean negative log probability, null without characters)."""
+    docs = docs.select("doc_id", "lang", "text")
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = stored(docs, "kn-texts")
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     packed = _packed(docs, blocks)
@@ -238,15 +243,17 @@ def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, perplexity, threshold and keep (0 or 1) for each row of docs."""
     trusted = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    n = trusted.count()
-    sent = F.broadcast(trusted) if n <= MOST_SENT else trusted
-    model = train(docs.join(sent, "doc_id", "left_semi")) if n else None
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    n, m = trusted.count(), trusted.where(part).count()
+    seen, unseen = (trusted.where(~part), trusted.where(part)) if 0 < m < n else (trusted, trusted)
+    sent = lambda ids: F.broadcast(ids) if n <= MOST_SENT else ids
+    model = train(docs.join(sent(seen), "doc_id", "left_semi")) if n else None
     if model is None:
         none = F.lit(None).cast("double")
         return docs.select("doc_id", none.alias("perplexity"), none.alias("threshold"), (F.length(text_or_empty()) > 0).cast("int").alias("keep"))
     scores = stored(perplexities(docs, model), "kn-scores")
     # Quantiles from counts in bins of a thousandth of a nat: their number is bounded, whatever the rows.
-    marked = scores.where("nats is not null").join(sent, "doc_id", "left_semi").select(F.coalesce("lang", F.lit("")).alias("lang_key"), F.floor(F.col("nats") * 1000).cast("int").alias("bin"))
+    marked = scores.where("nats is not null").join(sent(unseen), "doc_id", "left_semi").select(F.coalesce("lang", F.lit("")).alias("lang_key"), F.floor(F.col("nats") * 1000).cast("int").alias("bin"))
     bins = stored(marked.groupBy("lang_key", "bin").agg(F.count("*").alias("c")), "kn-bins")
 
     def cut(keys):
@@ -257,7 +264,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
         running = running.select(*keys, "bin", F.sum("c").over(by).alias("upto"), F.sum("c").over(Window.partitionBy(*keys)).alias("total"))
         return running.where(F.col("upto") >= QUANTILE * F.col("total")).groupBy(*keys).agg(F.min("bin").alias("bin"))
 
-    limit = lambda b: F.exp((b + 1) / 1000) * MARGIN
+    limit = lambda b: F.exp((b + 1) / 1000)
     overall = bins.groupBy("bin").agg(F.sum("c").alias("c")).orderBy("bin").collect()
     total, upto, pooled = sum(r.c for r in overall), 0, None
     for r in overall:

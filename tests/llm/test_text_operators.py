@@ -332,12 +332,17 @@ def test_quality_against_dictionaries(spark):
     labels = spark.createDataFrame([(i, int(i in trusted)) for i in range(200)] + [(None, 1), (0, 0)], "doc_id long, quality int")
     got = {r.doc_id: r for r in kneser_ney.quality(df, labels).collect()}
     assert len(got) == len(rows)
-    nats = brute_model([rows[i] for i in trusted])
+    apart = {r.i for r in spark.range(200).selectExpr("id as i").where("pmod(xxhash64(i), 4) = 0").collect()}
+    nats = brute_model([rows[i] for i in trusted if i not in apart])
+    held = sorted(nats(rows[i]) for i in trusted if i in apart and i % 3)
+    limit = next(x for k, x in enumerate(held, 1) if k >= kneser_ney.QUANTILE * len(held))
+    for i in (1, 100, 200):
+        assert np.log(got[i].threshold) == pytest.approx(limit + kneser_ney.SLACK / len(rows[i]), abs=2e-3)
     for i, t in enumerate(rows):
         if t and "\U0001f600" not in t:
             assert np.log(got[i].perplexity) == pytest.approx(nats(t), abs=2e-4), repr(t)
     assert [got[i].keep for i in range(200, 222)] == [0] * 22 and got[220].perplexity is None
-    assert sum(got[i].keep for i in range(200)) >= 196 and got[223].keep == 1
+    assert sum(got[i].keep for i in range(200)) >= 190 and got[223].keep == 1
     none = kneser_ney.quality(df, labels.limit(0)).collect()
     assert {r.perplexity for r in none} == {None} and sum(r.keep for r in none) == len(rows) - 2
     assert kneser_ney.quality(df.limit(0), labels).collect() == []
