@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import stored, text_or_empty
 
 ORDER = 4
-QUANTILE = 0.995
+QUANTILE = 0.99
 #: Nats that a text may exceed the limit by, shared among its characters: the start of a text is hard
 #: to predict, which weighs on short ones.
 SLACK = 6.0
