@@ -43,9 +43,16 @@ def shared_path(spark: SparkSession, what: str) -> str:
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, survives lost executors."""
-    path = shared_path(df.sparkSession, what)
+    path, conf = shared_path(df.sparkSession, what), df.sparkSession.conf
     small_batches(df.sparkSession)
-    df.write.parquet(path)
+    # Nothing reads the exchanges of this job again, so their files go with it.
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

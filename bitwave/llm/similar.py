@@ -38,7 +38,7 @@ CLASSES = 64
 #: Rows of keys that are sent to all executors, at most (16 bytes each).
 MOST_SENT = 1_000_000
 #: Texts that share a first shingle up to which all pairs of different groups are candidates at once.
-CROWD = 16
+CROWD = 32
 #: Words whose hashes a task remembers, at most.
 MOST_KNOWN = 50_000
 RATIO = np.uint64(0x9E3779B97F4A7C15)
@@ -222,11 +222,13 @@ def similar_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     if not crowd.isEmpty():
         of = sets(crowd.select("node"))
         each = of.select("node", F.explode("shingles").alias("h"))
-        ranked = each.join(each.groupBy("h").agg(F.count("*").alias("m")), "h").join(crowd, "node")
-        ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("m", "h")) - 1)
+        # Shingles of one text alone come first in the order; only their number matters.
+        ranked = each.join(each.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "h").join(crowd, "node")
+        by = Window.partitionBy("node")
+        ranked = ranked.withColumn("at", (F.col("n") - F.count("*").over(by) + F.row_number().over(by.orderBy("m", "h")) - 1).cast("int"))
         s = Fraction(str(SIMILARITY))
         least = F.ceil(F.col("n") * s.numerator / s.denominator)
-        pairs = pairs.union(early(stored(ranked.where((F.col("at") <= F.col("n") - least) & (F.col("m") > 1)).select("h", "node", "n", "at", "root"), "crowd-shingles")))
+        pairs = pairs.union(early(stored(ranked.where(F.col("at") <= F.col("n") - least).select("h", "node", "n", "at", "root"), "crowd-shingles")))
     others = checked(pairs, "other-links")
     forget(members, grouped, open_, prints, nodes)
     return near.union(others)
