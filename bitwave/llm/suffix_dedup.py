@@ -24,7 +24,7 @@ to LENGTH bytes, so equal suffixes are what is looked for.
 Beside the removal each row tells whether it holds a passage of PASSAGE words or more, separators
 included, that another document holds too; these are often shorter than LENGTH bytes. Windows of PASSAGE
 words have anchors as well (their MARK words with the least hash), and windows whose anchor occurs in one
-text only drop out; the others meet by a 128-bit hash. This takes nothing away.
+text only drop out; the others meet by a 64-bit hash. This takes nothing away.
 
 Defined results: a null text is empty; texts shorter than LENGTH bytes lose nothing; equal rows give
 equal rows and lose everything if they are long enough; extra columns are ignored; an empty table
@@ -44,7 +44,7 @@ from .common import forget, partitions, stored, text_or_empty
 
 LENGTH, K, CELL = 400, 64, 32
 #: Words of a passage, and of its anchor.
-PASSAGE, MARK = 50, 8
+PASSAGE, MARK = 50, 20
 #: Occurrences of an anchor from which its windows stand alone: fewer suffixes that share a core are a
 #: small part of a target partition.
 HOT = 4096
@@ -411,9 +411,9 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     flagged = stored(each.join(twice, ["kind", "anchor"]), "suffix-flagged")
     cases = {"cool": "kind = 0 and not hot", "hot": "kind = 0 and hot", "marks": "kind = 1"}
     flagged = flagged.groupBy("text_no").agg(*[F.collect_set(F.when(F.expr(c), F.col("anchor"))).alias(n) for n, c in cases.items()])
-    flagged = stored(texts.select("text_key", "text_no", "doc_key").join(flagged, "text_no").drop("text_no"), "suffix-candidates")
+    flagged = stored(texts.select("text_key", "text_no", "doc_key").join(flagged, "text_no"), "suffix-candidates")
     chosen = rows.drop("text_no").join(flagged, ["text_key", "doc_key"]).dropDuplicates(["text_key", "doc_key"])
-    chosen = stored(chosen.select("text_key", "text", *cases), "suffix-candidate-texts")
+    chosen = stored(chosen.select("text_key", "text_no", "text", *cases), "suffix-candidate-texts")
     forget(seen, twice)
 
     amount = chosen.agg(F.sum(F.size("cool") * F.lit(170 * 14) + F.size("hot") * F.lit(170 * 400))).first()[0] or 0
@@ -426,7 +426,7 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["target", "run", "text", "first", "stop"])
 
         for batch in batches:
-            for key, text, cool, hot, _ in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for key, text, cool, hot in zip(*[batch.column(c).to_pylist() for c in ("text_key", "text", "cool", "hot")], strict=True):
                 flags = dict.fromkeys((x & (2**64 - 1) for x in cool), False) | dict.fromkeys((x & (2**64 - 1) for x in hot), True)
                 for row in runs.add(bytes.fromhex(key), text.encode(), flags):
                     rows.append(row)
@@ -459,27 +459,31 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             part = rows[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*part, strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)], ["text", "first", "stop"])
 
-    made = chosen.mapInArrow(cut, "target int, run binary, text binary, first long, stop long")
+    made = chosen.where(F.size("cool") + F.size("hot") > 0).mapInArrow(cut, "target int, run binary, text binary, first long, stop long")
     dealt = made.repartitionById(targets, F.col("target")).sortWithinPartitions("target")
     return texts, chosen, dealt.mapInArrow(join, "text binary, first long, stop long")
 
 
 def sharing(texts: DataFrame, chosen: DataFrame) -> DataFrame:
-    """text_key of the texts that hold a passage which another document holds too."""
+    """text_key (a row each) of the texts that hold a passage which another document holds too."""
 
     def cut(batches):
         for batch in batches:
-            for key, text, marks in zip(*[batch.column(c).to_pylist() for c in ("text_key", "text", "marks")], strict=True):
+            numbers, windows = [np.empty(0, np.int64)], [np.empty(0, U)]
+            for number, text, marks in zip(*[batch.column(c).to_pylist() for c in ("text_no", "text", "marks")], strict=True):
                 data = text.encode()
-                start, end, mark = passages(data)
+                hashes = Hashes(data)
+                start, end, mark = passages(data, hashes)
                 at = np.flatnonzero(np.isin(mark, np.array(marks, np.int64).view(U)))
-                found = {hashlib.blake2b(data[s:e], digest_size=16).digest() for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)}
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.string()), pa.array(sorted(found), pa.binary())], ["text_key", "window"])
-
-    windows = stored(chosen.where(F.size("marks") > 0).select("text_key", "text", "marks").mapInArrow(cut, "text_key string, window binary"), "suffix-passages")
-    again = windows.groupBy("window").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low <> high").select("window")
-    found = windows.join(again, "window").select("text_key").distinct()
-    return found.union(texts.where("n > 1 and worded").select("text_key")).distinct()
+                windows.append(np.unique(hashes.of(start[at], end[at] - start[at])))
+                numbers.append(np.full(len(windows[-1]), number, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(numbers)), pa.array(np.concatenate(windows).view(np.int64))], ["text_no", "window"])
+
+    windows = stored(chosen.where(F.size("marks") > 0).select("text_no", "text", "marks").mapInArrow(cut, "text_no long, window long"), "suffix-passages")
+    again = windows.groupBy("window").agg(F.min("text_no").alias("low"), F.max("text_no").alias("high")).where("low <> high").select("window")
+    found = stored(windows.join(again, "window").select("text_no").distinct(), "suffix-sharing")
+    forget(windows)
+    return found.join(texts, "text_no").select("text_key").union(texts.where("n > 1 and worded").select("text_key")).distinct()
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
