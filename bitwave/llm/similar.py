@@ -33,7 +33,7 @@ from .common import forget, stored, text_or_empty
 
 WORDS, SIMILARITY = 5, 0.8
 #: Texts whose shingles are counted for the order of shingles, and frequent shingles kept, at most.
-SAMPLE, FREQUENT = 16384, 1 << 18
+SAMPLE, FREQUENT = 65536, 1 << 18
 CLASSES = 64
 #: Rows of keys that are sent to all executors, at most (16 bytes each).
 MOST_SENT = 1_000_000
@@ -105,7 +105,9 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 h, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    counts = picked.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 4").orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    seen = stored(picked.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 4"), "frequent-shingles")
+    counts = seen.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    forget(seen)
     h, n = counts["h"].to_numpy().view(np.uint64), counts["n"].to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
