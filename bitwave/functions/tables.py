@@ -167,7 +167,16 @@ def codebooks(extra: dict[int, dict[tuple[int, int], str]] | None = None) -> dic
 
     extra holds trees by their first table (7 to 13, 15, 16, 24) that replace the built-in ones, as a
     caller loads them; see load_codes. Each tree must be complete: its Kraft sum is one."""
-    trees = PAIR_CODES | (extra or {})
+    return _codebooks(extra) if extra else _built_in()
+
+
+@lru_cache(maxsize=1)
+def _built_in() -> dict[int, tuple[dict[str, tuple[int, int]], int]]:
+    return _codebooks({})
+
+
+def _codebooks(extra: dict) -> dict[int, tuple[dict[str, tuple[int, int]], int]]:
+    trees = PAIR_CODES | extra
     for t, codes in trees.items():
         if sum(2.0 ** -len(c) for c in codes.values()) != 1.0:
             raise ValueError(f"table {t} is no complete code")

@@ -1,10 +1,12 @@
 """Frames to samples. Whole sources need no shuffle; frames in any order are dealt by stream once and
-sorted. Either way a task walks the frames of a stream in blocks: the reservoir and the entropy codes frame
-by frame, the transforms over all granules of a block at once. From block to block it carries the
+sorted. Either way a task walks the frames of a stream in blocks: the reservoir frame by frame, the entropy
+codes and the transforms over all granules of a block at once. From block to block it carries the
 reservoir and the last granule, which is all the memory there is."""
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,14 +59,14 @@ def _decoded(batch, books: dict, compat: bool):
         yield stream, frame, rate, channels, status, out
 
 
-def _by_stream(df: DataFrame) -> DataFrame:
+def by_stream(df: DataFrame, key: str = "stream_id") -> DataFrame:
     """df dealt by stream to as many partitions as shuffles have. Rows can be small here and what is made
     of them large, so their number is not left to their size."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "stream_id")
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def _ready(frames: DataFrame) -> DataFrame:
-    return assembled(_by_stream(frames.withColumn("stream_id", F.col("stream_id").cast("string")))).select(*NAMES)
+    return assembled(by_stream(frames.withColumn("stream_id", F.col("stream_id").cast("string")))).select(*NAMES)
 
 
 def granules(frames: DataFrame, extra_codes: dict | None = None, compat: bool = False) -> DataFrame:
@@ -103,87 +105,133 @@ class Running:
         self.lines = np.zeros((2, 576)) if lines is None else lines
         self.bands = np.zeros((2, 576)) if bands is None else bands
 
-    def lines_of(self, content: bytes) -> tuple[int, int, list]:
-        """(status, channels, granules) of the next frame: side information and lines by channel, None
-        where all channels are silent."""
-        word = int.from_bytes(content[:4], "big")
-        version, mode, extension = (word >> 19) & 3, (word >> 6) & 3, (word >> 4) & 3
-        channels, head = 1 if mode == 3 else 2, 4 if (word >> 16) & 1 else 6
-        rate = tables.RATES[4 * version + ((word >> 10) & 3)]
-        status, info = entropy.side_info(content[head:], version, channels)
+    def assembled(self, content: bytes) -> tuple[int, tuple, tuple | None]:
+        """(status, header fields, frame for decode_many() or None) of the next frame."""
+        fields = version, channels, head, side, rate, *_ = _header(content[:4])
+        status, info = entropy.side_info(content[head : head + side], version, channels)
         if status:
             self.reservoir.held = b""
-            return status, channels, []
-        side = (17 if channels == 1 else 32) if version == 3 else (9 if channels == 1 else 17)
+            return status, fields, None
         whole = self.reservoir.assemble(info["main_data_begin"], content[head + side :])
         if whole is None:
-            return tables.STATUS["RESERVOIR_UNDERFLOW"], channels, []
-        status, done = entropy.decode_granules(whole, info, version, channels, rate, self.books, self.compat)
+            return tables.STATUS["RESERVOIR_UNDERFLOW"], fields, None
         self.reservoir.update(whole, entropy.part2_3_bits(info, version, channels))
-        out = []
-        for a in range(0, 0 if status else len(done), channels):
-            gs = done[a : a + channels]
-            xr = None
-            if any(g["zero_start"] for g in gs):
-                xr = [spectrum.requantise(rate, g) for g in gs]
-                if channels == 2:
-                    xr = spectrum.stereo(rate, mode, extension, gs[1], xr)
-                xr = [spectrum.antialias(g, x) for g, x in zip(gs, xr, strict=True)]
-            out.append((gs, xr))
-        return status, channels, out
+        return 0, fields, (whole, info, version, channels, rate)
 
     def feed(self, contents: list[bytes]) -> list[tuple[int, int, np.ndarray | None]]:
         """(status, channels, interleaved samples or None) of each of the next frames."""
         frames, _, pcm = self.transformed(contents)
         out, i = [], 0
-        for status, channels, found in frames:
-            out.append((status, channels, None if status else pcm[i : i + len(found), :channels].transpose(0, 2, 1).ravel()))
-            i += len(found)
+        for status, channels, count in frames:
+            out.append((status, channels, None if status else _interleaved(pcm, i, i + count, channels)))
+            i += count
         return out
 
-    def transformed(self, contents: list[bytes]) -> tuple[list, np.ndarray, np.ndarray]:
-        """lines_of() of each of the next frames; subbands (time-major) and samples of each good granule,
-        as (granules, 2, 576)."""
-        frames = [self.lines_of(c) for c in contents]
-        granules = [g for _, _, found in frames for g in found]
-        n = len(granules)
-        lines, kinds = np.zeros((n + 1, 2, 576)), np.zeros((n + 1, 2, 3), int)
-        lines[0], kinds[0] = self.lines, self.kinds
-        for i, (gs, xr) in enumerate(granules, 1):
-            for c, g in enumerate(gs):
-                kinds[i, c] = g["block_type"], g["window_switching"], g["mixed"]
-                if xr is not None:
-                    lines[i, c] = xr[c]
-        loud = lines.any(axis=2)
-        bands = np.zeros((n + 1, 2, 576))
-        bands[0] = self.bands
-        at, ch = np.nonzero(loud[1:] | loud[:-1])
-        if len(at):
-            of = lambda i: (lines[i, ch], *kinds[i, ch].T)
-            bands[at + 1, ch] = hybrid.subbands(*of(at + 1), *of(at)).reshape(-1, 576)
-        heard = bands.any(axis=2)
-        pcm = np.zeros((n, 2, 576))
-        at, ch = np.nonzero(heard[1:] | heard[:-1])
-        if len(at):
-            steps = lambda i: bands[i, ch].reshape(-1, 18, 32)
-            pcm[at, ch] = hybrid.synthesis(steps(at + 1), steps(at), self.window)
-        self.lines, self.kinds, self.bands = lines[n], kinds[n], bands[n]
-        return frames, bands[1:], pcm
+    def transformed(self, contents: list[bytes]) -> tuple[list, np.ndarray | None, np.ndarray | None]:
+        """(status, channels, number of granules) of each of the next frames; subbands (time-major) and
+        samples of each good granule, as (2, granules, 576), or None if all are zero."""
+        frames, coded, n = [], [], 0
+        kinds = [self.kinds[None]]
+        ready = [self.assembled(c) for c in contents]
+        loud = [frame for _, _, frame in ready if frame and not frame[1]["silent"]]
+        done, coef = entropy.decode_many(loud, self.books, self.compat)
+        done = iter(done)
+        for status, fields, frame in ready:
+            channels, found = fields[1], []
+            if frame:
+                status, found = next(done) if not frame[1]["silent"] else (0, frame[1]["granules"])
+                if status == 0 and not frame[1]["silent"]:
+                    coded += [(n + i // channels, i % channels, g, fields) for i, g in enumerate(found)]
+            if status == 0:
+                kinds.append(_kinds(found, channels))
+            count = 0 if status else len(found) // channels
+            frames.append((status, channels, count))
+            n += count
+        kinds = np.concatenate(kinds)
+        if not coded and not self.lines.any() and not self.bands.any():
+            self.kinds = kinds[n]
+            return frames, None, None
+        lines, bands, pcm = np.zeros((2, n + 1, 576)), np.zeros((2, n + 1, 576)), np.zeros((2, n, 576))
+        lines[:, 0], bands[:, 0] = self.lines, self.bands
+        if coded:
+            at, ch, gs, fields = zip(*coded, strict=True)
+            xr = spectrum.requantise_many([f[4] for f in fields], gs, coef[[g["row"] for g in gs]])
+            for i, (_, _, _, _, rate, mode, extension) in enumerate(fields):
+                if mode == 1 and extension & 3 and ch[i] == 0 and (gs[i]["zero_start"] or gs[i + 1]["zero_start"]):
+                    xr[i], xr[i + 1] = spectrum.stereo(rate, mode, extension, gs[i + 1], [xr[i].copy(), xr[i + 1].copy()])
+            spectrum.antialias_many(gs, xr)
+            lines[np.array(ch), np.array(at) + 1] = xr
+        for c in range(2):
+            if lines[c].any():
+                bands[c, 1:] = hybrid.subbands_of_run(lines[c], kinds[:, c]).reshape(-1, 576)
+            if bands[c].any():
+                pcm[c] = hybrid.synthesis_of_run(bands[c], self.window)
+        self.lines, self.kinds, self.bands = lines[:, n].copy(), kinds[n], bands[:, n].copy()
+        return frames, bands[:, 1:], pcm
+
+
+@lru_cache(maxsize=4096)
+def _header(start: bytes) -> tuple[int, int, int, int, int, int, int]:
+    """(version, channels, header bytes, side information bytes, rate, mode, extension)."""
+    word = int.from_bytes(start, "big")
+    version, mode, extension = (word >> 19) & 3, (word >> 6) & 3, (word >> 4) & 3
+    channels, head = 1 if mode == 3 else 2, 4 if (word >> 16) & 1 else 6
+    side = (17 if channels == 1 else 32) if version == 3 else (9 if channels == 1 else 17)
+    return version, channels, head, side, tables.RATES[4 * version + ((word >> 10) & 3)], mode, extension
+
+
+def _kinds(found: list[dict], channels: int) -> np.ndarray:
+    """(granules, 2, 3): block type, switching and mixed by channel."""
+    out = np.zeros((len(found) // channels, 2, 3), int)
+    for i, g in enumerate(found):
+        if g["window_switching"]:
+            out[i // channels, i % channels] = g["block_type"], g["window_switching"], g["mixed"]
+    return out
+
+
+def _interleaved(pcm: np.ndarray | None, a: int, b: int, channels: int) -> np.ndarray:
+    """The samples of granules a to b."""
+    return np.zeros((b - a) * 576 * channels) if pcm is None else pcm[:channels, a:b].transpose(1, 2, 0).ravel()
 
 
 def quantised(x: np.ndarray) -> np.ndarray:
-    return np.rint(np.clip(np.nan_to_num(x, nan=0.0) * 32768, -32768, 32767)).astype(np.int16)
-
-
-def _pcm_batch(stream, numbers: list[int], found: list) -> pa.RecordBatch | None:
-    good = [(no, channels, x) for no, (status, channels, x) in zip(numbers, found, strict=True) if status == 0]
+    out = np.empty(len(x), np.int16)
+    for a in range(0, len(x), 1 << 15):
+        y = np.clip(x[a : a + (1 << 15)] * 32768, -32768, 32767)
+        if np.isnan(y).any():
+            y = np.nan_to_num(y, nan=0.0)
+        out[a : a + (1 << 15)] = np.rint(y, out=y)
+    return out
+
+
+def _pcm_batch(stream, numbers: list[int], decoder: Running, contents: list[bytes], columns=None) -> pa.RecordBatch | None:
+    """The next frames of a stream as rows of PCM, or of those of its columns."""
+    frames, _, pcm = decoder.transformed(contents)
+    good = [(no, channels, count) for no, (status, channels, count) in zip(numbers, frames, strict=True) if status == 0]
     if not good:
         return None
-    flat = np.concatenate([x for *_, x in good])
-    ends = pa.array(np.append(0, np.cumsum([len(x) for *_, x in good])), pa.int32())
-    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (flat.astype(np.float32), quantised(flat))]
-    head = [pa.array([stream] * len(good), pa.string()), pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.int32())]
-    return pa.RecordBatch.from_arrays([*head, *lists], [x.split()[0] for x in PCM.split(", ")])
+    parts, i = [], 0
+    while i < len(good):  # neighbours with as many channels at once
+        j = i
+        while j < len(good) and good[j][1] == good[i][1]:
+            j += 1
+        a = sum(g[2] for g in good[:i])
+        parts.append((a, a + sum(g[2] for g in good[i:j]), good[i][1]))
+        i = j
+    ends = pa.array(np.append(0, np.cumsum([576 * channels * count for _, channels, count in good])), pa.int32())
+    flat = None if pcm is None else np.concatenate([_interleaved(pcm, *p) for p in parts])
+    size = ends[-1].as_py()
+    made = {
+        "stream_id": lambda: pa.array([stream] * len(good), pa.string()), "frame_no": lambda: pa.array([g[0] for g in good], pa.int64()), "channels": lambda: pa.array([g[1] for g in good], pa.int32()),
+        "pcm_float": lambda: pa.ListArray.from_arrays(ends, pa.array(np.zeros(size, np.float32) if flat is None else flat.astype(np.float32))),
+        "pcm16": lambda: pa.ListArray.from_arrays(ends, pa.array(np.zeros(size, np.int16) if flat is None else quantised(flat))),
+    }
+    names = columns or list(made)
+    return pa.RecordBatch.from_arrays([made[c]() for c in names], names)
+
+
+def _schema(columns) -> str:
+    return ", ".join(x for x in PCM.split(", ") if not columns or x.split()[0] in columns)
 
 
 def pcm_frames(frames: DataFrame, window=None, extra_codes: dict | None = None, compat: bool = False) -> DataFrame:
@@ -191,7 +239,7 @@ def pcm_frames(frames: DataFrame, window=None, extra_codes: dict | None = None,
     rounded half to even) of good frames. window: the 512 synthesis coefficients; without it the
     published ones."""
 
-    return _walked(frames, PCM, lambda decoder, stream, numbers, contents: _pcm_batch(stream, numbers, decoder.feed(contents)), window, extra_codes, compat)
+    return _walked(frames, PCM, lambda decoder, stream, numbers, contents: _pcm_batch(stream, numbers, decoder, contents), window, extra_codes, compat)
 
 
 def single_frames(frames: DataFrame, window=None, extra_codes: dict | None = None, compat: bool = False) -> DataFrame:
@@ -201,7 +249,7 @@ def single_frames(frames: DataFrame, window=None, extra_codes: dict | None = Non
         books = tables.codebooks(extra_codes)
         for batch in batches:
             for stream, number, content in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                out = _pcm_batch(stream, [number], Running(books, window, compat).feed([content]))
+                out = _pcm_batch(stream, [number], Running(books, window, compat), [content])
                 if out is not None:
                     yield out
 
@@ -213,11 +261,12 @@ def subband_samples(frames: DataFrame, extra_codes: dict | None = None, compat:
 
     def batch(decoder, stream, numbers, contents):
         found, bands, _ = decoder.transformed(contents)
-        rows = [(no, gr, ch) for no, (_, channels, granules) in zip(numbers, found, strict=True) for gr in range(len(granules)) for ch in range(channels)]
-        at = np.repeat(np.arange(len(bands)), [c for _, c, granules in found for _ in granules])
+        rows = [(no, gr, ch) for no, (_, channels, count) in zip(numbers, found, strict=True) for gr in range(count) for ch in range(channels)]
+        widths = [c for _, c, count in found for _ in range(count)]
+        at = np.repeat(np.arange(len(widths)), widths)
         if not rows:
             return None
-        flat = bands[at, [r[2] for r in rows]].ravel()
+        flat = np.zeros(576 * len(rows)) if bands is None else bands[[r[2] for r in rows], at].ravel()
         head = [pa.array([stream] * len(rows), pa.string()), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)]]
         return pa.RecordBatch.from_arrays([*head, pa.ListArray.from_arrays(pa.array(576 * np.arange(len(rows) + 1), pa.int32()), pa.array(flat))], ["stream_id", "frame_no", "gr", "ch", "samples"])
 
@@ -243,13 +292,13 @@ def _walked(frames: DataFrame, schema: str, made, window, extra_codes, compat: b
                     yield out
                 a = b
 
-    dealt = _by_stream(frames.select(F.col("stream_id").cast("string").alias("stream_id"), "frame_no", "content"))
+    dealt = by_stream(frames.select(F.col("stream_id").cast("string").alias("stream_id"), "frame_no", "content"))
     return dealt.sortWithinPartitions("stream_id", "frame_no").mapInArrow(run, schema)
 
 
-def pcm_sources(sources: DataFrame, window=None, extra_codes: dict | None = None, compat: bool = False) -> DataFrame:
+def pcm_sources(sources: DataFrame, window=None, extra_codes: dict | None = None, compat: bool = False, columns: tuple | None = None) -> DataFrame:
     """pcm_frames() of whole sources (stream_id, content), one row each: no shuffle, and no frame is
-    copied before it is decoded."""
+    copied before it is decoded. columns: those that are wanted, in the order of PCM; all without it."""
 
     def run(batches):
         books = tables.codebooks(extra_codes)
@@ -260,12 +309,12 @@ def pcm_sources(sources: DataFrame, window=None, extra_codes: dict | None = None
                 for _, frame in frames_in(content or b""):
                     part.append(frame)
                     if len(part) == FRAMES:
-                        out = _pcm_batch(stream, list(range(number, number + len(part))), decoder.feed(part))
+                        out = _pcm_batch(stream, list(range(number, number + len(part))), decoder, part, columns)
                         number, part = number + len(part), []
                         if out is not None:
                             yield out
-                out = _pcm_batch(stream, list(range(number, number + len(part))), decoder.feed(part))
+                out = _pcm_batch(stream, list(range(number, number + len(part))), decoder, part, columns)
                 if out is not None:
                     yield out
 
-    return sources.select(F.col("stream_id").cast("string").alias("stream_id"), "content").mapInArrow(run, PCM)
+    return sources.select(F.col("stream_id").cast("string").alias("stream_id"), "content").mapInArrow(run, _schema(columns))

@@ -355,7 +355,7 @@ N_FRAMES, PAIRS, QUADS, TABLE, GAIN = 4, 60, 10, 7, 176
 def streams(spark, sf_dir):
     """A coded mono stream for each supplier. Of every fifth the second frame has no valid header, of every
     seventh the third one points before the reservoir."""
-    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"))
+    keys = decode.by_stream(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey")), "s_suppkey")
 
     def run(batches):
         codes, linbits = writers()[TABLE]
@@ -486,6 +486,6 @@ def decode_music(spark, sf_dir):
     """Long streams of coded frames: those of streams() over and over. A granule depends on the one before
     only, so from the second turn on all turns are alike, which the SQL makes use of."""
     long = streams(spark, sf_dir).select("stream_id", F.expr(f"unhex(repeat(hex(content), {REPEATS}))").alias("content"))
-    out = decode.pcm_sources(long)
+    out = decode.pcm_sources(long, columns=("stream_id", "pcm16"))
     total = F.aggregate("pcm16", F.lit(0).cast("long"), lambda a, x: a + x)
     return out.groupBy("stream_id").agg(F.sum(F.size("pcm16")).alias("samples"), F.min(F.array_min("pcm16")).alias("low"), F.max(F.array_max("pcm16")).alias("high"), F.sum(total).alias("total"))
