@@ -123,7 +123,7 @@ class Running:
         frames, _, pcm = self.transformed(contents)
         out, i = [], 0
         for status, channels, count in frames:
-            out.append((status, channels, None if status else _interleaved(pcm, i, i + count, channels)))
+            out.append((status, channels, None if status else interleaved(pcm, i, i + count, channels)))
             i += count
         return out
 
@@ -189,7 +189,7 @@ def _kinds(found: list[dict], channels: int) -> np.ndarray:
     return out
 
 
-def _interleaved(pcm: np.ndarray | None, a: int, b: int, channels: int) -> np.ndarray:
+def interleaved(pcm: np.ndarray | None, a: int, b: int, channels: int) -> np.ndarray:
     """The samples of granules a to b."""
     return np.zeros((b - a) * 576 * channels) if pcm is None else pcm[:channels, a:b].transpose(1, 2, 0).ravel()
 
@@ -219,7 +219,7 @@ def _pcm_batch(stream, numbers: list[int], decoder: Running, contents: list[byte
         parts.append((a, a + sum(g[2] for g in good[i:j]), good[i][1]))
         i = j
     ends = pa.array(np.append(0, np.cumsum([576 * channels * count for _, channels, count in good])), pa.int32())
-    flat = None if pcm is None else np.concatenate([_interleaved(pcm, *p) for p in parts])
+    flat = None if pcm is None else np.concatenate([interleaved(pcm, *p) for p in parts])
     size = ends[-1].as_py()
     made = {
         "stream_id": lambda: pa.array([stream] * len(good), pa.string()), "frame_no": lambda: pa.array([g[0] for g in good], pa.int64()), "channels": lambda: pa.array([g[1] for g in good], pa.int32()),

@@ -556,8 +556,9 @@ def stream_decode(spark, sf_dir):
 @query(f"select cast(stream_id as varchar) as stream_id, count(*) as frames, cast(sum(spf * ch) as bigint) as samples, cast(0 as smallint) as low16, cast(0 as smallint) as high16 from {frames_sql()} group by 1")
 def stream_pcm(spark, sf_dir):
     """The samples by Structured Streaming."""
-    out = _streamed(spark, _stream_bytes(spark, sf_dir), stream_samples)
-    return out.groupBy("stream_id").agg(F.count("*").alias("frames"), F.sum(F.size("pcm16")).alias("samples"), F.min(F.array_min("pcm16")).alias("low16"), F.max(F.array_max("pcm16")).alias("high16"))
+    each = [F.size("pcm16").alias("n"), F.array_min("pcm16").alias("low"), F.array_max("pcm16").alias("high")]
+    out = _streamed(spark, _stream_bytes(spark, sf_dir), lambda chunks: stream_samples(chunks, columns=("stream_id", "pcm16")).select("stream_id", *each))
+    return out.groupBy("stream_id").agg(F.count("*").alias("frames"), F.sum("n").alias("samples"), F.min("low").alias("low16"), F.max("high").alias("high16"))
 
 
 @query(coded.ORACLES["decode_frames"])
