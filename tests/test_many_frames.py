@@ -103,3 +103,15 @@ def test_wanted_columns_only(spark):
     whole, few = decode.pcm_sources(df), decode.pcm_sources(df, columns=("stream_id", "pcm16"))
     assert few.columns == ["stream_id", "pcm16"]
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, whole.select("stream_id", "pcm16").collect()))
+
+
+def test_blocks_without_a_good_frame_change_nothing():
+    for block in (None, (2, 0)):
+        good, bad = [frame(pairs=[(1, -1)] * 9, block=block)] * 4, [frame(pairs=[(1, 0)] * 4, begin=511)] * 2
+        one, two = (decode.Running(tables.codebooks()) for _ in range(2))
+        whole = one.feed(good)
+        parts = two.feed(good[:3]) + two.feed([])
+        assert [s for s, *_ in decode.Running(tables.codebooks()).feed(bad)] == [-5] * 2
+        parts += two.feed(good[3:])
+        assert len(parts) == 4 and all(np.array_equal(a[2], b[2]) for a, b in zip(whole, parts, strict=True)) and whole[3][2].any()
+        assert two.transformed([])[0] == [] and decode._pcm_batch("s", [], two, []) is None
