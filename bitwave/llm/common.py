@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows that go to a Python worker at once, at most: texts are long, and a task holds a batch several times.
 BATCH_ROWS = 1024
+#: Rows of a few numbers that a task writes at most where a bound of a table's rows is known.
+FILE_ROWS = 100_000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -41,10 +43,20 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage, survives lost executors."""
+def fewer(df: DataFrame, rows: int, each: int = FILE_ROWS) -> DataFrame:
+    """df, which has no more rows than that, in tasks of about `each` rows and two for each core at least,
+    not one for each partition of the exchange before. Each file in a local folder costs its executor two
+    processes (Hadoop's chmod of the file and of its checksum), far more than writing a few rows does."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
+def stored(df: DataFrame, what: str, rows: int | None = None, each: int = FILE_ROWS) -> DataFrame:
+    """df written to the shared folder and read again: cuts the lineage, survives lost executors.
+    rows, each: see fewer(), for a table whose rows have a known bound."""
     path, conf = shared_path(df.sparkSession, what), df.sparkSession.conf
     small_batches(df.sparkSession)
+    if rows is not None:
+        df = fewer(df, rows, each)
     # Nothing reads the exchanges of this job again, so their files go with it.
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(key, "false")

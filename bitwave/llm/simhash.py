@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import similar
-from .common import forget, fresh, stored, text_or_empty
+from .common import fewer, forget, fresh, stored, text_or_empty
 
 BITS = 64
 #: Fingerprints looked at for bit correlations and candidate estimates, at most.
@@ -165,7 +165,8 @@ def links(distinct: DataFrame, rows: int, distance: int = 2) -> DataFrame:
 
     probes = distinct.select("fp").mapInArrow(probe, "part int, key long, fp long")
     sizes = probes.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(probes.join(sizes, ["part", "key"]), "bucket-members")
+    each = len(signatures(np.zeros(1, np.uint64), plan)[0])  # a fingerprint's signatures
+    members = stored(probes.join(sizes, ["part", "key"]), "bucket-members", rows * each)
     small = members.where(F.col("n") <= BUCKET).groupBy("part", "key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     pairs = small.select(F.posexplode("fps").alias("i", "a"), "fps").select("a", F.explode(F.slice("fps", F.col("i") + 2, F.lit(BUCKET))).alias("b"))
     pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).distinct()
@@ -173,26 +174,27 @@ def links(distinct: DataFrame, rows: int, distance: int = 2) -> DataFrame:
     flip = F.array(F.lit(0).cast("long"), *[F.lit(np.array([1 << b], np.uint64).view(np.int64).item()).cast("long") for b in range(BITS)])
     large = members.where(F.col("n") > BUCKET).select("fp").distinct()
     meets = large.select("fp", F.explode(F.transform(flip, lambda m: F.col("fp").bitwiseXOR(m))).alias("at"))
-    firsts = stored(meets.groupBy("at").agg(F.count("*").alias("n"), F.min("fp").alias("b")).where("n > 1").select("at", "b"), "meeting-points")
+    firsts = stored(meets.groupBy("at").agg(F.count("*").alias("n"), F.min("fp").alias("b")).where("n > 1").select("at", "b"), "meeting-points", rows * (BITS + 1))
     stars = meets.join(firsts, "at").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
     return pairs.union(stars)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node with an edge; root is the smallest node of its component.
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """(node, root) of every node with an edge; root is the smallest node of its component. rows: a bound
+    of the number of edges, if known.
     Alternating large and small stars, each round written to the shared folder; the number of rounds
     grows with the logarithm of the longest path."""
-    edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links", rows)
     state = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     seen = state(edges)
     while seen[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = stored(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        large = stored(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star", seen[0])
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         edge = lambda a, b: F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
         small = large.join(low, "u").select(F.explode(F.array(edge("u", "m"), edge("v", "m"))).alias("e")).select("e.*").where("u <> v")
-        before, edges = edges, stored(small.distinct(), "small-star")
+        before, edges = edges, stored(small.distinct(), "small-star", 2 * seen[0])
         forget(before, large)
         if (now := state(edges)) == seen:
             break
@@ -203,12 +205,13 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
     """doc_id, text_key, fp, root (of the component, a fingerprint) and component_id of each row of docs."""
     rows = stored(fingerprints(docs, words), "fingerprints")
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    roots = components(links(distinct, distinct.count(), distance))
+    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints", rows.count())
+    n = distinct.count()
+    roots = components(links(distinct, n, distance))
     of = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    of = stored(of, "roots")
+    of = stored(of, "roots", n)
     first = of.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = stored(of.join(first, "root").select("fp", "root", "component_id"), "members")
+    of = stored(of.join(first, "root").select("fp", "root", "component_id"), "members", n)
     return rows.join(of, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
@@ -222,13 +225,15 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     each group. Nulls come last. Groups are the components of texts that are similar by similar.py;
     texts without words are one group."""
     rows = stored(similar.described(docs), "shingled")
-    groups = components(similar.similar_links(docs, rows)).select("node", F.col("root").alias("group"))
+    edges, n = similar.similar_links(docs, rows), rows.count()
+    groups = components(edges, edges.count()).select("node", F.col("root").alias("group"))
     doc, text, nth = (fresh(docs, c) for c in ("bw_doc", "bw_text", "bw_nth"))
     order = F.struct(F.col("doc_id").isNull().alias("null_id"), F.col("doc_id"), F.col("text_key"))
     first = rows.groupBy("node").agg(F.min(order).alias("o")).join(groups, "node", "left")
     keep = first.groupBy(F.coalesce("group", "node").alias("root")).agg(F.min("o").alias("o"))
-    keep = stored(keep.select(F.coalesce(F.col("o.doc_id").cast("string"), F.lit("")).alias(doc), F.col("o.text_key").alias(text)), "kept")
+    keep = stored(keep.select(F.coalesce(F.col("o.doc_id").cast("string"), F.lit("")).alias(doc), F.col("o.text_key").alias(text)), "kept", n)
     forget(rows)
     keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(doc), F.xxhash64(text_or_empty()).alias(text))
     by = Window.partitionBy(doc, text).orderBy(*[c for c, kind in docs.dtypes if "map" not in kind and "variant" not in kind])
-    return keyed.join(keep, [doc, text], "left_semi").withColumn(nth, F.row_number().over(by)).where(F.col(nth) == 1).select(*docs.columns)
+    out = keyed.join(keep, [doc, text], "left_semi").withColumn(nth, F.row_number().over(by)).where(F.col(nth) == 1).select(*docs.columns)
+    return fewer(out, n, similar.SET_ROWS)

@@ -41,6 +41,10 @@ MOST_SENT = 1_000_000
 CROWD = 32
 #: Words whose hashes a task remembers, at most.
 MOST_KNOWN = 50_000
+#: Rows with sets of shingles that a task writes at most, where a bound of a table's rows is known.
+SET_ROWS = 4096
+#: The same for rows that are made from two sets each.
+PAIR_ROWS = 1024
 RATIO = np.uint64(0x9E3779B97F4A7C15)
 _known: dict[bytes, int] = {}
 
@@ -165,32 +169,36 @@ def similar_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     from .simhash import components, links
 
     # One row for each node: exact copies go no further.
-    nodes = stored(rows.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("first").alias("first"), F.first("classes").alias("classes")).where("n > 0"), "similar-nodes")
+    nodes = stored(rows.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("first").alias("first"), F.first("classes").alias("classes")).where("n > 0"), "similar-nodes", rows.count(), SET_ROWS)
+    size, total = nodes.agg(F.count("*"), F.coalesce(F.sum(F.size("first")), F.lit(0))).first()
     each = nodes.select("node", "n", F.posexplode("first").alias("at", "h"))
     # The lead is the first by position; a row alone has neither a lead nor a follower.
     by = Window.partitionBy("h").orderBy("at", "node")
     lead = F.first(F.struct("node", "n", "at")).over(by.rowsBetween(Window.unboundedPreceding, 0))
     members = each.select("*", lead.alias("lead"), F.lead("node").over(by).alias("next")).where(F.col("next").isNotNull() | (F.col("node") != F.col("lead.node")))
-    members = stored(members.drop("next"), "shared-shingles")
+    members = stored(members.drop("next"), "shared-shingles", total)
 
     def checked(pairs: DataFrame, what: str) -> DataFrame:
         """Those of distinct pairs (a, b) that are similar. Sets are made again from one text of a node."""
         pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
         side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("classes").alias(f"{x}c"))
         most = F.aggregate(F.zip_with("ac", "bc", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-        left = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(_enough(most, F.col("an"), F.col("bn"))).select("a", "b"), "possible-pairs")
-        of = sets(left.select(F.col("a").alias("node")).union(left.select("b")).distinct())
+        left = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(_enough(most, F.col("an"), F.col("bn"))).select("a", "b"), "possible-pairs", pairs.count())
+        n = left.count()
+        of = sets(left.select(F.col("a").alias("node")).union(left.select("b")).distinct(), min(2 * n, size))
         side = lambda x: of.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}s"))
         both = left.join(side("a"), "a").join(side("b"), "b")
-        out = stored(both.where(_enough(F.size(F.array_intersect("as", "bs")), F.size("as"), F.size("bs"))).select("a", "b"), what)
+        out = stored(both.where(_enough(F.size(F.array_intersect("as", "bs")), F.size("as"), F.size("bs"))).select("a", "b"), what, n, PAIR_ROWS)
         forget(pairs, left, of)
         return out
 
-    def sets(wanted: DataFrame) -> DataFrame:
-        wanted = stored(wanted.join(nodes.select("node", "text_key"), "node"), "wanted-texts")
-        few = F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted  # else all texts are exchanged
+    def sets(wanted: DataFrame, most: int) -> DataFrame:
+        """node and shingles of the wanted nodes, most of them at most."""
+        wanted = stored(wanted.join(nodes.select("node", "text_key"), "node"), "wanted-texts", most)
+        n = wanted.count()
+        few = F.broadcast(wanted) if n <= MOST_SENT else wanted  # else all texts are exchanged
         texts = _texts(docs).join(few, "text_key").dropDuplicates(["node"]).select("node", "text")
-        return stored(texts.mapInArrow(_sets, "node long, shingles array<long>"), "shingle-sets")
+        return stored(texts.mapInArrow(_sets, "node long, shingles array<long>"), "shingle-sets", n, SET_ROWS)
 
     def _sets(batches):
         for batch in batches:
@@ -198,7 +206,7 @@ def similar_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([np.unique(shingles(text)).view(np.int64)], pa.list_(pa.int64()))], ["node", "shingles"])
 
     # Fingerprints within the distance, nodes of one fingerprint, and members of a bucket with its lead.
-    prints = stored(nodes.groupBy("fp").agg(F.min("node").alias("a"), F.max("node").alias("z")), "fingerprint-nodes")
+    prints = stored(nodes.groupBy("fp").agg(F.min("node").alias("a"), F.max("node").alias("z")), "fingerprint-nodes", size)
     of = lambda x: prints.select(F.col("fp").alias(f"{x}_fp"), F.col("a").alias(x))
     near_prints = links(prints.select("fp"), prints.count()).toDF("a_fp", "b_fp").join(of("a"), "a_fp").join(of("b"), "b_fp").select("a", "b")
     same_print = nodes.select("fp", F.col("node").alias("b")).join(prints.where("a <> z"), "fp").select("a", "b")
@@ -206,12 +214,12 @@ def similar_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     left = F.least(lead("n") - lead("at"), F.col("n") - F.col("at"))
     stars = members.where((F.col("node") != lead("node")) & _enough(left, F.col("n"), lead("n"))).select(lead("node").alias("a"), F.col("node").alias("b"))
     near = checked(near_prints.union(same_print).union(stars), "near-links")
-    groups = components(near)
+    groups = components(near, near.count())
 
     # All pairs of different groups that share a first shingle early enough.
-    grouped = stored(members.select("h", "node", "n", "at").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")), "grouped-shingles")
+    grouped = stored(members.select("h", "node", "n", "at").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")), "grouped-shingles", total)
     apart = grouped.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low <> high").select("h", "m")
-    open_ = stored(grouped.join(apart, "h"), "shingles-apart")
+    open_ = stored(grouped.join(apart, "h"), "shingles-apart", total)
 
     def early(rows: DataFrame) -> DataFrame:
         side = lambda x: rows.select("h", *[F.col(c).alias(f"{x}{c}") for c in ("node", "n", "at", "root")])
@@ -220,9 +228,9 @@ def similar_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
         return pairs.select(F.col("anode").alias("a"), F.col("bnode").alias("b"))
 
     pairs = early(open_.where(F.col("m") <= CROWD))
-    crowd = stored(open_.where(F.col("m") > CROWD).select("node", "n", "root").distinct(), "crowd")
-    if not crowd.isEmpty():
-        of = sets(crowd.select("node"))
+    crowd = stored(open_.where(F.col("m") > CROWD).select("node", "n", "root").distinct(), "crowd", size)
+    if n := crowd.count():
+        of = sets(crowd.select("node"), n)
         each = of.select("node", F.explode("shingles").alias("h"))
         # Shingles of one text alone come first in the order; only their number matters.
         ranked = each.join(each.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "h").join(crowd, "node")
@@ -230,7 +238,7 @@ def similar_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
         ranked = ranked.withColumn("at", (F.col("n") - F.count("*").over(by) + F.row_number().over(by.orderBy("m", "h")) - 1).cast("int"))
         s = Fraction(str(SIMILARITY))
         least = F.ceil(F.col("n") * s.numerator / s.denominator)
-        pairs = pairs.union(early(stored(ranked.where(F.col("at") <= F.col("n") - least).select("h", "node", "n", "at", "root"), "crowd-shingles")))
+        pairs = pairs.union(early(stored(ranked.where(F.col("at") <= F.col("n") - least).select("h", "node", "n", "at", "root"), "crowd-shingles", total)))
     others = checked(pairs, "other-links")
     forget(members, grouped, open_, prints, nodes)
     return near.union(others)

@@ -85,6 +85,34 @@ def test_one_family_in_one_bucket(spark):
     assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == set(groups(texts))
 
 
+def test_small_tables_have_few_files(spark, monkeypatch, texts, tmp_path):
+    """Every file costs its executor processes: tables with a known bound are not spread over all partitions."""
+    from bitwave.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for module in (simhash, similar):
+        monkeypatch.setattr(module, "forget", lambda *tables: None)
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+        kept = simhash.drop_near_duplicates(df)
+        assert {r.doc_id for r in kept.collect()} == set(groups(texts))
+        assert kept.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+        files = {p.name.rsplit("-", 1)[0]: len(list(p.glob("part-*"))) for p in tmp_path.iterdir()}
+        most = 2 * spark.sparkContext.defaultParallelism
+        assert {"similar-nodes", "shared-shingles", "links", "large-star", "small-star", "shingle-sets", "kept"} <= set(files)
+        assert {what: n for what, n in files.items() if n > most} == {what: n for what, n in files.items() if n > most and what in ("pairs", "frequent-shingles")}
+        numbers = spark.range(0, 1000, 1, 40)
+        assert sorted(r.id for r in common.stored(numbers, "numbers", 1000, 50).collect()) == list(range(1000))
+        assert sorted(len(list(p.glob("part-*"))) for p in tmp_path.glob("numbers-*")) == [20]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_defined_cases(spark):
     rows = [(5, None, 1), (4, "", 1), (7, " \n ", 1), (3, "One two", 1), (None, "one TWO", 1), (None, "three", 2), (None, "three", 2), (9, "x " * 200_000, 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, node int")
