@@ -112,10 +112,12 @@ def _tail(k: int) -> Column:
 def train(trusted: DataFrame) -> DataFrame | None:
     """The model: gram, logp (null if the gram is only a context), backoff (null if it is no context)."""
     counts = {ORDER: stored(_count(trusted), "kn-counts")}
-    if counts[ORDER].isEmpty():
+    size = {ORDER: counts[ORDER].count()}
+    if not size[ORDER]:
         return None
     for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct grams that end so
-        counts[k] = stored(counts[k + 1].select(_tail(k).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")), "kn-counts")
+        counts[k] = stored(counts[k + 1].select(_tail(k).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")), "kn-counts", size[k + 1])
+        size[k] = counts[k].count()
     model, lower = None, None
     for k in range(1, ORDER + 1):
         row = counts[k].agg(*[F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)], F.count("*").alias("all")).first()
@@ -124,20 +126,20 @@ def train(trusted: DataFrame) -> DataFrame | None:
         cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
         context = F.shiftrightunsigned("gram", 16)
         sums = counts[k].groupBy(context.alias("context")).agg(F.sum("n").alias("s"), F.sum(cut).alias("mass"))
-        sums = stored(sums.select("context", "s", (F.col("mass") / F.col("s")).alias("backoff")), "kn-contexts")
+        sums = stored(sums.select("context", "s", (F.col("mass") / F.col("s")).alias("backoff")), "kn-contexts", size[k])
         p = counts[k].select("gram", (F.col("n") - cut).alias("held"), context.alias("context")).join(sums, "context")
         if k == 1:  # below single characters stands the uniform choice among those seen and one unseen
             p = p.select("gram", (F.col("held") / F.col("s") + F.col("backoff") / (row["all"] + 1)).alias("p"))
         else:
             low = lower.select(F.col("gram").alias("tail"), F.col("p").alias("low"))
             p = p.withColumn("tail", _tail(k - 1)).join(low, "tail").select("gram", (F.col("held") / F.col("s") + F.col("backoff") * F.col("low")).alias("p"))
-        lower = stored(p, "kn-probabilities")
+        lower = stored(p, "kn-probabilities", size[k])
         none = F.lit(None).cast("double")
         part = lower.select("gram", F.log("p").alias("logp"), none.alias("backoff")).union(sums.select(F.col("context").alias("gram"), none.alias("logp"), F.log("backoff").alias("backoff")))
         if k == 1:  # the empty context holds what an unseen character gets
             part = part.withColumn("logp", F.when(F.col("gram") == 0, F.col("backoff") - math.log(row["all"] + 1)).otherwise(F.col("logp")))
         model = part if model is None else model.union(part)
-    return stored(model.groupBy("gram").agg(F.max("logp").cast("float").alias("logp"), F.max("backoff").cast("float").alias("backoff")), "kn-model")
+    return stored(model.groupBy("gram").agg(F.max("logp").cast("float").alias("logp"), F.max("backoff").cast("float").alias("backoff")), "kn-model", 2 * sum(size.values()))
 
 
 def _packed(docs: DataFrame, blocks: int) -> DataFrame:
@@ -254,7 +256,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scores = stored(perplexities(docs, model), "kn-scores")
     # Quantiles from counts in bins of a thousandth of a nat: their number is bounded, whatever the rows.
     marked = scores.where("nats is not null").join(sent(unseen), "doc_id", "left_semi").select(F.coalesce("lang", F.lit("")).alias("lang_key"), F.floor(F.col("nats") * 1000).cast("int").alias("bin"))
-    bins = stored(marked.groupBy("lang_key", "bin").agg(F.count("*").alias("c")), "kn-bins")
+    bins = stored(marked.groupBy("lang_key", "bin").agg(F.count("*").alias("c")), "kn-bins", scores.count())
 
     def cut(keys):
         from pyspark.sql import Window
@@ -271,7 +273,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
         upto += r.c
         if pooled is None and upto >= QUANTILE * total:
             pooled = r.bin
-    by_lang = stored(cut(["lang_key"]).select("lang_key", limit(F.col("bin")).alias("own")), "kn-limits")
+    by_lang = stored(cut(["lang_key"]).select("lang_key", limit(F.col("bin")).alias("own")), "kn-limits", bins.count())
     out = scores.withColumn("lang_key", F.coalesce("lang", F.lit(""))).join(by_lang, "lang_key", "left")
     threshold = F.coalesce("own", limit(F.lit(pooled)) if pooled is not None else F.lit(None).cast("double")) * F.exp(SLACK / F.greatest("n", F.lit(1)))
     perplexity = F.exp("nats")

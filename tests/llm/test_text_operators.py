@@ -346,3 +346,27 @@ def test_quality_against_dictionaries(spark):
     none = kneser_ney.quality(df, labels.limit(0)).collect()
     assert {r.perplexity for r in none} == {None} and sum(r.keep for r in none) == len(rows) - 2
     assert kneser_ney.quality(df.limit(0), labels).collect() == []
+
+
+def test_quality_tables_have_few_files(spark, monkeypatch, tmp_path):
+    """Every file costs its executor processes: counts of a model that is known to be small are not spread."""
+    from bitwave.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(100)) for _ in range(60)]
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+        got = kneser_ney.quality(df, spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")).collect()
+        assert len(got) == 60 and all(x.perplexity > 1 and x.threshold > 1 for x in got)
+        files = sorted((p.name.rsplit("-", 1)[0], len(list(p.glob("part-*")))) for p in tmp_path.iterdir())
+        assert {what for what, _ in files} >= {"kn-counts", "kn-contexts", "kn-probabilities", "kn-model", "kn-bins", "kn-limits"}
+        # Only the first counts, whose number nothing bounds, are written partition by partition.
+        assert [what for what, n in files if n > 2 * spark.sparkContext.defaultParallelism] == ["kn-counts"]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
